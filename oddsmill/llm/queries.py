@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import grace_dedup, mixing, packing, token_store, warc
+from . import grace_dedup, mixing, near_dup, packing, token_store, warc
 from .common import documents, scratch_path
 
 
@@ -28,6 +28,10 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_digests(spark, path)
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_dup_groups(documents(spark, sf_dir), width=3, percent=85)
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grace_dedup.exact_dedup(documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
@@ -46,6 +50,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_token_store": op2_token_store,
+    "op3_near_dedup": op3_near_dedup,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_warc": op9_warc,
     "op10_packing": op10_packing,
