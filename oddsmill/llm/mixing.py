@@ -110,6 +110,7 @@ def sources_of(sized: DataFrame) -> DataFrame:
     return sized.select("skey").distinct()
 
 
-def training_order(copies: DataFrame, position: str = "position") -> DataFrame:
-    """Rows range-sorted by position: partition i is wholly before partition i + 1, and sorted within."""
-    return copies.repartitionByRange(F.col(position).asc_nulls_last()).sortWithinPartitions(F.col(position).asc_nulls_last())
+def training_order(copies: DataFrame, position: str = "position", tie: str = "doc_id") -> DataFrame:
+    """Rows range-sorted by position, then tie (rows without position have only that): partition i is wholly before i + 1."""
+    order = [F.col(position).asc_nulls_last(), F.col(tie)]
+    return copies.repartitionByRange(*order).sortWithinPartitions(*order)

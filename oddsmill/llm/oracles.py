@@ -52,3 +52,30 @@ from s
 """
 
 ORACLES = {"op1_mix_sources": OP1, "op8_exact_dedup": OP8, "op9_warc": OP9}
+
+# The rules' matches, with what lies between them; a span starts after all earlier gaps and matches.
+_SPANS = """
+select doc_id, {rank} as rank, '{kind}' as kind, v, m, i,
+       coalesce(list_sum(list_transform(g[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(ms[1:i-1], lambda x: length(x))), 0) as s
+from (select doc_id, unnest(regexp_extract_all(t, '{p}', {group})) as v, unnest(ms) as m, unnest(range(1, len(ms) + 1)) as i, g, ms
+      from (select doc_id, t, string_split_regex(t, '{p}') as g, regexp_extract_all(t, '{p}') as ms from d))
+where length(v) >= {least}
+"""
+_P = (
+    ("assign", r"""(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 1, 6),
+    ("access", "AKIA[A-Z0-9]+", 0, 20),
+    ("hex", "[0-9a-f]+", 0, 24),
+    ("pem", "-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", 0, 1),
+)
+OP6 = (
+    "with d as (select doc_id, coalesce(text, '') as t from documents), f as ("
+    + " union all ".join(_SPANS.replace("{rank}", str(r)).replace("{kind}", k).replace("{p}", p).replace("{group}", str(g)).replace("{least}", str(n)) for r, (k, p, g, n) in enumerate(_P))
+    + """),
+x as (select doc_id, rank, kind, s, kind || ':' || s || ':' || (s + length(m)) as word from f)
+select d.doc_id, count(*) filter (kind = 'assign') as n_assign, count(*) filter (kind = 'access') as n_access, count(*) filter (kind = 'hex') as n_hex,
+       sha256(coalesce(string_agg(word, ',' order by s, rank) filter (rank < 3), '')) as base_sha256,
+       coalesce(string_agg(word, ',' order by s, rank), '') as spans
+from d left join x using (doc_id) group by d.doc_id
+"""
+)
+ORACLES["op6_secret_scan"] = OP6

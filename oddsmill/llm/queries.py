@@ -8,10 +8,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import grace_dedup, mixing, near_dup, packing, token_store, warc
+from . import ann, grace_dedup, language_id, mixing, near_dup, packing, quality, secret_scan, token_store, warc
 from .common import documents, scratch_path
 
 
@@ -32,6 +32,39 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_dup_groups(documents(spark, sf_dir), width=3, percent=85)
 
 
+def id_fold(n: int) -> Column:
+    """crc32 of doc_id as text, modulo n."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = F.coalesce(id_fold(3) == 1, F.lit(False))
+    model = language_id.learn(docs, ~held_out)
+    found = language_id.identify(docs, model, carry={"doc_id": F.col("doc_id"), "held_out": held_out})
+    return found.select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(id_fold(5) == 0, F.lit(False))
+    stats = quality.statistics_table(documents(spark, sf_dir))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    # of the learning rows, those with remainder 4 calibrate
+    model = quality.learn(stats, labels, ~held_out, F.when(id_fold(5) == 4, 0).otherwise(1))
+    return quality.score(stats, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(documents(spark, sf_dir), scratch_path(spark, "ledger"), path_col="doc_id", text_col="text")
+    base = F.filter("spans", lambda s: s["rank"] < len(secret_scan.BASE_RULES))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(F.col("path").alias("doc_id"), *[count(r.kind) for r in secret_scan.BASE_RULES], F.sha2(secret_scan.joined(base), 256).alias("base_sha256"), secret_scan.joined(F.col("spans")).alias("spans"))
+
+
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grace_dedup.exact_dedup(documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
@@ -51,6 +84,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_token_store": op2_token_store,
     "op3_near_dedup": op3_near_dedup,
+    "op4_language_id": op4_language_id,
+    "op5_quality": op5_quality,
+    "op6_secret_scan": op6_secret_scan,
+    "op7_nearest": op7_nearest,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_warc": op9_warc,
     "op10_packing": op10_packing,
