@@ -163,13 +163,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return records.select("uid", "doc_id", "leader", "sha").join(verdicts, "leader").select("uid", "doc_id", F.lower(F.hex("sha")).alias("text_sha256"), "keep_id", "group_size", (F.col("uid") == F.col("keep_uid")).alias("kept"))
 
 
-def keep_first_of_equals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with their columns: one of each group of equal texts.
-
-    Rows are numbered once in a scratch table, so that verdicts meet the very rows they were made for.
-    """
-    numbered = cut(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("number")), "grace-rows")
-    verdicts = exact_dedup(numbered.select(F.col("number").alias("doc_id"), F.col(f"row.{text_col}").alias("text")))
-    best = numbered.select("number", F.col(f"row.{id_col}").alias("id")).join(verdicts.select(F.col("doc_id").alias("number"), "text_sha256", "keep_id"), "number")
-    stay = best.groupBy("keep_id").agg(F.max_by("number", F.struct(F.col("id").isNotNull(), "id", "number")).alias("number"))
-    return numbered.join(stay, "number", "left_semi").select("row.*")
+def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that stay, with their columns: of equal texts, the row with the largest id."""
+    stay = cut(exact_dedup(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("i"), F.col("text_sha256").alias("s")), "kept")
+    rows = docs.withColumn("sha_", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
+    same = F.col(id_col).eqNullSafe(F.col("i")) & (F.col("sha_") == F.col("s"))
+    return rows.join(stay.hint("shuffle_hash"), same, "left_semi").dropDuplicates([id_col, "sha_"]).drop("sha_")

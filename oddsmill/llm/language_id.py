@@ -127,3 +127,16 @@ def identify(docs: DataFrame, model: dict | None, text_col: str = "text", carry:
     rows = docs.select(carry[first].alias(first), F.col(text_col).alias("text_"), *[carry[n].alias(n) for n in others])
     out = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in schema)}, lang_pred string, score double, ambiguous boolean"
     return rows.mapInArrow(predictor(model), out)
+
+
+def known_only(docs: DataFrame, model: dict | None, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, whose text is of one language clearly: not `und`, not ambiguous."""
+    small_batches(docs.sparkSession)
+    at = docs.columns.index(text_col)
+
+    def keep(batches):
+        for batch in batches:
+            clear = [bool(model) and has_letter(t) and not decode(features(t) @ model["w"], model)[2] for t in batch.column(at).to_pylist()]
+            yield batch.filter(pa.array(clear, pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)

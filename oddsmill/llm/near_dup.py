@@ -2,8 +2,8 @@
 
 1. Every document becomes its set of distinct word shingles (64-bit hashes). Documents with equal sets fall into one class,
    whose least id stands for it; what follows works on classes, so copies cost nothing more.
-2. BANDS * ROWS universal hashes h -> a * h + b give each class a signature; each band of it is a bucket key. A pair with
-   similarity .85 meets in no bucket with a probability below 1e-8.
+2. Universal hashes h -> a * h + b give each class a signature of minima; each band of ROWS of them is a bucket key. There
+   are so many bands that a pair at the threshold meets in no bucket with a probability of MISS (48 bands at .85).
 3. Buckets with the same members (by count, least id and an xor of member hashes) are looked at once. A bucket is split into
    blocks of BLOCK members; a task gets two blocks' sets, skips pairs that it has linked already through others, rejects by
    signature what is six standard deviations below the threshold, and confirms the rest on full sets. It emits a link
@@ -20,6 +20,7 @@ they are, kept. Very long texts are whole. Other columns are ignored. An empty t
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,8 @@ from pyspark.sql import functions as F
 
 from .common import cut, small_batches
 
-BANDS, ROWS, BLOCK = 48, 7, 512
+#: Hashes in a band, members in a block, and the chance that a pair at the threshold meets in no band.
+ROWS, BLOCK, MISS = 7, 512, 1e-8
 SEED = 20_011
 CLASSES = "doc_id long, n_shingles long, digest binary, bands array<long>"
 
@@ -189,12 +191,17 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
-def near_dup_groups(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def bands_for(percent: int, rows: int = ROWS) -> int:
+    return math.ceil(math.log(MISS) / math.log(1 - (percent / 100) ** rows))
+
+
+def near_dup_groups(docs: DataFrame, width: int = 5, percent: int = 80, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (least doc_id reachable), kept.
 
     Links are pairs with 100 * shared shingles >= percent * all shingles of the two.
     """
     small_batches(docs.sparkSession)
+    bands = bands_for(percent, rows)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     profiles = cut(texts.mapInArrow(profiler(width, bands, rows), CLASSES), "profiles")
     in_class = profiles.where("digest is not null and doc_id is not null")
@@ -215,3 +222,9 @@ def near_dup_groups(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     out = profiles.join(labelled, "digest", "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """The rows of docs that stay, with their columns: of each near-duplicate group, the least id."""
+    kept = cut(near_dup_groups(docs, id_col=id_col, text_col=text_col, **settings).where("kept").select(F.col("doc_id").alias("i")), "kept")
+    return docs.join(kept.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("i")), "left_semi")
