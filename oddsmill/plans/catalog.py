@@ -1,6 +1,8 @@
-"""Names of all queries over the market tables, and their SQL."""
+"""All queries over the market tables, and their SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import alert_queries, market_queries, score_queries, series_queries, text_queries, trader_queries  # noqa: F401  they register themselves
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
