@@ -1 +1,159 @@
-"""To come."""
+"""Price series."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.columns import rounded as r
+from ..operators import series as ops
+from ..sources.market_tables import price_history, trades
+from .registry import query
+
+#: Watched markets for pair statistics.
+WATCHED = 12
+
+RSI = """with dl as (select *, price - lag(price) over w as delta from series window w as (partition by market order by seq)),
+g as (select *, round_even(sum(greatest(delta, 0)) over w14, 12) as up, round_even(sum(greatest(-delta, 0)) over w14, 12) as down from dl window w14 as (partition by market order by seq rows between 13 preceding and current row)),
+ri as (select *, case when seq <= 14 then 50.0::double when down = 0 then 100.0::double else 100 - 100 / (1 + up / down) end as rsi from g)
+"""
+
+
+@query("rsi", RSI + "select market, seq, round_even(rsi, 4) as rsi from ri", "series")
+def rsi(spark, sf):
+    return ops.with_rsi(price_history(spark, sf)).select("market", F.col("seq").cast("long").alias("seq"), r(F.col("rsi"), 4).alias("rsi"))
+
+
+@query("moving_avg", """select market, seq, round_even(case when seq < 5 then price else avg(price) over (partition by market order by seq rows between 4 preceding and current row) end, 6) as ma5,
+round_even(case when seq < 20 then price else avg(price) over (partition by market order by seq rows between 19 preceding and current row) end, 6) as ma20 from series""", "series")
+def moving_avg(spark, sf):
+    return price_history(spark, sf).select("market", F.col("seq").cast("long").alias("seq"), r(ops.moving_average(5)).alias("ma5"), r(ops.moving_average(20)).alias("ma20"))
+
+
+BREAK = RSI + """, m as (select *, round_even(case when seq < 5 then price else avg(price) over (partition by market order by seq rows between 4 preceding and current row) end, 9) as ma5,
+ round_even(case when seq < 20 then price else avg(price) over w20 end, 9) as ma20, max(price) over w20 as high, min(price) over w20 as low from ri window w20 as (partition by market order by seq rows between 19 preceding and current row)),
+l as (select *, lag(price) over w as prev, lag(ma5) over w as prev5, lag(ma20) over w as prev20 from m window w as (partition by market order by seq)),
+s as (select *, case when rsi < 30 then 'BUY' when rsi > 70 then 'SELL' end as r1, case when ma5 > ma20 and PREV <= prev20 then 'BUY' when ma5 < ma20 and PREV >= prev20 then 'SELL' end as r2,
+ case when price > high * 0.99 then 'BUY' when price < low * 1.01 then 'SELL' end as r3 from l where seq >= FIRST)
+select market, seq, price, round_even(rsi, 4) as rsi, coalesce(r3, r2, r1, 'HOLD') as signal, (case when r1 is null then 0 else 3 end + case when r2 is null then 0 else 4 end + case when r3 is null then 0 else 3 end) / 10 as strength,
+ concat_ws('; ', case r1 when 'BUY' then 'RSI oversold' when 'SELL' then 'RSI overbought' end, case r2 when 'BUY' then 'Golden cross' when 'SELL' then 'Death cross' end, case r3 when 'BUY' then 'Above range' when 'SELL' then 'Below range' end) as reason from s"""
+
+
+@query("breakout", BREAK.replace("PREV", "prev").replace("prev20", "prev20").replace("FIRST", "20"), "series")
+def breakout(spark, sf):
+    return ops.breakouts(price_history(spark, sf)).withColumn("seq", F.col("seq").cast("long"))
+
+
+@query("breakout_strict", BREAK.replace("PREV", "prev5").replace("FIRST", "21"), "series")
+def breakout_strict(spark, sf):
+    return ops.breakouts(price_history(spark, sf), strict=True).withColumn("seq", F.col("seq").cast("long"))
+
+
+@query("momentum_scan", BREAK.replace("PREV", "prev").replace("FIRST", "20").replace("select market, seq, price, round_even(rsi, 4)", "select * from (select market, seq, price, round_even(rsi, 4)") + ") where signal <> 'HOLD' and strength > 0.5", "series")
+def momentum_scan(spark, sf):
+    return breakout(spark, sf).where("signal <> 'HOLD' and strength > 0.5")
+
+
+CORR = """with w as (select * from series where market < 12),
+t as (select market, price, row_number() over (partition by market order by seq desc) as back from w),
+p as (select a.market as a, b.market as b, count(*) as points, case when count(*) < 10 or var_pop(a.price) = 0 or var_pop(b.price) = 0 then 0 else coalesce(corr(a.price, b.price), 0) end as c0
+  from t a join t b on a.back = b.back and a.market < b.market where a.back <= 100 group by all),
+pairs as (select a, b, points, round_even(c0, 6) as corr from p)
+"""
+
+
+@query("price_corr", CORR + "select * from pairs", "series")
+def price_corr(spark, sf):
+    return ops.correlations(price_history(spark, sf).where(F.col("market") < WATCHED))
+
+
+@query("corr_matrix", CORR + """, f as (select a as market, b as other, corr from pairs union all select b, a, corr from pairs union all select distinct market, market, 1.0 from w)
+select market, """ + ", ".join(f"max(corr) filter (other = {i}) as m{i}" for i in range(WATCHED)) + " from f group by market", "series")
+def corr_matrix(spark, sf):
+    return ops.correlation_matrix(price_corr(spark, sf), list(range(WATCHED)))
+
+
+DAILY = """with d as (select user_id as market, date_trunc('day', ts) as day, avg(value) as price from events where user_id < 30 group by all),
+h as (select *, case when day < '2024-01-16' then 1 else 2 end as half, row_number() over (partition by market, case when day < '2024-01-16' then 1 else 2 end order by day desc) as back from d),
+c as (select a.half, a.market as a, b.market as b, round_even(case when count(*) < 10 or var_pop(a.price) = 0 or var_pop(b.price) = 0 then 0 else coalesce(corr(a.price, b.price), 0) end, 6) as corr
+  from h a join h b on a.half = b.half and a.back = b.back and a.market < b.market where a.back <= 50 group by all),
+tr as (select market, case when max(price) filter (back = 1) > arg_max(price, back) then 'up' when max(price) filter (back = 1) < arg_max(price, back) then 'down' else 'flat' end as trend from h where half = 2 and back <= 5 group by market)
+select x.a, x.b, x.corr as base, y.corr as now, round_even(abs(y.corr - x.corr), 6) as divergence, case when ta.trend = tb.trend then 'together' else 'apart' end as direction, least(round_even(abs(y.corr - x.corr), 6), 1.0) as confidence
+from c x join c y on x.half = 1 and y.half = 2 and x.a = y.a and x.b = y.b join tr ta on ta.market = x.a join tr tb on tb.market = x.b where x.corr > 0.5 and round_even(abs(y.corr - x.corr), 6) > 0.3"""
+
+
+def _halves(spark, sf):
+    d = trades(spark, sf).where("user_id < 30").groupBy(F.col("user_id").alias("market"), F.date_trunc("day", "ts").alias("seq")).agg(F.avg("volume").alias("price"))
+    first = F.col("seq") < F.lit("2024-01-16").cast("timestamp")
+    return d.where(first), d.where(~first)
+
+
+@query("corr_breakdown", DAILY)
+def corr_breakdown(spark, sf):
+    one, two = _halves(spark, sf)
+    found = ops.breakdowns(ops.correlations(one, 50), ops.correlations(two, 50), ops.tail_aligned(two, 50), tau=0.5)
+    return found.select("a", "b", "base", "now", "divergence", "direction", "confidence").orderBy(F.desc("divergence"), "a", "b")
+
+
+@query("corr_clusters")
+def corr_clusters(spark, sf):
+    return ops.greedy_clusters(ops.correlations(_halves(spark, sf)[0], 50), 0.5)
+
+
+HIST = """with h as (select wallet, week, sum(value) filter (rn <= 2) / sum(value) as t0 from (select *, row_number() over (partition by wallet, week order by value desc, market) as rn from holding) group by all),
+g as (select wallet, week, round_even(t0, 6) as top5 from h), l as (select *, top5 - lag(top5) over (partition by wallet order by week) as ch, row_number() over (partition by wallet order by week desc) as back from g)
+"""
+
+
+def _history(spark, sf):
+    from pyspark.sql import Window
+
+    from ..sources.market_tables import holdings
+
+    w = Window.partitionBy("wallet", "week").orderBy(F.desc("value"), "market")
+    h = holdings(spark, sf).withColumn("rn", F.row_number().over(w))
+    return h.groupBy("wallet", F.col("week").alias("at")).agg(r(F.sum(F.when(F.col("rn") <= 2, F.col("value"))) / F.sum("value")).alias("top5"))
+
+
+@query("convergence", HIST + "select wallet, epoch_us(week) as at, top5, case when ch is null then '' when round_even(ch, 6) > 0.1 then 'converging' when round_even(ch, 6) < -0.1 then 'diverging' else 'stable' end as trend from l where back <= 10", "holding")
+def convergence(spark, sf):
+    from ..functions.columns import epoch_us
+
+    return ops.convergence(_history(spark, sf)).select("wallet", epoch_us(F.col("at")).alias("at"), "top5", "trend")
+
+
+@query("history_chart", HIST + "select wallet, epoch_us(week) as at, cast(round_even(top5 * 100, 0) as bigint) as percent from l where back <= 24", "holding")
+def history_chart(spark, sf):
+    from ..functions.columns import epoch_us
+
+    h = ops.convergence(_history(spark, sf), kept=24)
+    return h.orderBy("wallet", "at").select("wallet", epoch_us(F.col("at")).alias("at"), F.bround(F.col("top5") * 100, 0).cast("long").alias("percent"))
+
+
+@query("wilder_rsi")
+def wilder_rsi(spark, sf):
+    """Extension: recursively smoothed RSI."""
+    return ops.with_wilder_rsi(price_history(spark, sf).withColumn("seq", F.col("seq").cast("long")))
+
+
+@query("volume_spikes", """with a as (select market, seq, price, avg(price) over (partition by market order by seq rows between 20 preceding and 1 preceding) as mean, count(*) over (partition by market order by seq rows between 20 preceding and 1 preceding) as n from series)
+select market, seq, price, round_even(mean, 6) as mean from a where n = 20 and round_even(price, 9) > round_even(2 * mean, 9)""", "series")
+def volume_spikes(spark, sf):
+    """Extension: values beyond twice the mean of the 20 before."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("market").orderBy("seq").rowsBetween(-20, -1)
+    a = price_history(spark, sf).withColumn("mean", F.avg("price").over(w)).withColumn("n", F.count("*").over(w))
+    return a.where((F.col("n") == 20) & (r(F.col("price"), 9) > r(2 * F.col("mean"), 9))).select("market", F.col("seq").cast("long").alias("seq"), "price", r(F.col("mean")).alias("mean"))
+
+
+@query("drawdown", """with c as (select market, seq, sum(price - 0.08::double) over (partition by market order by seq) as equity from series), p as (select *, max(equity) over (partition by market order by seq) as peak from c)
+select p.market, round_even(max(peak - equity), 6) as max_drawdown, round_even(any_value(s.w), 6) as win_rate, round_even(any_value(s.f), 6) as profit_factor, round_even(any_value(s.sh), 6) as sharpe from p
+join (select market, count(*) filter (price > 0.08)::double / count(*) as w, sum(greatest(price - 0.08::double, 0)) / sum(greatest(0.08::double - price, 0)) as f, avg(price - 0.08::double) / stddev_samp(price) as sh from series group by market) s on s.market = p.market group by p.market""", "series")
+def drawdown(spark, sf):
+    """Extension: win rate, profit factor, largest drawdown and Sharpe ratio of each series taken as returns against 0.08."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("market").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    gain = F.col("price") - 0.08
+    p = price_history(spark, sf).withColumn("gain", gain).withColumn("equity", F.sum("gain").over(w)).withColumn("fall", F.max("equity").over(w) - F.col("equity"))
+    return p.groupBy("market").agg(r(F.max("fall")).alias("max_drawdown"), r(F.count_if(F.col("price") > 0.08) / F.count("*")).alias("win_rate"), r(F.sum(F.greatest("gain", F.lit(0.0))) / F.sum(F.greatest(-F.col("gain"), F.lit(0.0)))).alias("profit_factor"), r(F.avg("gain") / F.stddev_samp("price")).alias("sharpe"))

@@ -1 +1,100 @@
-"""To come."""
+"""Matching of texts, headlines."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import text
+from ..functions.columns import rounded as r
+from ..functions.columns import table
+from ..operators import arbitrage
+from .registry import query
+
+_STOP = "[" + ", ".join(f"'{w}'" for w in text.STOP_WORDS) + "]"
+
+
+def _tokens(c: str) -> str:
+    return f"list_filter(string_split_regex(regexp_replace(lower({c}), '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g'), '\\s+'), lambda w: length(w) > 2 and not list_contains({_STOP}, w))"
+
+
+def _hits(words) -> str:
+    return " + ".join(f"contains(h, '{w}')::int" for w in words)
+
+
+def _any(words) -> str:
+    return "(" + " or ".join(f"contains(h, '{w}')" for w in words) + ")"
+
+
+_CATEGORY = "case " + " ".join(f"when {_any(ws)} then '{k}'" for k, ws in reversed(text.HEADLINE_CLASSES.items())) + " else 'OTHER' end"
+_ALL = [w for ws in text.HEADLINE_CLASSES.values() for w in ws]
+HEADLINES = f"""with h0 as (select doc_id, lower(text) as h from documents),
+hs as (select doc_id, least(100, 25 * ({_hits(_ALL)}) + case when {_any(text.URGENT)} then 20 else 0 end) as impact, {_CATEGORY} as category,
+  case when {_any(text.URGENT)} then 'HIGH' else 'LOW' end as urgency, case when {_any(text.POSITIVE)} then 'POSITIVE' when {_any(text.NEGATIVE)} then 'NEGATIVE' else 'NEUTRAL' end as sentiment from h0)
+"""
+
+
+def _headlines(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", *[c.alias(n) for n, c in text.headline(F.col("text")).items()])
+
+
+@query("normalize_text", f"select item_id, array_to_string({_tokens('text')}, ' ') as words from benchmark")
+def normalize_text(spark, sf):
+    return table(spark, sf, "benchmark").select("item_id", text.normalised(F.col("text")).alias("words"))
+
+
+@query("jaccard", f"""with b as (select item_id, list_distinct({_tokens('text')}) as w from benchmark)
+select a.item_id as a, b.item_id as b, round_even(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))), 6) as similarity from b a join b on b.item_id = a.item_id + 1""")
+def jaccard(spark, sf):
+    b = table(spark, sf, "benchmark").select("item_id", F.array_distinct(text.tokens(F.col("text"))).alias("w"))
+    n = b.select((F.col("item_id") - 1).alias("i"), F.col("item_id").alias("b"), F.col("w").alias("v"))
+    return b.join(n, F.col("item_id") == F.col("i")).select(F.col("item_id").alias("a"), "b", r(text.jaccard(F.col("w"), F.col("v"))).alias("similarity"))
+
+
+@query("event_match", f"""with l as (select item_id as id, list_distinct({_tokens('text')}) as w from benchmark), d as (select doc_id as id, list_distinct({_tokens('text')}) as w from documents),
+p as (select l.id as l_id, d.id as r_id, len(list_intersect(l.w, d.w)) as i, len(l.w) + len(d.w) as s from l, d where len(l.w) > 0 and len(d.w) > 0),
+x as (select *, i / (s - i) as sim, row_number() over (partition by l_id order by i / (s - i) desc, r_id) as rn from p where i / (s - i) > 0.1)
+select l_id, r_id, round_even(sim, 6) as similarity from x where rn = 1""")
+def event_match(spark, sf):
+    b, d = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), "text"), table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    return arbitrage.best_matches(arbitrage.similar_pairs(b, d, 0.1)).select("l_id", "r_id", r(F.col("similarity")).alias("similarity"))
+
+
+_E = [f"{c}:{k}" for c, ks in text.ENTITIES.items() for k in ks]
+_FOUND = "list_sort(list_filter([" + ", ".join(f"case when contains(h, '{e.split(':')[1]}') then '{e}' end" for e in _E) + "], lambda x: x is not null))"
+
+
+def _conflict_sql() -> str:
+    name = {e.split(":")[1]: e for e in _E}
+    lists = lambda side: "[" + ", ".join(f"'{name[w]}'" for w in side) + "]"
+    return " or ".join(f"(list_has_any(x.e, {lists(p)}) and list_has_any(y.e, {lists(q)})) or (list_has_any(x.e, {lists(q)}) and list_has_any(y.e, {lists(p)}))" for p, q in text.CONFLICTS)
+
+
+@query("entity_match", f"""with h0 as (select doc_id, lower(text) as h from documents), f as (select doc_id, {_FOUND} as e from h0)
+select x.doc_id as a, y.doc_id as b, array_to_string(x.e, ',') as entities, len(list_intersect(x.e, y.e)) as shared, not ({_conflict_sql()}) and len(list_intersect(x.e, y.e)) >= 2 as valid from f x join f y on y.doc_id = x.doc_id + 1""")
+def entity_match(spark, sf):
+    e = table(spark, sf, "documents").select("doc_id", text.entities(F.col("text")).alias("e"))
+    n = e.select((F.col("doc_id") - 1).alias("i"), F.col("doc_id").alias("b"), F.col("e").alias("f"))
+    j = e.join(n, F.col("doc_id") == F.col("i"))
+    return j.select(F.col("doc_id").alias("a"), "b", F.array_join("e", ",").alias("entities"), F.size(F.array_intersect("e", "f")).cast("long").alias("shared"), text.valid_match(F.col("e"), F.col("f"), F.lit(0.4)).alias("valid"))
+
+
+@query("headline_score", HEADLINES + "select * from hs")
+def headline_score(spark, sf):
+    return _headlines(spark, sf)
+
+
+@query("news_scan", HEADLINES + "select * from hs where impact > 30")
+def news_scan(spark, sf):
+    return _headlines(spark, sf).where("impact > 30").orderBy(F.desc("impact"), "doc_id")
+
+
+_MOVES = "case category " + " ".join(f"when '{k}' then '{v}'" for k, v in text.MARKETS.items()) + " else '' end"
+_ACT = """case when urgency = 'HIGH' and category = 'BITCOIN' and sentiment = 'POSITIVE' then 'watch bitcoin upside markets' when urgency = 'HIGH' and category = 'BITCOIN' and sentiment = 'NEGATIVE' then 'watch bitcoin downside markets'
+when urgency = 'HIGH' and category = 'ELECTION' then 'watch election markets, sharp moves possible' when urgency = 'HIGH' and category = 'FED' then 'watch rate markets, major policy effect' when category in ('BITCOIN', 'ETHEREUM') then 'monitor crypto volatility'
+when category = 'ELECTION' then 'follow political markets' when category = 'FED' then 'follow macro markets' else 'keep monitoring' end"""
+
+
+@query("news_signals", HEADLINES + f"select doc_id, category, case sentiment when 'POSITIVE' then 'UP' else 'DOWN' end as direction, impact / 100 as confidence, case urgency when 'HIGH' then 'IMMEDIATE' else '24H' end as timeframe, {_MOVES} as markets, {_ACT} as action from hs where impact >= 50")
+def news_signals(spark, sf):
+    c = F.col
+    return _headlines(spark, sf).where("impact >= 50").select("doc_id", "category", F.when(c("sentiment") == "POSITIVE", "UP").otherwise("DOWN").alias("direction"), (c("impact") / 100).alias("confidence"), F.when(c("urgency") == "HIGH", "IMMEDIATE").otherwise("24H").alias("timeframe"), text.suggested_markets(c("category")).alias("markets"), text.suggested_action(c("category"), c("sentiment"), c("urgency")).alias("action"))
