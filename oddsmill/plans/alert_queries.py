@@ -11,7 +11,9 @@ from ..sources.market_tables import reports, trades
 from .registry import query
 
 c = F.col
-NOW = F.lit(AS_OF)
+
+def now():
+    return F.lit(AS_OF).cast("timestamp")
 
 
 def _alerts(spark, sf):
@@ -85,7 +87,7 @@ def idle_alert(spark, sf):
 
 @query("report_window", f"select epoch_us(scan_time) as at, pair_count from report where scan_time > timestamp '{AS_OF}' - interval 7 day order by scan_time desc limit 50", "report")
 def report_window(spark, sf):
-    r = reports(spark, sf).where(c("scan_time") > NOW.cast("timestamp") - F.expr("INTERVAL 7 DAYS"))
+    r = reports(spark, sf).where(c("scan_time") > now() - F.expr("INTERVAL 7 DAYS"))
     return r.orderBy(F.desc("scan_time")).limit(50).select(epoch_us(c("scan_time")).alias("at"), "pair_count")
 
 
@@ -113,7 +115,7 @@ def log_errors(spark, sf):
 @query("health", f"""select max(ts) > timestamp '{AS_OF}' - interval 2 hour as fresh, count(*) filter (market = 'error') < count(*) / 4 as few_errors, count(distinct wallet) >= 10 as active, arg_max(market, (ts, event_id)) <> 'error' as heartbeat,
 max(ts) > timestamp '{AS_OF}' - interval 2 hour and count(*) filter (market = 'error') < count(*) / 4 and count(distinct wallet) >= 10 and arg_max(market, (ts, event_id)) <> 'error' as healthy from trade""", "trade")
 def health(spark, sf):
-    checks = trades(spark, sf).agg((F.max("ts") > NOW.cast("timestamp") - F.expr("INTERVAL 2 HOURS")).alias("fresh"), (F.count_if(c("market") == "error") < F.count("*") / 4).alias("few_errors"), (F.count_distinct("wallet") >= 10).alias("active"), (F.max_by("market", F.struct("ts", "event_id")) != "error").alias("heartbeat"))
+    checks = trades(spark, sf).agg((F.max("ts") > now() - F.expr("INTERVAL 2 HOURS")).alias("fresh"), (F.count_if(c("market") == "error") < F.count("*") / 4).alias("few_errors"), (F.count_distinct("wallet") >= 10).alias("active"), (F.max_by("market", F.struct("ts", "event_id")) != "error").alias("heartbeat"))
     return checks.withColumn("healthy", c("fresh") & c("few_errors") & c("active") & c("heartbeat"))
 
 

@@ -11,7 +11,6 @@ from ..sources.market_tables import quotes, reports, whales
 from .registry import query
 
 c = F.col
-WHALE = [c("top5"), c("changes"), c("pnl"), c("value"), c("positions")]
 
 
 @query("kelly", "with k as (select wallet, win_rate as p, abs(pnl) / value * 10 as b from whale) select wallet, round_even(case when p > 0 and p < 1 and b > 0 then greatest(0, least(1, (b * p - (1 - p)) / b)) else 0 end, 6) as kelly, round_even(case when p > 0 and p < 1 and b > 0 then greatest(0, least(1, (b * p - (1 - p)) / b)) else 0 end * 0.25, 6) as quarter from k", "whale")

@@ -13,7 +13,9 @@ from ..sources.market_tables import concentration_of, holdings, snapshots, trade
 from ..sources.sinks import unwatched, upserted
 from .registry import query
 
-NOW = F.lit(AS_OF)
+
+def now():
+    return F.lit(AS_OF).cast("timestamp")
 ROLL = """with w as (select wallet, round_even(sum(volume), 4) as total_volume, count(*) as trade_count, count(*) filter (volume >= 200) as large_trades, count(distinct market) as markets,
   epoch_us(max(ts)) as last_trade, arg_max(market, (ts, -event_id)) as last_market from trade group by wallet)
 """
@@ -116,7 +118,7 @@ def whale_list(spark, sf, sort: str = "value", descending: bool = True, limit: i
     if sort not in ("value", "pnl", "top5", "changes_24h", "positions", "wallet"):
         raise ValueError(f"can't sort by {sort}")
     w = whales(spark, sf)
-    recent = trades(spark, sf).where(F.col("ts") >= NOW.cast("timestamp") - F.expr("INTERVAL 1 DAY")).groupBy("wallet").agg(F.count("*").alias("n"))
+    recent = trades(spark, sf).where(F.col("ts") >= now() - F.expr("INTERVAL 1 DAY")).groupBy("wallet").agg(F.count("*").alias("n"))
     rows = w.drop("changes").join(recent, "wallet", "left").withColumn("changes_24h", F.coalesce("n", F.lit(0)).cast("long")).where("value >= 10000")
     return rows.orderBy(F.desc(sort) if descending else F.asc(sort), "wallet").limit(limit).select("wallet", "value", "pnl", "top5", "changes_24h")
 
@@ -136,7 +138,7 @@ def whale_detail(spark, sf):
 
 @query("recent_changes", f"select event_id, wallet, market from trade where ts > timestamp '{AS_OF}' - interval 1 day", "trade")
 def recent_changes(spark, sf):
-    return trades(spark, sf).where(F.col("ts") > NOW.cast("timestamp") - F.expr("INTERVAL 1 DAY")).select("event_id", "wallet", "market")
+    return trades(spark, sf).where(F.col("ts") > now() - F.expr("INTERVAL 1 DAY")).select("event_id", "wallet", "market")
 
 
 @query("whale_lookup", "select wallet, value, pnl, positions from whale where lower(wallet) = 'w7'", "whale")
@@ -149,7 +151,7 @@ def cache_lookup(spark, sf):
     """Cached results whose hash still agrees and whose day isn't over."""
     w = whales(spark, sf).withColumn("hash", F.substring(F.md5(F.concat_ws("|", "wallet", F.col("user_id").cast("string"))), 1, 16))
     cached = trades(spark, sf).groupBy("wallet", "user_id").agg(F.max("ts").alias("made")).select("wallet", F.substring(F.md5(F.concat_ws("|", "wallet", F.when(F.col("user_id") % 3 == 0, F.col("user_id").cast("string")).otherwise("stale"))), 1, 16).alias("hash"), (F.col("made") + F.expr("INTERVAL 24 HOURS")).alias("expires"))
-    return w.join(cached, ["wallet", "hash"]).where(F.col("expires") > NOW.cast("timestamp")).select("wallet", "value")
+    return w.join(cached, ["wallet", "hash"]).where(F.col("expires") > now()).select("wallet", "value")
 
 
 @query("alias_default", "select wallet, substr(wallet || '0000000000', 1, 6) || '...' || right(wallet || '0000000000', 4) as alias from whale", "whale")
@@ -179,5 +181,5 @@ def new_wallet_markets(spark, sf):
 (select count(distinct wallet) from trade where ts > timestamp '{AS_OF}' - interval 3 hour) as updated, (select count(*) from trade where event_id % 2 = 1 and volume >= 200) as unread""", "whale")
 def dash_summary(spark, sf):
     w = whales(spark, sf).where("value >= 50000").agg(F.count("*").alias("watched"), r(F.sum("value"), 2).alias("total_value"))
-    t = trades(spark, sf).agg(F.count_distinct(F.when(F.col("ts") > NOW.cast("timestamp") - F.expr("INTERVAL 3 HOURS"), F.col("wallet"))).alias("updated"), F.count_if((F.col("event_id") % 2 == 1) & (F.col("volume") >= 200)).alias("unread"))
+    t = trades(spark, sf).agg(F.count_distinct(F.when(F.col("ts") > now() - F.expr("INTERVAL 3 HOURS"), F.col("wallet"))).alias("updated"), F.count_if((F.col("event_id") % 2 == 1) & (F.col("volume") >= 200)).alias("unread"))
     return w.crossJoin(t)  # one row each
