@@ -6,9 +6,9 @@ import atexit
 import re
 import tempfile
 import uuid
+from array import array
 from functools import lru_cache
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,12 +82,44 @@ def spread(column: str):
 # ids of the whole text.
 _CHUNK = re.compile(r"\s*\S+|\s+$")
 _PIECE = re.compile(r"\s*[a-zA-ZÀ-ÖØ-öø-ÿ]+(?=[.,|!%&$#*]|$)|(?<=[a-zA-ZÀ-ÖØ-öø-ÿ])[.,|!%&$#*]\S*|\s*\S+|\s+$")
-# White space other than single spaces within a text, which the plain way of cutting doesn't serve.
-_UNEVEN = re.compile(r"[^\S \n]|  |\n[ \n]| \n|\s$|^\s")
-# Separators that Python takes for white space and the tokenisers don't, and tags of special tokens.
-_WHOLE = re.compile("[\x1c-\x1f]|<\\|")
-#: Chunks and pieces that a worker remembers at most; beyond, it starts anew.
-CHUNKS_KEPT = 400_000
+# White space beyond single spaces and line ends, which the plain way of cutting doesn't serve; separators that
+# Python takes for white space and the tokenisers don't; the start of special tokens' names; and what marks cuts here.
+_UNEVEN = ("  ", "\n\n", " \n", "\n ", "\t", "\r", "\x0b", "\x0c", "\0")
+_RARE = ("\x85", "\xa0", "\u1680", *map(chr, range(0x2000, 0x200B)), "\u2028", "\u2029", "\u202f", "\u205f", "\u3000")
+_WHOLE = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
+
+
+def _chunks(text: str) -> list[str]:
+    if any(x in text for x in _WHOLE):
+        return [text]
+    if any(x in text for x in _UNEVEN) or text[:1].isspace() or text[-1:].isspace() or not text.isascii() and any(x in text for x in _RARE):
+        return _CHUNK.findall(text)
+    return text.replace("\n", "\0\n").replace(" ", "\0 ").split("\0")
+
+
+#: Chunks, and pieces, of each of the two generations that a worker remembers.
+CHUNKS_KEPT = 300_000
+
+
+class Memory(dict):
+    """A bounded map in two generations: when the young one is full it becomes the old one; what is asked for comes back."""
+
+    def __init__(self, kept: int):
+        self.kept, self.old = kept, {}
+
+    def recall(self, keys: set) -> list:
+        """Brings keys of the old generation back; returns those that neither has."""
+        if len(self) > self.kept:
+            self.old = dict(self)
+            self.clear()
+        old, new = self.old, []
+        for key in keys:
+            if key not in self:
+                if key in old:
+                    self[key] = old[key]
+                else:
+                    new.append(key)
+        return new
 
 
 class ChunkedTokenizer:
@@ -104,24 +136,26 @@ class ChunkedTokenizer:
 
         self.tokenizer = Tokenizer.from_file(file)
         self.tokenizer.encode_special_tokens = True
-        self.kept, self.chunks, self.pieces = kept, {}, {}
+        self.chunks, self.pieces = Memory(kept), Memory(2 * kept)
 
-    def _learn(self, chunks: list[str]) -> None:
-        pieces, parts = self.pieces, [[c] if _WHOLE.search(c) else _PIECE.findall(c) for c in chunks]
-        new = list(set().union(*parts).difference(pieces))
-        for e, piece in zip(self.tokenizer.encode_batch_fast(new, add_special_tokens=False), new, strict=True):
-            pieces[piece] = np.array(e.ids, "<u4").tobytes()
+    def _learn(self, chunks: list[str], whole: set[str]) -> None:
+        pieces, parts = self.pieces, [[c] if c in whole else _PIECE.findall(c) for c in chunks]
+        new = pieces.recall(set().union(*parts))
+        pieces.update((piece, array("I", e.ids).tobytes()) for piece, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True))
         self.chunks.update((c, b"".join(map(pieces.__getitem__, p))) for c, p in zip(chunks, parts, strict=True))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        cut = [[t] if _WHOLE.search(t) else _CHUNK.findall(t) if _UNEVEN.search(t) else t.replace("\n", "\0\n").replace(" ", "\0 ").split("\0") if "\0" not in t else _CHUNK.findall(t) for t in texts]
-        for memory in (self.chunks, self.pieces):
-            if len(memory) > self.kept:
-                memory.clear()
-        new = list(set().union(*cut).difference(self.chunks)) if cut else []
+        chunks, cuts = self.chunks, [_chunks(t) for t in texts]
+        ids = [list(map(chunks.get, c)) for c in cuts]
+        gaps = [[i for i, x in enumerate(one) if x is None] for one in ids]
+        new = chunks.recall({c[i] for c, gap in zip(cuts, gaps, strict=True) for i in gap})
+        whole = {c[0] for c in cuts if len(c) == 1 and any(x in c[0] for x in _WHOLE)}
         for start in range(0, len(new), 20_000):
-            self._learn(new[start : start + 20_000])
-        return [b"".join(map(self.chunks.__getitem__, p)) for p in cut]
+            self._learn(new[start : start + 20_000], whole)
+        for one, c, gap in zip(ids, cuts, gaps, strict=True):
+            for i in gap:
+                one[i] = chunks[c[i]]
+        return list(map(b"".join, ids))
 
 
 @lru_cache(maxsize=2)

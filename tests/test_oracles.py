@@ -5,7 +5,7 @@ import pytest
 import __spark_entry__ as entry_module
 from oddsmill.plans.catalog import ORACLES, QUERIES
 
-from .compare import assert_same
+from tests.compare import assert_same
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
