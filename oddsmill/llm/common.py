@@ -9,6 +9,9 @@ import uuid
 from array import array
 from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,43 +92,42 @@ _RARE = ("\x85", "\xa0", "\u1680", *map(chr, range(0x2000, 0x200B)), "\u2028", "
 _WHOLE = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
 
 
-def _chunks(text: str) -> list[str]:
+def _kind(text: str) -> str:
+    """How a text is cut: not at all, by pattern, or before each space and line end."""
     if any(x in text for x in _WHOLE):
-        return [text]
+        return "whole"
     if any(x in text for x in _UNEVEN) or text[:1].isspace() or text[-1:].isspace() or not text.isascii() and any(x in text for x in _RARE):
-        return _CHUNK.findall(text)
-    return text.replace("\n", "\0\n").replace(" ", "\0 ").split("\0")
+        return "uneven"
+    return "even"
 
 
-#: Chunks, and pieces, of each of the two generations that a worker remembers.
-CHUNKS_KEPT = 300_000
+#: Chunks, and pieces, of each of the two generations that a worker remembers; characters looked up at once.
+CHUNKS_KEPT, AT_ONCE = 300_000, 4 << 20
 
 
-class Memory(dict):
+class Memory:
     """A bounded map in two generations: when the young one is full it becomes the old one; what is asked for comes back."""
 
     def __init__(self, kept: int):
-        self.kept, self.old = kept, {}
-
-    def recall(self, keys: set) -> list:
-        """Brings keys of the old generation back; returns those that neither has."""
-        if len(self) > self.kept:
-            self.old = dict(self)
-            self.clear()
-        old, new = self.old, []
-        for key in keys:
-            if key not in self:
-                if key in old:
-                    self[key] = old[key]
-                else:
-                    new.append(key)
-        return new
+        self.kept, self.young, self.old = kept, {}, {}
+
+    def recall(self, keys: list) -> tuple[list, list[int]]:
+        """Values of distinct keys, and the places of those that neither generation has."""
+        if len(self.young) > self.kept:
+            self.old, self.young = self.young, {}
+        values, old, young = list(map(self.young.get, keys)), self.old, self.young
+        missing = [i for i, v in enumerate(values) if v is None]
+        for i in missing:
+            if (v := old.get(keys[i])) is not None:
+                young[keys[i]] = values[i] = v
+        return values, [i for i in missing if values[i] is None]
 
 
 class ChunkedTokenizer:
     """The tokenizers library with a bounded memory of chunks; ids come as little-endian 32-bit bytes.
 
-    Special tokens' names in a text count as ordinary text; none are added.
+    Each distinct chunk of a batch is looked up once, and ids are laid out by index. Special tokens' names in a text
+    count as ordinary text; none are added.
     """
 
     def __init__(self, file: str, kept: int = CHUNKS_KEPT):
@@ -138,24 +140,61 @@ class ChunkedTokenizer:
         self.tokenizer.encode_special_tokens = True
         self.chunks, self.pieces = Memory(kept), Memory(2 * kept)
 
-    def _learn(self, chunks: list[str], whole: set[str]) -> None:
-        pieces, parts = self.pieces, [[c] if c in whole else _PIECE.findall(c) for c in chunks]
-        new = pieces.recall(set().union(*parts))
-        pieces.update((piece, array("I", e.ids).tobytes()) for piece, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True))
-        self.chunks.update((c, b"".join(map(pieces.__getitem__, p))) for c, p in zip(chunks, parts, strict=True))
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, chunks: list[str]) -> list[bytes]:
+        parts = [_PIECE.findall(c) for c in chunks]
+        keys = list(set().union(*parts))
+        ids, new = self.pieces.recall(keys)
+        for i, x in zip(new, self._encode([keys[i] for i in new]), strict=True):
+            self.pieces.young[keys[i]] = ids[i] = x
+        ids_of = dict(zip(keys, ids, strict=True))
+        return [b"".join(map(ids_of.__getitem__, p)) for p in parts]
+
+    def _lay_out(self, chunks: pa.Array, ends: np.ndarray) -> list[bytes]:
+        """Ids of texts, given all their chunks and where each text's chunks end."""
+        coded = chunks.dictionary_encode()
+        keys, at = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+        ids, new = self.chunks.recall(keys)
+        for start in range(0, len(new), 20_000):
+            some = new[start : start + 20_000]
+            for i, x in zip(some, self._learn([keys[i] for i in some]), strict=True):
+                self.chunks.young[keys[i]] = ids[i] = x
+        pool, sizes = np.frombuffer(b"".join(ids), "<u4"), np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        lengths = sizes[at]
+        to = np.cumsum(lengths)
+        flat = pool[np.repeat((np.cumsum(sizes) - sizes)[at] - to + lengths, lengths) + np.arange(to[-1] if len(to) else 0)]
+        cuts = np.concatenate([[0], to])[ends]
+        return [flat[a:b].tobytes() for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
+
+    def _some(self, texts: list[str]) -> list[bytes]:
+        out, even, uneven, whole = [b""] * len(texts), [], [], []
+        for i, t in enumerate(texts):
+            kind = _kind(t)
+            (whole if kind == "whole" else uneven if kind == "uneven" else even).append(i)
+        if whole:
+            for i, ids in zip(whole, self._encode([texts[i] for i in whole]), strict=True):
+                out[i] = ids
+        if even:
+            parts = pc.split_pattern(pa.array([texts[i].replace("\n", "\0\n").replace(" ", "\0 ") for i in even], pa.string()), "\0")
+            for i, ids in zip(even, self._lay_out(parts.flatten(), parts.offsets.to_numpy()[1:]), strict=True):
+                out[i] = ids
+        if uneven:
+            parts = [_CHUNK.findall(texts[i]) for i in uneven]
+            flat = pa.array([c for p in parts for c in p], pa.string())
+            for i, ids in zip(uneven, self._lay_out(flat, np.cumsum([len(p) for p in parts])), strict=True):
+                out[i] = ids
+        return out
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        chunks, cuts = self.chunks, [_chunks(t) for t in texts]
-        ids = [list(map(chunks.get, c)) for c in cuts]
-        gaps = [[i for i, x in enumerate(one) if x is None] for one in ids]
-        new = chunks.recall({c[i] for c, gap in zip(cuts, gaps, strict=True) for i in gap})
-        whole = {c[0] for c in cuts if len(c) == 1 and any(x in c[0] for x in _WHOLE)}
-        for start in range(0, len(new), 20_000):
-            self._learn(new[start : start + 20_000], whole)
-        for one, c, gap in zip(ids, cuts, gaps, strict=True):
-            for i in gap:
-                one[i] = chunks[c[i]]
-        return list(map(b"".join, ids))
+        out, start, held = [], 0, 0
+        for i, t in enumerate(texts):
+            held += len(t)
+            if held > AT_ONCE or i + 1 == len(texts):
+                out += self._some(texts[start : i + 1])
+                start, held = i + 1, 0
+        return out
 
 
 @lru_cache(maxsize=2)
