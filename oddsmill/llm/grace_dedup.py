@@ -165,7 +165,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with their columns: of equal texts, the row with the largest id."""
-    stay = cut(exact_dedup(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("i"), F.col("text_sha256").alias("s")), "kept")
-    rows = docs.withColumn("sha_", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
-    same = F.col(id_col).eqNullSafe(F.col("i")) & (F.col("sha_") == F.col("s"))
-    return rows.join(stay.hint("shuffle_hash"), same, "left_semi").dropDuplicates([id_col, "sha_"]).drop("sha_")
+    # one key that is never null: then rows are dealt once, for the join and for what drops repeated rows
+    key = lambda i, sha: F.concat_ws(":", F.coalesce(F.col(i).cast("string"), F.lit("null")), sha)
+    stay = cut(exact_dedup(docs, id_col, text_col).where("kept").select(key("doc_id", F.col("text_sha256")).alias("key_")), "kept")
+    rows = docs.withColumn("key_", key(id_col, F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)))
+    return rows.join(stay.hint("shuffle_hash"), "key_", "left_semi").dropDuplicates(["key_"]).select(docs.columns)
