@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
 import re
-import tempfile
-import uuid
 from array import array
 from functools import lru_cache
 
@@ -15,61 +12,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scratch import cut, scratch_path, scratch_root, small_batches  # noqa: F401  the operators take them from here
+
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_roots: dict[str, str] = {}
-
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """Folder of this application's scratch tables, below spark.checkpoint.dir.
-
-    The setting is read from the session. Only a local session that has none gets a temporary folder of
-    its own; on a cluster a missing setting is an error, as no local folder is seen by all machines.
-    """
-    app = spark.sparkContext.applicationId
-    if app not in _roots:
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            if not spark.sparkContext.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            base = tempfile.mkdtemp(prefix="oddsmill-")
-        _roots[app] = f"{base.rstrip('/')}/oddsmill-{app}-{uuid.uuid4().hex[:8]}"
-        atexit.register(_forget, spark, _roots[app])
-    return _roots[app]
-
-
-def _forget(spark: SparkSession, root: str) -> None:
-    """Removes the scratch tables when the driver ends."""
-    try:
-        path = spark._jvm.org.apache.hadoop.fs.Path(root)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    except Exception:  # the session is gone already; the folder is the cluster's to clean
-        pass
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """df written once as Parquet in the shared scratch folder and read back: later reads don't recompute it."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bounds Arrow batches to some rows, as single texts can be very long. Lowers the session's setting only."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, rows)
-
-
 def ordered_key(column: str):
     """A non-null string key for a nullable string column: sorts by code point, null last, null equal to null."""
     return F.coalesce(F.concat(F.lit("v"), F.col(column)), F.lit("z"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.columns import rounded as r
+from ..functions.scratch import cut
 from ..operators import series as ops
 from ..sources.market_tables import price_history, trades
 from .registry import query
@@ -72,6 +73,19 @@ def corr_matrix(spark, sf):
     return ops.correlation_matrix(price_corr(spark, sf), list(range(WATCHED)))
 
 
+@query("price_corr_all")
+def price_corr_all(spark, sf):
+    """Pairs of all markets; price_corr is the part of them that its SQL asks for."""
+    return ops.correlations(price_history(spark, sf))
+
+
+@query("corr_matrix_all")
+def corr_matrix_all(spark, sf):
+    """The matrix of all markets as rows."""
+    pairs = cut(price_corr_all(spark, sf), "pairs")
+    return ops.correlation_rows(pairs, price_history(spark, sf))
+
+
 DAILY = """with d as (select user_id as market, date_trunc('day', ts) as day, avg(value) as price from events where user_id < 30 group by all),
 h as (select *, case when day < '2024-01-16' then 1 else 2 end as half, row_number() over (partition by market, case when day < '2024-01-16' then 1 else 2 end order by day desc) as back from d),
 c as (select a.half, a.market as a, b.market as b, round_even(case when count(*) < 10 or var_pop(a.price) = 0 or var_pop(b.price) = 0 then 0 else coalesce(corr(a.price, b.price), 0) end, 6) as corr

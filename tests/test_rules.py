@@ -164,3 +164,31 @@ def test_market_status(spark):
     at = lambda days: F.timestamp_seconds(F.lit(1_700_000_000 + int(days * 86400)))
     got = [one(spark, s=scoring.market_status(at(d), at(0)))["s"] for d in (-8, -5, -0.5, 0.5, 2.5, 30)]
     assert got == ["overdue_long", "overdue_week", "overdue_day", "expiring", "soon", ""]
+
+
+def test_correlations_of_all_pairs_against_brute_force(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(series, "BLOCK", 7)
+    rng = np.random.default_rng(5)
+    x = {m: list(rng.normal(size=rng.integers(5, 40)) * 10.0 ** rng.integers(-3, 6) + 1000) for m in range(40)}
+    x[3], x[4] = [0.1] * 30, [0.3] * 20 + [0.5] + [0.7] * 9  # constant; constant over its last points
+    x[5] = list(x[6]) + [1.0]
+    s = spark.createDataFrame([(m, i, float(v)) for m, vs in x.items() for i, v in enumerate(vs)], "market long, seq long, price double")
+    got = {(r["a"], r["b"]): (r["points"], r["corr"]) for r in series.correlations(s, 25).collect()}
+    assert set(got) == {(a, b) for a in x for b in x if a < b}
+    for (a, b), (points, c) in got.items():
+        n = min(25, len(x[a]), len(x[b]))
+        p, q = np.array(x[a][-n:]), np.array(x[b][-n:])
+        flat = n < 10 or np.ptp(p) == 0 or np.ptp(q) == 0
+        assert points == n and c == pytest.approx(0 if flat else np.corrcoef(p, q)[0, 1], abs=2e-6)
+    rows = series.correlation_rows(series.correlations(s, 25), s)
+    assert rows.count() == 1600 and rows.where("market = other and corr = 1").count() == 40
+
+
+def test_no_market_is_left_out(spark, sf_dir):
+    from oddsmill.plans.catalog import QUERIES
+
+    d = sf_dir.replace("sf0.001", "sf0.01")
+    assert QUERIES["price_corr_all"](spark, d).count() == 150 * 149 // 2
+    assert QUERIES["corr_matrix_all"](spark, d).count() == 150 * 150
