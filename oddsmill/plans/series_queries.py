@@ -95,15 +95,24 @@ select x.a, x.b, x.corr as base, y.corr as now, round_even(abs(y.corr - x.corr),
 from c x join c y on x.half = 1 and y.half = 2 and x.a = y.a and x.b = y.b join tr ta on ta.market = x.a join tr tb on tb.market = x.b where x.corr > 0.5 and round_even(abs(y.corr - x.corr), 6) > 0.3"""
 
 
-def _halves(spark, sf):
-    d = trades(spark, sf).where("user_id < 30").groupBy(F.col("user_id").alias("market"), F.date_trunc("day", "ts").alias("seq")).agg(F.avg("volume").alias("price"))
+def _halves(spark, sf, only="true"):
+    d = trades(spark, sf).where(only).groupBy(F.col("user_id").alias("market"), F.date_trunc("day", "ts").alias("seq")).agg(F.avg("volume").alias("price"))
     first = F.col("seq") < F.lit("2024-01-16").cast("timestamp")
     return d.where(first), d.where(~first)
 
 
 @query("corr_breakdown", DAILY)
 def corr_breakdown(spark, sf):
-    one, two = _halves(spark, sf)
+    return _breakdowns(*_halves(spark, sf, "user_id < 30"))
+
+
+@query("corr_breakdown_all")
+def corr_breakdown_all(spark, sf):
+    """Broken correlations of all markets; corr_breakdown is the part of them that its SQL asks for."""
+    return _breakdowns(*_halves(spark, sf))
+
+
+def _breakdowns(one, two):
     found = ops.breakdowns(ops.correlations(one, 50), ops.correlations(two, 50), ops.tail_aligned(two, 50), tau=0.5)
     return found.select("a", "b", "base", "now", "divergence", "direction", "confidence").orderBy(F.desc("divergence"), "a", "b")
 

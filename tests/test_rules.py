@@ -192,3 +192,44 @@ def test_no_market_is_left_out(spark, sf_dir):
     d = sf_dir.replace("sf0.001", "sf0.01")
     assert QUERIES["price_corr_all"](spark, d).count() == 150 * 149 // 2
     assert QUERIES["corr_matrix_all"](spark, d).count() == 150 * 150
+
+
+def greedy(edges):
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    seen, out = set(), set()
+    for seed in sorted(near):
+        if seed not in seen:
+            members = [m for m in near[seed] if m not in seen] + [seed]
+            seen.update(members)
+            out |= {(seed, m) for m in members} if len(members) > 1 else set()
+    return out
+
+
+@pytest.mark.parametrize("folded", [0, 12, 10_000])
+def test_cluster_rounds_equal_the_sequential_fold(spark, folded):
+    rng = random.Random(4)
+    # 4 joins 2, a seed of the second round, though 3 is a seed of the first
+    graphs = [{(0, 1), (1, 2), (2, 4), (3, 4)}, {(i, i + 1) for i in range(9)}] + [{tuple(sorted(rng.sample(range(60), 2))) for _ in range(n)} for n in (40, 150)]
+    for edges in graphs:
+        p = spark.createDataFrame([(a, b, 0.9) for a, b in edges] + [(98, 99, 0.1)], "a long, b long, corr double")
+        got = [tuple(r) for r in series.greedy_clusters(p, folded=folded).select("cluster", "market").collect()]
+        assert len(got) == len(set(got)) and set(got) == greedy(edges)
+    assert series.greedy_clusters(p.where("corr > 1"), folded=folded).count() == 0
+
+
+def test_clusters_and_breakdowns_of_all_markets(spark, sf_dir):
+    from oddsmill.plans import series_queries
+    from oddsmill.plans.catalog import QUERIES
+
+    d = sf_dir.replace("sf0.001", "sf0.01")
+    halves = [series.correlations(h, 50).toPandas() for h in series_queries._halves(spark, d)]
+    edges = {(a, b) for a, b, _, c in halves[0].itertuples(index=False) if c >= 0.5}
+    assert {(r["cluster"], r["market"]) for r in QUERIES["corr_clusters"](spark, d).collect()} == greedy(edges)
+    assert max(b for _, b in edges) >= 30
+    both = halves[0].merge(halves[1], on=["a", "b"])
+    broken = both[(both["corr_x"] > 0.5) & ((both["corr_x"] - both["corr_y"]).abs().round(6) > 0.3)]
+    got = {(r["a"], r["b"]) for r in QUERIES["corr_breakdown_all"](spark, d).collect()}
+    assert got == set(zip(broken["a"], broken["b"], strict=True)) and max(b for _, b in got) >= 30
