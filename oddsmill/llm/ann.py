@@ -7,9 +7,10 @@ products with all words once, and scores codes by table look-ups; the best KEPT
 products in double precision. Query blocks meet packs of codes, both of bounded size; partial results are bounded lists,
 merged in a tree, so neither a query's candidates nor a pack grows with the table.
 
-Ties go to the smaller id, also within codes, so groups of equal vectors are no harm. Vectors null, zero, holding null or
+Only one row of each distinct vector, that with the least id, is coded and scored, so that copies take no places from
+others; the best are expanded to the ids of their copies at the end. Ties go to the smaller id. Vectors null, zero, holding null or
 non-finite components, or of another dimension than the most common one take no part. Rows that repeat an id
-count once; a row is never its own id's candidate. Tables smaller than k give all candidates; empty ones an empty
+count once, with the least vector; a row is never its own id's candidate. Tables smaller than k give all candidates; empty ones an empty
 result. Other columns are ignored.
 """
 
@@ -25,6 +26,8 @@ from .common import cut, small_batches, spread
 BOOKS, WORDS, BEAM, SAMPLE = 12, 256, 6, 8192
 #: Candidates per query that are reranked, codes in a pack, queries in a block, partial lists merged at once.
 KEPT, PACK, BLOCK, FAN = 200, 16_384, 256, 64
+#: Parts that a group of equal vectors is dealt to before its least ids are known.
+PARTS = 32
 
 
 def beam_encode(x: np.ndarray, books: np.ndarray, beam: int) -> np.ndarray:
@@ -144,6 +147,14 @@ def inner(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def copies(rows: DataFrame, kept: int) -> DataFrame:
+    """ids: of each distinct vector the `kept` least ids, in order. Parts of a group are cut to as many before they meet."""
+    hashed = rows.select(F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(1), "v").alias("h2"), "vec_id").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(PARTS)))
+    for keys in (["h1", "h2", "part"], ["h1", "h2"]):
+        hashed = hashed.withColumn("rn", F.row_number().over(Window.partitionBy(*keys).orderBy("vec_id"))).where(F.col("rn") <= kept)
+    return hashed.groupBy("h1", "h2").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).select("ids")
+
+
 def search(table: DataFrame, is_query: Column, k: int = 20, kept: int = KEPT, id_col: str = "vec_id", vector_col: str = "embedding", metric: str = "ip") -> DataFrame:
     """query_id, rank, vec_id, score: the k best candidates of each row for which is_query (over vec_id) holds.
 
@@ -156,11 +167,15 @@ def search(table: DataFrame, is_query: Column, k: int = 20, kept: int = KEPT, id
     if not d:
         return spark.createDataFrame([], empty)
     rows = cut(rows, "vectors")
-    sample = rows.orderBy(spread("vec_id"), "vec_id").limit(SAMPLE).toPandas()
+    if rows.select("vec_id").distinct().count() < rows.count():
+        rows = cut(rows.groupBy("vec_id").agg(F.min("v").alias("v")), "vectors")
+    groups = cut(copies(rows, k + 1), "copies")
+    one = cut(rows.join(groups.select(F.col("ids")[0].alias("vec_id")), "vec_id", "left_semi").select("vec_id", "v"), "distinct-vectors")
+    sample = one.orderBy(spread("vec_id"), "vec_id").limit(SAMPLE).toPandas()
     books = fit_books(np.stack(sample["v"]))
-    total = rows.count()
+    total = one.count()
     n_packs, n_blocks = -(-total // PACK), max(1, -(-rows.where(is_query).count() // BLOCK))
-    codes = rows.select("vec_id", "v").mapInArrow(encoder(books, BEAM), "vec_id long, code binary, norm2 float")
+    codes = one.select("vec_id", "v").mapInArrow(encoder(books, BEAM), "vec_id long, code binary, norm2 float")
     place = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
     packs = codes.withColumn("pack", place(n_packs)).groupBy("pack").applyInPandas(_pack, "pack int, ids binary, codes binary, norms binary")
     packs = packs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
@@ -170,8 +185,12 @@ def search(table: DataFrame, is_query: Column, k: int = 20, kept: int = KEPT, id
     while n_packs > FAN:
         n_packs = -(-n_packs // FAN)
         found = found.groupBy("query_id", F.pmod("pack", F.lit(n_packs)).alias("pack")).agg(best())
-    pairs = found.groupBy("query_id").agg(best()).select("query_id", F.explode("found.id").alias("vec_id")).where("query_id <> vec_id")
-    scored = pairs.join(rows, "vec_id").join(rows.where(is_query).dropDuplicates(["vec_id"]).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
+    pairs = found.groupBy("query_id").agg(best()).select("query_id", F.explode("found.id").alias("vec_id"))
+    scored = pairs.join(one, "vec_id").join(rows.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
     measure = inner("q", "v") if metric == "ip" else 2 * inner("q", "v") - inner("v", "v") - inner("q", "q")
-    ranked = scored.select("query_id", "vec_id", measure.alias("score")).dropDuplicates(["query_id", "vec_id"]).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("int"))
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("int")
+    # each distinct vector gives an id at least, and one of them may be the query's own
+    first = scored.select("query_id", "vec_id", measure.alias("score")).withColumn("rank", rank).where(F.col("rank") <= k + 1).drop("rank")
+    more = groups.where(F.size("ids") > 1).select(F.col("ids")[0].alias("vec_id"), "ids")
+    every = first.join(more, "vec_id", "left").select("query_id", "score", F.explode(F.coalesce("ids", F.array("vec_id"))).alias("vec_id")).where("query_id <> vec_id")
+    return every.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

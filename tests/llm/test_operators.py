@@ -415,6 +415,28 @@ def test_nearest_odd_rows_and_recall(spark):
     assert ann.search(few.where("1 = 0"), F.col("vec_id") % 20 == 0).count() == 0
 
 
+@pytest.mark.parametrize("metric", ["ip", "l2"])
+def test_copies_and_repeated_ids_take_no_places(spark, metric):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(3000, 16)).astype(np.float32)
+    x[0] = [1] + [0] * 15
+    x[1:31] = x[0] * 3 + rng.normal(size=(30, 16)).astype(np.float32) * 0.02  # true neighbours of 0
+    x[31:1500] = x[0] * 2.9  # one group just behind them
+    x[1500:] /= np.linalg.norm(x[1500:], axis=1)[:, None]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(2999, x[2999].tolist())] * 300
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    from pyspark.sql import functions as F
+
+    got = defaultdict(list)
+    for r in ann.search(df, F.col("vec_id").isin(0, 40, 2999), metric=metric).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    x64 = x.astype(float)
+    for q in (0, 40, 2999):
+        s = x64 @ x64[q] if metric == "ip" else -((x64 - x64[q]) ** 2).sum(1)
+        best = [int(i) for i in np.lexsort((np.arange(3000), -s)) if i != q][:20]
+        assert len(got[q]) == len(set(got[q])) == 20 and len(set(best) & set(got[q])) >= (18 if q < 2000 else 15)
+
+
 def test_nearest_recall_on_the_table(spark):
     d = "/root/testdata/sf0.01"
     e = spark.read.parquet(f"{d}/embeddings.parquet").toPandas()
