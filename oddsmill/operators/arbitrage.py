@@ -64,6 +64,18 @@ def similar_pairs(left: DataFrame, right: DataFrame, floor: float = LIMITS.match
     return both.select("l_id", "r_id", sim.alias("similarity")).where(F.col("similarity") > floor)
 
 
+def with_entities(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """Pairs (l_id, r_id, similarity) with both texts' entities and if the match is valid at its own similarity."""
+    found = lambda df, p: df.select(F.col("id").alias(f"{p}_id"), text.entities(F.col("text")).alias(f"{p}_entities"))
+    both = pairs.join(found(left, "l"), "l_id").join(found(right, "r"), "r_id")
+    return both.withColumn("valid", text.valid_match(F.col("l_entities"), F.col("r_entities"), F.col("similarity")))
+
+
+def valid_pairs(left: DataFrame, right: DataFrame, floor: float = LIMITS.match_floor) -> DataFrame:
+    """similar_pairs that pass entity validation."""
+    return with_entities(similar_pairs(left, right, floor), left, right).where("valid").select("l_id", "r_id", "similarity")
+
+
 def best_matches(pairs: DataFrame) -> DataFrame:
     """The most similar right row of each left row; ties go to the lesser right id."""
     w = Window.partitionBy("l_id").orderBy(F.desc("similarity"), "r_id")

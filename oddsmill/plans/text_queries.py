@@ -50,12 +50,16 @@ def jaccard(spark, sf):
     return b.join(n, F.col("item_id") == F.col("i")).select(F.col("item_id").alias("a"), "b", r(text.jaccard(F.col("w"), F.col("v"))).alias("similarity"))
 
 
+def _sides(spark, sf):
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), "text"), table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+
+
 @query("event_match", f"""with l as (select item_id as id, list_distinct({_tokens('text')}) as w from benchmark), d as (select doc_id as id, list_distinct({_tokens('text')}) as w from documents),
 p as (select l.id as l_id, d.id as r_id, len(list_intersect(l.w, d.w)) as i, len(l.w) + len(d.w) as s from l, d where len(l.w) > 0 and len(d.w) > 0),
 x as (select *, i / (s - i) as sim, row_number() over (partition by l_id order by i / (s - i) desc, r_id) as rn from p where i / (s - i) > 0.1)
 select l_id, r_id, round_even(sim, 6) as similarity from x where rn = 1""")
 def event_match(spark, sf):
-    b, d = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), "text"), table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    b, d = _sides(spark, sf)
     return arbitrage.best_matches(arbitrage.similar_pairs(b, d, 0.1)).select("l_id", "r_id", r(F.col("similarity")).alias("similarity"))
 
 
@@ -78,6 +82,21 @@ def entity_match(spark, sf):
     return j.select(F.col("doc_id").alias("a"), "b", F.array_join("e", ",").alias("entities"), F.size(F.array_intersect("e", "f")).cast("long").alias("shared"), text.valid_match(F.col("e"), F.col("f"), F.lit(0.4)).alias("valid"))
 
 
+@query("event_match_valid")
+def event_match_valid(spark, sf):
+    """The most similar document of each item among those that pass entity validation; event_match ranks without it, as its SQL does."""
+    b, d = _sides(spark, sf)
+    return arbitrage.best_matches(arbitrage.valid_pairs(b, d, 0.1)).select("l_id", "r_id", r(F.col("similarity")).alias("similarity"))
+
+
+@query("entity_match_pairs")
+def entity_match_pairs(spark, sf):
+    """Entity validation of all candidate pairs at their own similarity; entity_match compares neighbouring ids, as its SQL does."""
+    b, d = _sides(spark, sf)
+    e = arbitrage.with_entities(arbitrage.similar_pairs(b, d, 0.1), b, d)
+    return e.select("l_id", "r_id", r(F.col("similarity")).alias("similarity"), F.array_join("l_entities", ",").alias("entities"), F.size(F.array_intersect("l_entities", "r_entities")).cast("long").alias("shared"), "valid")
+
+
 @query("headline_score", HEADLINES + "select * from hs")
 def headline_score(spark, sf):
     return _headlines(spark, sf)

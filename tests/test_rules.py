@@ -233,3 +233,16 @@ def test_clusters_and_breakdowns_of_all_markets(spark, sf_dir):
     broken = both[(both["corr_x"] > 0.5) & ((both["corr_x"] - both["corr_y"]).abs().round(6) > 0.3)]
     got = {(r["a"], r["b"]) for r in QUERIES["corr_breakdown_all"](spark, d).collect()}
     assert got == set(zip(broken["a"], broken["b"], strict=True)) and max(b for _, b in got) >= 30
+
+
+def test_a_vetoed_match_hides_no_valid_one(spark):
+    left = spark.createDataFrame([(1, "will bitcoin reach 2026 high price"), (2, "trump wins the race"), (3, "solid gold")], "id long, text string")
+    right = spark.createDataFrame(
+        [(10, "will ethereum reach 2026 high price"), (11, "bitcoin price 2026 rises"), (12, "biden wins the race"), (13, "gold medal count")],
+        "id long, text string",
+    )
+    pairs = arbitrage.similar_pairs(left, right, 0.1)
+    assert {(r["l_id"], r["r_id"]) for r in arbitrage.best_matches(pairs).collect()} == {(1, 10), (2, 12), (3, 13)}
+    assert [(r["l_id"], r["r_id"]) for r in arbitrage.best_matches(arbitrage.valid_pairs(left, right, 0.1)).collect()] == [(1, 11)]
+    e = arbitrage.with_entities(pairs, left, right)
+    assert {(r["l_id"], r["r_id"]): r["valid"] for r in e.collect()} == {(r["l_id"], r["r_id"]): (r["l_id"], r["r_id"]) == (1, 11) for r in pairs.collect()}
