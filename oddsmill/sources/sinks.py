@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,10 +28,23 @@ def marked_read(alerts: DataFrame, alert_id: int) -> DataFrame:
     return alerts.withColumn("is_read", F.col("is_read") | (F.col("id") == alert_id))
 
 
-def report_document(header: dict[str, str], rows: DataFrame, name: str, top: int = 1000) -> DataFrame:
-    """One row, one column: the JSON text of a header and the first rows (a bounded report)."""
-    picked = rows.limit(top).select(F.struct("*").alias("r"))
-    return picked.agg(F.collect_list("r").alias(name)).select(F.to_json(F.struct(*[F.lit(v).alias(k) for k, v in header.items()], F.size(name).alias("count"), name)).alias("value"))
+def report_document(header: dict[str, str], rows: DataFrame, name: str, top: int = 1000, order: list | None = None) -> DataFrame:
+    """One row, one column: the JSON text of a header, the count of all rows and the first `top` of them.
+
+    They are the first by order, or by all columns that can be sorted. write_report writes all rows.
+    """
+    order = order or [f.name for f in rows.schema if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    picked = rows.orderBy(*order).limit(top).select(F.struct("*").alias("r"))
+    listed = picked.agg(F.collect_list("r").alias(name))
+    return listed.crossJoin(rows.agg(F.count("*").alias("count"))).select(F.to_json(F.struct(*[F.lit(v).alias(k) for k, v in header.items()], "count", name)).alias("value"))
+
+
+def write_report(header: dict[str, str], rows: DataFrame, name: str, path: str) -> None:
+    """All rows as JSON lines in the folder path/name, written by the executors; the header with their count in path/header."""
+    spark = rows.sparkSession
+    rows.write.option("ignoreNullFields", "true").json(f"{path}/{name}")
+    count = spark.read.text(f"{path}/{name}").count()
+    spark.createDataFrame([(json.dumps(header | {"count": count}),)], "value string").coalesce(1).write.text(f"{path}/header")
 
 
 def replace_table(rows: DataFrame, path: str) -> None:

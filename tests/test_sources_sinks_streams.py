@@ -37,6 +37,17 @@ def test_report_document(spark):
     assert doc == {"kind": "pairs", "count": 1, "items": [{"id": 1, "name": "a"}]}
 
 
+def test_reports_count_and_keep_all_rows(spark, tmp_path):
+    rows = spark.range(2500).repartition(7).select((2500 - F.col("id")).alias("id"), F.lit("a\nb").alias("name"), F.create_map(F.lit("k"), "id").alias("m"))
+    doc = json.loads(sinks.report_document({"kind": "pairs"}, rows, "items", top=1000, order=[F.desc("id")]).first()["value"])
+    assert doc["count"] == 2500 and [x["id"] for x in doc["items"]] == list(range(2500, 1500, -1))
+    assert [x["id"] for x in json.loads(sinks.report_document({}, rows, "items", top=3).first()["value"])["items"]] == [1, 2, 3]
+    path = str(tmp_path / "report")
+    sinks.write_report({"kind": "pairs"}, rows, "items", path)
+    assert json.loads(spark.read.text(f"{path}/header").first()["value"]) == {"kind": "pairs", "count": 2500}
+    assert sorted(r["id"] for r in spark.read.json(f"{path}/items").collect()) == list(range(1, 2501))
+
+
 def test_replace_table_from_itself(spark, tmp_path):
     path = str(tmp_path / "t")
     spark.range(3).write.parquet(path)
