@@ -6,20 +6,44 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import LIMITS
+from ..functions.scratch import cut
+
+
+def _next_after(rows: DataFrame, keys: list[str], gap_us: int) -> DataFrame:
+    """(uid, to): of each row (keys, ts_us, uid) the first row of its key at least gap_us later; rows without one are left out.
+
+    Rows and the times asked for are range-sorted together, so a key's timeline is spread over chunks. A time looks in its
+    chunk first, then takes the first row of the next of its key's chunks that has one.
+    """
+    asked = rows.select(*keys, (F.col("ts_us") + gap_us).alias("t"), F.lit(0).alias("kind"), "uid", F.lit(None).cast("long").alias("row"))
+    both = asked.unionByName(rows.select(*keys, F.col("ts_us").alias("t"), F.lit(1).alias("kind"), "uid", F.col("uid").alias("row")))
+    both = cut(both.repartitionByRange(*keys, "t", "kind").withColumn("chunk", F.spark_partition_id()), "alert-chunks")
+    within = Window.partitionBy(*keys, "chunk").orderBy(F.desc("t"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, 0)
+    later = Window.partitionBy(*keys).orderBy(F.desc("chunk")).rowsBetween(Window.unboundedPreceding, -1)
+    heads = both.groupBy(*keys, "chunk").agg(F.min(F.when(F.col("kind") == 1, F.struct("t", "row")))["row"].alias("head")).withColumn("head", F.last("head", ignorenulls=True).over(later))
+    heads = heads.withColumnsRenamed({k: f"{k}_" for k in [*keys, "chunk"]})
+    found = both.withColumn("to", F.last("row", ignorenulls=True).over(within)).where("kind = 0")
+    met = found.join(heads, [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in [*keys, "chunk"]], "left")
+    return met.select("uid", F.coalesce("to", "head").alias("to")).where("to is not null")
 
 
 def kept_with_gap(alerts: DataFrame, keys: list[str], gap_s: int) -> DataFrame:
     """Alerts (keys, ts_us, id) at least gap_s after the last one kept of their key.
 
-    A lag can't say this, as what is kept depends on what was kept before. The fold is an aggregate over a key's sorted
-    times inside the JVM; a key's alerts are one array, so keys are to be wallets or finer.
+    A lag can't say this, as what is kept depends on what was kept before. Each alert points to the one that would be kept
+    next after it; from a key's first alert, pointers that double in length each round reach all that are kept, in as many
+    rounds as the logarithm of the longest chain. No task needs a whole key. Alerts without a time are kept.
     """
-    gap = F.lit(gap_s * 1_000_000).cast("long")
-    times = alerts.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("ts_us", "id"))).alias("xs"))
-    item = "struct<ts_us:bigint,id:bigint>"
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast(f"array<{item}>").alias("out"))
-    step = lambda s, x: F.when(s["last"].isNull() | (x["ts_us"] - s["last"] >= gap), F.struct(x["ts_us"].alias("last"), F.concat(s["out"], F.array(x)).alias("out"))).otherwise(s)
-    return times.select(*keys, F.explode(F.aggregate("xs", start, step, lambda s: s["out"])).alias("x")).select(*keys, "x.ts_us", "x.id")
+    rows = alerts.select(*keys, "ts_us", "id")
+    if gap_s <= 0:
+        return rows
+    timed = cut(rows.where("ts_us is not null").groupBy(*keys, "ts_us").agg(F.min("id").alias("id")).withColumn("uid", F.monotonically_increasing_id()), "alerts")
+    jump = cut(_next_after(timed, keys, gap_s * 1_000_000), "alert-jumps")
+    kept = cut(timed.groupBy(*keys).agg(F.min(F.struct("ts_us", "uid"))["uid"].alias("uid")).select("uid"), "alerts-kept")
+    while not (found := cut(kept.join(jump, "uid").select(F.col("to").alias("uid")), "alerts-found")).isEmpty():
+        kept = cut(kept.union(found), "alerts-kept")
+        jump = cut(jump.join(jump.select(F.col("uid").alias("to"), F.col("to").alias("to_")), "to").select("uid", F.col("to_").alias("to")), "alert-jumps")
+    return timed.join(kept, "uid", "left_semi").select(*keys, "ts_us", "id").union(rows.where("ts_us is null"))
 
 
 def cooled_down(alerts: DataFrame, gap_s: int = LIMITS.cooldown_s) -> DataFrame:

@@ -246,3 +246,44 @@ def test_a_vetoed_match_hides_no_valid_one(spark):
     assert [(r["l_id"], r["r_id"]) for r in arbitrage.best_matches(arbitrage.valid_pairs(left, right, 0.1)).collect()] == [(1, 11)]
     e = arbitrage.with_entities(pairs, left, right)
     assert {(r["l_id"], r["r_id"]): r["valid"] for r in e.collect()} == {(r["l_id"], r["r_id"]): (r["l_id"], r["r_id"]) == (1, 11) for r in pairs.collect()}
+
+
+def test_cooldown_spreads_a_key_over_chunks(spark):
+    rng = random.Random(6)
+    rows = [(None if i % 11 == 0 else f"w{i % 3}", rng.choice([rng.randrange(10**6), rng.randrange(10**4), None if i % 50 == 0 else 5]), i) for i in range(1500)]
+    rows += [("one", t, 5000 + t) for t in range(0, 4000)]
+    a = spark.createDataFrame([(w, t if t is None else t * 1_000_000, i) for w, t, i in rows], "wallet string, ts_us long, id long")
+    want, last = [], {}
+    for w, t, i in sorted(rows, key=lambda r: (str(r[0]), r[1] is not None, r[1] or 0, r[2])):
+        if t is None or w not in last or t - last[w] >= 97:
+            want.append((w, t if t is None else t * 1_000_000, i))
+            last |= {} if t is None else {w: t}
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = alerts.kept_with_gap(a, ["wallet"], 97)
+        got = [tuple(r) for r in df.collect()]
+        assert "collect_list" not in df._jdf.queryExecution().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_wilder_rsi_over_chunks_equals_one_fold(spark, monkeypatch):
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(8)
+    x = {m: rng.normal(size=n) for m, n in ((1, 100), (2, 20), (3, 21), (4, 1), (5, 65))}
+    x[1][40:70], x[5][:] = 0.5, np.arange(65.0)
+    x[1][[0, 20, 21, 30, 80]] = np.nan
+    s = spark.createDataFrame([(m, 3 * i, None if np.isnan(v) else float(v)) for m, vs in x.items() for i, v in enumerate(vs)], "market long, seq long, price double")
+    for chunk in (10, 1, 10_000):
+        monkeypatch.setattr(series, "CHUNK", chunk)
+        got = {(r["market"], r["seq"]): r["wilder_rsi"] for r in series.with_wilder_rsi(s).collect()}
+        assert len(got) == sum(map(len, x.values()))
+        for m, vs in x.items():
+            delta = pd.Series(vs).diff()
+            up, down = (d.iloc[1:].ewm(alpha=1 / 14, adjust=False, min_periods=14).mean() for d in (delta.clip(lower=0), (-delta).clip(lower=0)))
+            want = (100 - 100 / (1 + up / down)).where(down > 0, 100.0).reindex(delta.index).fillna(50.0)
+            assert [got[m, 3 * i] for i in range(len(vs))] == pytest.approx(list(want), abs=1e-9)
