@@ -116,16 +116,12 @@ def training_order(copies: DataFrame, position: str = "position", tie: str = "do
     return copies.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
-def first_words(text: Column, n: Column) -> Column:
-    """A text up to its n-th word, white space kept."""
-    return F.array_join(F.slice(F.regexp_extract_all(text, F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0)), 1, n.cast("int")), "")
-
-
 def mixed_documents(docs: DataFrame, share: float = SHARE, cap: float = CAP) -> DataFrame:
     """The rows of docs as often as the mix reads them, with their columns, in training order.
 
-    A copy that its source's target cuts has only its first words (and n_chars, where there is one, follows). Documents
-    are met by (id, source, size, text hash), so that ids need not be unique.
+    A copy that its source's target cuts is read whole, or left out if that is nearer to the target, so every row is a whole
+    document; a source whose only document is over twice its target gives none. Documents are met by (id, source, text hash),
+    so that ids need not be unique.
     """
     keyed = docs.withColumn("h_", F.xxhash64("doc_id", "source", "text"))
     sized = cut(keyed.select(F.monotonically_increasing_id().alias("uid"), F.col("h_").alias("doc_id"), ordered_key("source").alias("skey"), spread("doc_id").alias("spot"), words().alias("size")), "mix-sizes")
@@ -134,8 +130,5 @@ def mixed_documents(docs: DataFrame, share: float = SHARE, cap: float = CAP) ->
     reads = cut(reads.select("k_", "size_", F.explode("copies").alias("c_"), "rows_").select("k_", "size_", "rows_", F.col("c_.position").alias("position_"), F.col("c_.words").alias("words_")), "mix-reads")
     rows = keyed.dropDuplicates(["h_"]) if not reads.where("rows_ > 1").isEmpty() else keyed
     rows = rows.join(reads, F.col("h_") == F.col("k_"))
-    cut_short = F.col("words_") < F.col("size_")
-    rows = rows.withColumn("text", F.when(cut_short, first_words(F.col("text"), F.col("words_"))).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(cut_short, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    rows = rows.where(2 * F.col("words_") >= F.col("size_"))
     return training_order(rows, "position_").select(docs.columns)

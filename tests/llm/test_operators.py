@@ -109,6 +109,15 @@ def test_mixed_documents_repeat_and_cut(spark):
     assert all(f"a{r['doc_id']}  b c\nd".startswith(r["text"]) for r in out)
 
 
+def test_mixed_documents_are_whole(spark):
+    sizes = [7, 3, 50, 1, 12, 30, 5, 9, 40, 2]
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}" for _ in range(n)), "en", f"s{i % 2}", 99) for i, n in enumerate(sizes * 3)], SHAPE)
+    for share in (0.13, 0.37, 0.8, 1.3):
+        out = mixing.mixed_documents(docs, share=share).collect()
+        assert out and all(len(r["text"].split()) == (sizes * 3)[r["doc_id"]] and r["n_chars"] == 99 for r in out)
+        assert abs(sum(len(r["text"].split()) for r in out) - share * sum(sizes) * 3) <= 2 * 25 + 2
+
+
 # 2 and 10: tokens
 
 BYTE, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
