@@ -130,13 +130,13 @@ def identify(docs: DataFrame, model: dict | None, text_col: str = "text", carry:
 
 
 def known_only(docs: DataFrame, model: dict | None, text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, whose text is of one language clearly: not `und`, not ambiguous."""
+    """The rows of docs, all columns, to which identify gives a language, clear or ambiguous: all but `und`."""
     small_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
 
     def keep(batches):
         for batch in batches:
-            clear = [bool(model) and has_letter(t) and not decode(features(t) @ model["w"], model)[2] for t in batch.column(at).to_pylist()]
-            yield batch.filter(pa.array(clear, pa.bool_()))
+            known = [bool(model) and has_letter(t) for t in batch.column(at).to_pylist()]
+            yield batch.filter(pa.array(known, pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)

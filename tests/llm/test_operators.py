@@ -339,6 +339,14 @@ def test_language_odd_rows(spark):
     assert language_id.known_only(df, None).count() == 0
 
 
+def test_ambiguous_documents_stay(spark):
+    model = language_id.fit(np.eye(4, language_id.BUCKETS, dtype=np.float32), ["a", "b", "c", "d"])
+    model["w"] = model["w"] * 0
+    docs = spark.createDataFrame([(1, "mixed words", "en", "s", 11), (2, "12 !", "en", "s", 4), (3, None, "en", "s", 0)], SHAPE)
+    assert [r["ambiguous"] for r in language_id.identify(docs, model).collect()] == [True] * 3
+    assert [r["doc_id"] for r in language_id.known_only(docs, model).collect()] == [1]
+
+
 def test_ambiguity_is_flagged():
     model = language_id.fit(np.eye(4, language_id.BUCKETS, dtype=np.float32), ["a", "b", "c", "d"])
     assert language_id.decode(np.zeros(7), model)[2]
