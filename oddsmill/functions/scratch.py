@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,8 +33,7 @@ def scratch_root(spark: SparkSession) -> str:
 def _forget(spark: SparkSession, root: str) -> None:
     """Removes the scratch tables when the driver ends."""
     try:
-        path = spark._jvm.org.apache.hadoop.fs.Path(root)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete(spark, root)
     except Exception:  # the session is gone already; the folder is the cluster's to clean
         pass
 
@@ -42,11 +42,40 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+@contextmanager
+def shuffles_freed(spark: SparkSession):
+    """What is written inside leaves no shuffle files behind; the table that it wrote is all that is read later."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """df written once as Parquet in the shared scratch folder and read back: later reads don't recompute it."""
+    """df written once as Parquet in the shared scratch folder and read back: later reads don't recompute it.
+
+    The shuffles behind it go as soon as it is written. drop_cut deletes it; the rest goes when the driver ends.
+    """
     path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    with shuffles_freed(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def drop_cut(*tables: DataFrame) -> None:
+    """Deletes tables that cut wrote, when nothing that is still to run reads them."""
+    for t in tables:
+        delete(t.sparkSession, t.cut_path)
 
 
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
