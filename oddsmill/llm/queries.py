@@ -29,7 +29,7 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dup.near_dup_groups(documents(spark, sf_dir), width=3, percent=85)
+    return near_dup.near_dup_groups(documents(spark, sf_dir), width=3, percent=85).drop("text_hash")
 
 
 def id_fold(n: int) -> Column:
