@@ -27,9 +27,13 @@ def ordered_key(column: str):
     return F.coalesce(F.concat(F.lit("v"), F.col(column)), F.lit("z"))
 
 
-def spread(column: str):
-    """A 60-bit number from the md5 of a column's text: a reproducible order that other engines can compute too."""
-    return F.conv(F.substring(F.md5(F.coalesce(F.col(column).cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
+def spread(column: str, instead: str | None = None):
+    """A 60-bit number from the md5 of a column's text: a reproducible order that other engines can compute too.
+
+    Nulls take the md5 of the column named by instead, if there is one.
+    """
+    other = F.md5(F.coalesce(F.col(instead).cast("string"), F.lit(""))) if instead else F.lit("")
+    return F.conv(F.substring(F.md5(F.coalesce(F.col(column).cast("string"), other)), 1, 15), 16, 10).cast("long")
 
 
 # Chunks: a text is cut before white space, then each chunk between a Latin word and the punctuation after it.

@@ -2,9 +2,10 @@
 
 1. Each scan task collapses its own copies in an open-addressing table, so a group of copies of any size sends
    on one record a task at most; the records (text on leaders only) go to a scratch table.
-2. Leaders are dealt out by content hash. A task whose records exceed its memory splits them by further hash
-   bits into spill files of its own, again and again, until a bucket fits a table that compares complete
-   content. Spill files live in the task's temporary folder and go with the task; a lost task begins anew.
+2. Leaders are dealt out by content hash. A task streams them through a table that compares complete content;
+   once the table is full, contents that it lacks are split by further hash bits into spill files of the task's
+   own, again and again, until a bucket fits. Spill files live in the task's temporary folder and go with the
+   task; a lost task begins anew.
 3. Rows join their leader's verdict. Leaders are spread evenly, so no key is hot.
 
 Null text counts as empty. Of equal texts the row with the largest id stays (null ids are smallest; of repeated
@@ -16,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import os
 import tempfile
+from array import array
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,7 +28,7 @@ from .common import cut, small_batches
 RECORDS = "uid long, doc_id long, leader long, sha binary, n long, top long, top_uid long, content binary"
 VERDICTS = "leader long, keep_id long, keep_uid long, group_size long"
 #: Bytes of distinct content in one table, and ways of one split.
-TABLE_BYTES, WAYS, MAX_DEPTH = 48 << 20, 16, 12
+TABLE_BYTES, WAYS = 48 << 20, 16
 
 
 class ContentTable:
@@ -35,13 +37,21 @@ class ContentTable:
     def __init__(self):
         self.slots, self.mask, self.hashes, self.contents, self.bytes = [-1] * 64, 63, [], [], 0
 
-    def place(self, h: int, content: bytes) -> tuple[int, bool]:
-        """The entry of this content, and if it is new."""
+    def _probe(self, h: int, content: bytes) -> tuple[int, int]:
+        """Slot and entry of this content; entry -1 if it isn't here, with the slot where it would go."""
         i = h & self.mask
-        while (j := self.slots[i]) >= 0:
-            if self.hashes[j] == h and self.contents[j] == content:
-                return j, False
+        while (j := self.slots[i]) >= 0 and (self.hashes[j] != h or self.contents[j] != content):
             i = (i + 1) & self.mask
+        return i, j
+
+    def find(self, h: int, content: bytes) -> int:
+        return self._probe(h, content)[1]
+
+    def place(self, h: int, content: bytes) -> tuple[int, bool]:
+        """The entry of this content, and if it is new."""
+        i, j = self._probe(h, content)
+        if j >= 0:
+            return j, False
         self.slots[i] = j = len(self.hashes)
         self.hashes.append(h)
         self.contents.append(content)
@@ -100,59 +110,73 @@ def collapse(batches):
     yield from leaders(table, heads)
 
 
-def _decide(batches):
-    """Verdicts of records that fit: only distinct contents are held."""
-    table, groups, members = ContentTable(), [], []
-    for batch in batches:
-        for leader, sha, n, top, top_uid, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            j, new = table.place(_hash(sha), content)
-            if new:
-                groups.append([n, (top, top_uid)])
-            else:
-                groups[j][0] += n
-                if _older((top, top_uid), groups[j][1]):
-                    groups[j][1] = (top, top_uid)
-            members.append((leader, j))
-    for at in range(0, len(members), 4096):
-        some = members[at : at + 4096]
-        yield pa.RecordBatch.from_pydict({"leader": pa.array([m for m, _ in some], pa.int64()), "keep_id": pa.array([groups[j][1][0] for _, j in some], pa.int64()), "keep_uid": pa.array([groups[j][1][1] for _, j in some], pa.int64()), "group_size": pa.array([groups[j][0] for _, j in some], pa.int64())})
+class Decided:
+    """An open table and the groups of its contents; leaders are kept as numbers."""
+
+    def __init__(self):
+        self.table, self.sizes, self.tops, self.leaders, self.group_of = ContentTable(), [], [], array("q"), array("q")
+
+    def full(self, table_bytes: int) -> bool:
+        return self.table.bytes >= table_bytes
+
+    def meet(self, leader: int, sha: bytes, n: int, top, top_uid, content: bytes, open_: bool) -> bool:
+        """Adds a record whose content is here, or any record if open_; False leaves it to the caller."""
+        j = self.table.find(_hash(sha), content)
+        if j < 0:
+            if not open_:
+                return False
+            j = self.table.place(_hash(sha), content)[0]
+            self.sizes.append(0)
+            self.tops.append((top, top_uid))
+        self.sizes[j] += n
+        if _older((top, top_uid), self.tops[j]):
+            self.tops[j] = (top, top_uid)
+        self.leaders.append(leader)
+        self.group_of.append(j)
+        return True
+
+    def verdicts(self):
+        for at in range(0, len(self.leaders), 4096):
+            groups = self.group_of[at : at + 4096]
+            yield pa.RecordBatch.from_arrays([pa.array(self.leaders[at : at + 4096], pa.int64()), pa.array([self.tops[j][0] for j in groups], pa.int64()), pa.array([self.tops[j][1] for j in groups], pa.int64()), pa.array([self.sizes[j] for j in groups], pa.int64())], names=["leader", "keep_id", "keep_uid", "group_size"])
 
 
 def grace(batches, table_bytes: int = TABLE_BYTES, ways: int = WAYS, depth: int = 0):
-    """Verdicts of a stream of leader records; splits into spill files while it exceeds table_bytes."""
-    held, size, stream = [], 0, iter(batches)
-    for batch in stream:
-        held.append(batch)
-        size += batch.nbytes
-        if size > table_bytes and depth < MAX_DEPTH:
-            break
-    else:
-        yield from _decide(held)
-        return
-    with tempfile.TemporaryDirectory(prefix="grace-") as folder:
-        writers: dict[int, pa.ipc.RecordBatchStreamWriter] = {}
-        shift = 4 * (depth + 2)
+    """Verdicts of a stream of leader records.
 
-        def spill(batch: pa.RecordBatch) -> None:
-            ways_of = [(_hash(s) >> shift) % ways for s in batch.column(1).to_pylist()]
-            for way in sorted(set(ways_of)):
-                part = batch.take(pa.array([i for i, w in enumerate(ways_of) if w == way]))
+    Records go to an open table while it has room. When it is full, records whose content it holds still meet it there; others
+    go to spill files by further hash bits, and each of these is a stream of its own. Only distinct contents are held, so copies
+    of one content, however many tasks sent them, need no more memory than one; every stream settles a table's worth at least.
+    """
+    held, writers = Decided(), {}
+    with tempfile.TemporaryDirectory(prefix="grace-") as folder:
+        for batch in batches:
+            others: dict[int, list[int]] = {}
+            open_ = not held.full(table_bytes)
+            for i, (leader, sha, n, top, top_uid, content) in enumerate(zip(*(c.to_pylist() for c in batch.columns), strict=True)):
+                if held.meet(leader, sha, n, top, top_uid, content, open_):
+                    open_ = open_ and not held.full(table_bytes)
+                else:
+                    others.setdefault(_way(sha, depth, ways), []).append(i)
+            for way, rows in others.items():
                 if way not in writers:
-                    writers[way] = pa.ipc.new_stream(f"{folder}/{way}", part.schema, options=pa.ipc.IpcWriteOptions(compression="lz4"))
-                writers[way].write_batch(part)
-
-        while held:
-            spill(held.pop())
-        for batch in stream:
-            spill(batch)
+                    writers[way] = pa.ipc.new_stream(f"{folder}/{way}", batch.schema, options=pa.ipc.IpcWriteOptions(compression="lz4"))
+                writers[way].write_batch(batch.take(pa.array(rows)))
         for writer in writers.values():
             writer.close()
+        yield from held.verdicts()
+        del held
         for way in sorted(writers):
             with pa.OSFile(f"{folder}/{way}") as f, pa.ipc.open_stream(f) as reader:
                 yield from grace(reader, table_bytes, ways, depth + 1)
             os.remove(f"{folder}/{way}")
 
 
+def _way(sha: bytes, depth: int, ways: int) -> int:
+    """The spill file of a content: each depth looks at another byte of its hash, beyond those that place it in a table."""
+    return sha[8 + depth % 24] % ways
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: uid (unique), doc_id, text_sha256, keep_id, group_size, kept."""
     small_batches(docs.sparkSession)
@@ -164,9 +188,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with their columns: of equal texts, the row with the largest id."""
+    """The rows of docs that stay, with all their columns: of equal texts (null counts as empty), the row with the largest id.
+
+    Of rows that repeat id and text, one stays; null ids are smallest; an empty table stays empty; columns may have any names.
+    """
     # one key that is never null: then rows are dealt once, for the join and for what drops repeated rows
-    key = lambda i, sha: F.concat_ws(":", F.coalesce(F.col(i).cast("string"), F.lit("null")), sha)
-    stay = cut(exact_dedup(docs, id_col, text_col).where("kept").select(key("doc_id", F.col("text_sha256")).alias("key_")), "kept")
-    rows = docs.withColumn("key_", key(id_col, F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)))
-    return rows.join(stay.hint("shuffle_hash"), "key_", "left_semi").dropDuplicates(["key_"]).select(docs.columns)
+    key = lambda i, sha: F.concat_ws(":", F.coalesce(F.col(i).cast("long").cast("string"), F.lit("null")), sha).alias("key")
+    stay = cut(exact_dedup(docs, id_col, text_col).where("kept").select(key("doc_id", F.col("text_sha256"))), "kept")
+    rows = docs.select(F.struct("*").alias("row"), key(id_col, F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)))
+    return rows.join(stay.hint("shuffle_hash"), "key", "left_semi").dropDuplicates(["key"]).select("row.*")

@@ -9,8 +9,8 @@ which demand reaches d. Sorting by t gives the training order.
 
 Running sums over a source go through two levels of hash buckets, so that no task holds a source, however large.
 Sizes are words. Null or wordless texts have size 0 and are never taken; a null source is a source of its own, last in
-order; repeated rows count each; an empty table gives an empty result. The last copy that a target reaches is cut to
-the words that are left of it, so each source's words taken equal its target, rounded down.
+order; repeated rows count each; null ids are spread by their text; an empty table gives an empty result. The last copy
+that a target reaches is cut to the words that are left of it, so each source's words taken equal its target, rounded down.
 """
 
 from __future__ import annotations
@@ -75,16 +75,17 @@ def progress(demand: Column, segments: Column) -> Column:
     return seg["t"] + F.when(root > 0, 2 * q / root).otherwise(0.0)
 
 
-def mix(sized: DataFrame, schedule: DataFrame, share: float = SHARE, cap: float = CAP) -> DataFrame:
+def mix(sized: DataFrame, schedule: DataFrame, share: float = SHARE, cap: float = CAP, carry: list[str] | None = None) -> DataFrame:
     """Sized documents (uid, doc_id, skey, spot, size) and knots by skey to one row per document with its copies.
 
-    spot is a 60-bit reproducible order. Returns uid, doc_id, size, source_size, target, taken, and copies: an array of
-    (position, words), one for each time that the document is read.
+    spot is a 60-bit reproducible order. Returns uid, doc_id, size, source_size, target, taken, copies (an array of
+    (position, words), one for each time that the document is read) and the columns of carry.
     """
+    carry = carry or []
     step1, step2 = 1 << 53, 1 << 46
     level1, level2 = F.floor(F.col("spot") / step1), F.floor(F.col("spot") / step2)
     s = sized.withColumn("b1", level1).withColumn("b2", level2)
-    fine = s.groupBy("skey", "b1", "b2").agg(F.sum("size").alias("part"))
+    fine = cut(s.groupBy("skey", "b1", "b2").agg(F.sum("size").alias("part")), "mix-parts")
     coarse = fine.groupBy("skey", "b1").agg(F.sum("part").alias("part"))
     upto = lambda *by: F.sum("part").over(Window.partitionBy(*by).orderBy("b2" if "b1" in by else "b1").rowsBetween(Window.unboundedPreceding, 0)) - F.col("part")
     coarse = coarse.withColumn("start1", upto("skey")).select("skey", "b1", "start1")
@@ -92,18 +93,18 @@ def mix(sized: DataFrame, schedule: DataFrame, share: float = SHARE, cap: float
     targets = share_out(fine.groupBy("skey").agg(F.sum("part").alias("source_size")), integrate(schedule), share, cap)
     offsets = offsets.join(targets.select("skey", "source_size", "target", "weight", "segments"), "skey")
     inside = Window.partitionBy("skey", "b2").orderBy("spot", "uid").rowsBetween(Window.unboundedPreceding, 0)
-    placed = s.select("uid", "doc_id", "skey", "b2", "spot", "size").withColumn("start", F.sum("size").over(inside) - F.col("size"))
+    placed = s.select("uid", "doc_id", "skey", "b2", "spot", "size", *carry).withColumn("start", F.sum("size").over(inside) - F.col("size"))
     placed = placed.join(offsets, ["skey", "b2"]).withColumn("start", F.col("start") + F.col("offset"))
     whole = F.floor("target")
     turns = F.when((F.col("size") > 0) & (F.col("start") < whole), F.ceil((whole - F.col("start")) / F.col("source_size"))).otherwise(0).cast("int")
     copy = lambda k: F.struct(progress((F.col("start") + k * F.col("source_size")) / F.col("target") * F.col("weight"), F.col("segments")).alias("position"), F.least(F.col("size"), whole - F.col("start") - k * F.col("source_size")).alias("words"))
     copies = F.when(turns > 0, F.transform(F.sequence(F.lit(0).cast("int"), turns - 1), copy)).otherwise(F.array().cast("array<struct<position:double,words:bigint>>"))
-    return placed.withColumn("copies", copies).select("uid", "doc_id", "size", "source_size", "target", F.aggregate("copies", F.lit(0).cast("long"), lambda total, c: total + c["words"]).alias("taken"), "copies")
+    return placed.withColumn("copies", copies).select("uid", "doc_id", "size", "source_size", "target", F.aggregate("copies", F.lit(0).cast("long"), lambda total, c: total + c["words"]).alias("taken"), "copies", *carry)
 
 
 def sized_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(uid, doc_id, skey, spot, size), written once: texts are read and counted one time only."""
-    return cut(docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("doc_id"), ordered_key(source_col).alias("skey"), spread(id_col).alias("spot"), words(text_col).alias("size")), "mix-sizes")
+    return cut(docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("doc_id"), ordered_key(source_col).alias("skey"), spread(id_col, text_col).alias("spot"), words(text_col).alias("size")), "mix-sizes")
 
 
 def sources_of(sized: DataFrame) -> DataFrame:
@@ -117,18 +118,14 @@ def training_order(copies: DataFrame, position: str = "position", tie: str = "do
 
 
 def mixed_documents(docs: DataFrame, share: float = SHARE, cap: float = CAP) -> DataFrame:
-    """The rows of docs as often as the mix reads them, with their columns, in training order.
+    """The rows of docs as often as the mix reads them, with all their columns, in training order.
 
     A copy that its source's target cuts is read whole, or left out if that is nearer to the target, so every row is a whole
-    document; a source whose only document is over twice its target gives none. Documents are met by (id, source, text hash),
-    so that ids need not be unique.
+    document; a source whose only document is over twice its target gives none. Rows travel with their place, so ids need not
+    be unique and columns may have any names. Rows without words are never read; a null source is a source; repeated rows
+    count each; null ids are spread by their text; an empty table stays empty.
     """
-    keyed = docs.withColumn("h_", F.xxhash64("doc_id", "source", "text"))
-    sized = cut(keyed.select(F.monotonically_increasing_id().alias("uid"), F.col("h_").alias("doc_id"), ordered_key("source").alias("skey"), spread("doc_id").alias("spot"), words().alias("size")), "mix-sizes")
-    mixed = mix(sized, rank_schedule(sources_of(sized)), share, cap).where("taken > 0")
-    reads = mixed.groupBy(F.col("doc_id").alias("k_")).agg(F.max("size").alias("size_"), F.flatten(F.collect_list("copies")).alias("copies"), F.count("*").alias("rows_"))
-    reads = cut(reads.select("k_", "size_", F.explode("copies").alias("c_"), "rows_").select("k_", "size_", "rows_", F.col("c_.position").alias("position_"), F.col("c_.words").alias("words_")), "mix-reads")
-    rows = keyed.dropDuplicates(["h_"]) if not reads.where("rows_ > 1").isEmpty() else keyed
-    rows = rows.join(reads, F.col("h_") == F.col("k_"))
-    rows = rows.where(2 * F.col("words_") >= F.col("size_"))
-    return training_order(rows, "position_").select(docs.columns)
+    sized = docs.select(F.struct("*").alias("row"), F.xxhash64("doc_id", "source", "text").alias("uid"), F.col("doc_id"), ordered_key("source").alias("skey"), spread("doc_id", "text").alias("spot"), words().alias("size"))
+    mixed = mix(sized, rank_schedule(sources_of(sized)), share, cap, carry=["row"]).where("taken > 0")
+    reads = mixed.select("row", "doc_id", "size", F.explode("copies").alias("copy")).where(2 * F.col("copy.words") >= F.col("size"))
+    return training_order(reads.select("row", "doc_id", F.col("copy.position").alias("position"))).select("row.*")

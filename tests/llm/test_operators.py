@@ -38,7 +38,7 @@ SHAPE = "doc_id long, text string, lang string, source string, n_chars long"
 
 def odd(spark, rows=ODD):
     df = spark.createDataFrame(rows, SHAPE)
-    for clash in ("uid", "size", "content", "bands", "rep", "key", "score", "start", "h_", "blob", "path", "digest"):
+    for clash in ("uid", "size", "content", "bands", "rep", "key", "score", "start", "h_", "blob", "path", "digest", "row", "i", "h", "node", "position", "copy", "copies", "spot", "skey", "b1", "b2", "taken", "kept", "key_", "k_", "c_"):
         df = df.selectExpr("*", f"'x' as {clash}")
     return df
 
@@ -118,6 +118,16 @@ def test_mixed_documents_are_whole(spark):
         assert abs(sum(len(r["text"].split()) for r in out) - share * sum(sizes) * 3) <= 2 * 25 + 2
 
 
+def test_mixed_documents_odd_rows(spark):
+    df = odd(spark)
+    out = mixing.mixed_documents(df)
+    assert out.columns == df.columns
+    got, had = Counter(map(tuple, out.collect())), Counter(map(tuple, df.collect()))
+    assert set(got) <= set(had) and all(n <= 2 * had[r] for r, n in got.items())
+    assert all(r[1] and r[1].strip() for r in got) and any(r[0] is None for r in got)
+    assert mixing.mixed_documents(none(spark)).count() == 0
+
+
 # 2 and 10: tokens
 
 BYTE, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -284,16 +294,42 @@ def test_near_duplicates_odd_rows(spark):
     assert all(by[i]["n_shingles"] == 0 and by[i]["kept"] and by[i]["component_id"] == i for i in (3, 4, 5))
     assert by[7]["n_shingles"] == 1 and by[6]["n_shingles"] == 5 and by[None]["kept"]
     assert near_dup.near_dup_groups(none(spark)).count() == 0
-    assert near_dup.one_of_each_group(odd(spark, [r for i, r in enumerate(ODD) if i != 2])).count() == len(ODD) - 2
+    left = near_dup.one_of_each_group(odd(spark))
+    assert left.columns == odd(spark).columns and left.schema == odd(spark).schema
+    assert sorted((r["doc_id"] or 0, r["uid"]) for r in left.collect()) == [(i, "x") for i in (0, 1, 3, 4, 5, 6, 7, 8)]
+    assert near_dup.one_of_each_group(none(spark)).count() == 0
+
+
+def test_ids_that_repeat_with_other_texts_are_judged_by_text(spark):
+    a, b, c = (" ".join(f"{p}{i}" for i in range(40)) for p in "abc")
+    rows = [(1, a, None, None, 0), (3, a + " z", None, None, 0), (3, b, None, None, 0), (4, b, None, None, 0), (3, c, None, None, 0)]
+    got = {(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in near_dup.near_dup_groups(odd(spark, rows), 5, 80).collect()}
+    assert got == {(1, 36, 1, True), (3, 37, 1, False), (3, 36, 3, True), (4, 36, 3, False)}
+    assert sorted((r["doc_id"], r["text"][0]) for r in near_dup.one_of_each_group(odd(spark, rows)).collect()) == [(1, "a"), (3, "b"), (3, "c")]
 
 
 def test_blocks_of_a_large_bucket(spark, monkeypatch):
     monkeypatch.setattr(near_dup, "BLOCK", 4)
+    monkeypatch.setattr(near_dup, "PART", 4)
     words = [f"w{i}" for i in range(200)]
     rows = [(i, " ".join([*words[:i], f"x{i}", *words[i + 1 :]]), None, None, 0) for i in range(40)]
     assert {r["component_id"] for r in near_dup.near_dup_groups(odd(spark, rows), 3, 85).collect()} == {0}
 
 
+@pytest.mark.parametrize(("few", "block"), [(1, 3), (2, 64), (8, 2)])
+def test_groups_in_one_bucket_stay_apart(spark, monkeypatch, few, block):
+    """Many documents share three quarters of their words, so buckets hold several groups; links within groups are all found."""
+    monkeypatch.setattr(near_dup, "FEW", few)
+    monkeypatch.setattr(near_dup, "BLOCK", block)
+    common, rows = [f"c{i}" for i in range(90)], []
+    for g in range(6):
+        own = [f"g{g}x{i}" for i in range(30)]
+        for m in range(5):
+            rows.append((5 * g + m, " ".join([*common, *own[:-1], f"m{g}{m}"]), None, None, 0))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dup.near_dup_groups(odd(spark, rows), 3, 85).collect()}
+    assert got == brute_components(rows, 3, 85) and len({c for _, c in got.values()}) == 6
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(st.sampled_from("abC \t\né漢\x1c"), max_size=60), st.integers(1, 5))
 def test_shingle_counts(text, width):
@@ -498,6 +534,31 @@ def test_grace_recursion_gives_the_same_groups():
         assert got == {i: (last[t], want[t]) for i, t in enumerate(texts)}
 
 
+def test_one_text_from_many_tasks_takes_the_memory_of_one(spark):
+    text, n = b"x" * 100_000, 10_000
+    schema = pa.schema([("leader", pa.int64()), ("sha", pa.binary()), ("n", pa.int64()), ("top", pa.int64()), ("top_uid", pa.int64()), ("content", pa.binary())])
+    sha = hashlib.sha256(text).digest()
+    stream = (pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(([i], [sha], [3], [i], [i], [text]), schema, strict=True)], schema=schema) for i in range(n))
+    before, most = pa.total_allocated_bytes(), 0
+
+    def watched():
+        nonlocal most
+        for b in stream:
+            most = max(most, pa.total_allocated_bytes() - before)
+            yield b
+
+    got = [r for b in grace_dedup.grace(watched(), table_bytes=150_000) for r in b.to_pylist()]
+    assert len(got) == n and {(r["keep_id"], r["group_size"]) for r in got} == {(n - 1, 3 * n)} and most < 2_000_000
+
+
+def test_contents_whose_hashes_agree_are_still_settled():
+    schema = pa.schema([("leader", pa.int64()), ("sha", pa.binary()), ("n", pa.int64()), ("top", pa.int64()), ("top_uid", pa.int64()), ("content", pa.binary())])
+    rows = [(i, b"\0" * 32, 1, i, i, b"%d" % (i % 40) * 20) for i in range(120)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+    got = {r["leader"]: (r["keep_id"], r["group_size"]) for b in grace_dedup.grace([batch], table_bytes=300) for r in b.to_pylist()}
+    assert got == {i: (80 + i % 40, 3) for i in range(120)}
+
+
 def test_table_compares_content_beyond_hashes():
     t = grace_dedup.ContentTable()
     assert [t.place(7, c) for c in (b"a", b"b", b"a")] == [(0, True), (1, True), (0, False)]
