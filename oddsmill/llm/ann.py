@@ -2,10 +2,16 @@
 
 A vector is coded as the sum of one word from each of several full-dimensional codebooks. Codebooks begin as residual
 k-means on a bounded sample (SAMPLE rows with the least id hashes), then alternate beam-search encoding with joint least
-squares. All vectors are encoded by beam search and kept with the squared norm of their code. A query looks up its inner
-products with all words once, and scores codes by table look-ups; the best KEPT per query are reranked with exact inner
-products in double precision. Query blocks meet packs of codes, both of bounded size; partial results are bounded lists,
-merged in a tree, so neither a query's candidates nor a pack grows with the table.
+squares. All vectors are encoded by beam search and kept with the squared norm of their code.
+
+Codes are dealt to cells by their first three words, 4,096 at most whatever the table's size. A query probes cells in the
+order of its inner products with these words until they hold a share of all codes, SCAN of them at least. The share is measured:
+it is the least one in which NEAR of the true neighbours of PROBED rows of the sample are found. Clustered tables need few
+cells; where vectors spread evenly over all directions, nearly all must be looked at, and then work grows as rows times queries.
+Cells next to each other form packs of about PACK codes, a larger cell several; queries with like best cells form blocks of
+about BLOCK. A block meets the packs that its queries probe, one after the other, dealt over STRIPES tasks at most; each keeps
+only the best KEPT of a query, scored by look-ups of its inner products with the words (two words of 16 to a byte). The best
+over all stripes are reranked with exact inner products in double precision on the original vectors.
 
 Only one row of each distinct vector, that with the least id, is coded and scored, so that copies take no places from
 others; the best are expanded to the ids of their copies at the end. Ties go to the smaller id. Vectors null, zero, holding null or
@@ -23,9 +29,12 @@ from pyspark.sql import functions as F
 
 from .common import cut, small_batches, spread
 
-BOOKS, WORDS, BEAM, SAMPLE = 12, 256, 6, 8192
-#: Candidates per query that are reranked, codes in a pack, queries in a block, partial lists merged at once.
-KEPT, PACK, BLOCK, FAN = 200, 16_384, 256, 64
+BOOKS, WORDS, BEAM, SAMPLE = 48, 16, 4, 8192
+#: Candidates per query that are reranked, codes in a pack, queries in a block, tasks that a block's packs are dealt to.
+KEPT, PACK, BLOCK, STRIPES = 200, 16_384, 1024, 16
+#: Words that name a cell; codes that a query looks at, at least; sample rows whose neighbours must lie in what is probed, and
+#: the part of them that must.
+NAMED, SCAN, PROBED, NEAR = 3, 16_384, 256, 0.97
 #: Parts that a group of equal vectors is dealt to before its least ids are known.
 PARTS = 32
 
@@ -82,63 +91,161 @@ def fit_books(x: np.ndarray, n_books: int = BOOKS, n_words: int = WORDS, beam: i
 
 
 def valid_vectors(table: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, int]:
-    """(vec_id, v array<float>) of the vectors that take part, and their dimension (0 if there's none)."""
-    v = F.col("v")
-    rows = table.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<float>").alias("v")).where("vec_id is not null and v is not null")
+    """(vec_id, v) of the vectors that take part, as float or double like the input, and their dimension (0 if there's none)."""
+    v, kind = F.col("v"), table.schema[vector_col].dataType.elementType.simpleString()
+    rows = table.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<float>" if kind == "float" else "array<double>").alias("v")).where("vec_id is not null and v is not null")
     rows = rows.where(F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists(v, lambda c: c != 0))
     common = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     return (rows.where(F.size("v") == common["d"]), common["d"]) if common else (rows, 0)
 
 
-def encoder(books: np.ndarray, beam: int):
-    """mapInArrow function: (vec_id, v) to (vec_id, code, norm2)."""
+def _floats(column, rows: int, scale: float) -> np.ndarray:
+    """Vectors for coding: divided by the table's largest component, so that doubles of any size fit."""
+    return (np.asarray(column.flatten(), np.float64).reshape(rows, -1) / scale).astype(np.float32)
+
+
+def cells_of(codes: np.ndarray) -> np.ndarray:
+    return codes[:, :NAMED].astype(np.int64) @ (WORDS ** np.arange(NAMED))[::-1]
+
+
+def encoder(books: np.ndarray, beam: int, scale: float):
+    """mapInArrow function: (vec_id, v) to (vec_id, cell, code, norm2); a code has two words in a byte."""
 
     def encode(batches):
         for batch in batches:
-            x = np.asarray(batch.column(1).flatten(), np.float32).reshape(batch.num_rows, -1)
-            codes = beam_encode(x, books, beam)
+            codes = beam_encode(_floats(batch.column(1), batch.num_rows, scale), books, beam)
             norms = (sum(books[b][codes[:, b]] for b in range(len(books))) ** 2).sum(1)
-            yield pa.RecordBatch.from_pydict({"vec_id": batch.column(0), "code": pa.array([c.tobytes() for c in codes], pa.binary()), "norm2": pa.array(norms.astype(np.float32))})
+            packed = codes[:, ::2] * np.uint8(WORDS) + codes[:, 1::2]
+            yield pa.RecordBatch.from_pydict({"vec_id": batch.column(0), "cell": pa.array(cells_of(codes).astype(np.int32)), "code": pa.array([c.tobytes() for c in packed], pa.binary()), "norm2": pa.array(norms.astype(np.float32))})
 
     return encode
 
 
+def dealt(sizes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Groups of about `most` of things in order: the first group of each, and how many it takes by itself if it is larger."""
+    first, groups, at, held = np.zeros(len(sizes), np.int64), np.maximum(1, -(-sizes // most)), 0, 0
+    for i, n in enumerate(sizes):
+        if held and held + n > most:
+            at, held = at + 1, 0
+        first[i], held = at, held + n
+        if n > most:
+            at, held = at + int(groups[i]), 0
+    return first, groups
+
+
+class Cells:
+    """The order in which a query probes cells, and how far it goes."""
+
+    def __init__(self, counts: np.ndarray, books: np.ndarray, metric: str):
+        self.counts, self.books, self.metric, self.share, self.scan = counts, books[:NAMED], metric, 1.0, SCAN
+        self.norms = (self._sums(list(self.books)) ** 2).sum(1) if metric == "l2" else None
+
+    @staticmethod
+    def _sums(tables: list[np.ndarray]) -> np.ndarray:
+        """(cells, ...) from one (words, ...) table for each naming word."""
+        out = tables[0]
+        for t in tables[1:]:
+            out = (out[:, None] + t[None]).reshape(-1, *out.shape[1:])
+        return out
+
+    def order(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Cells by liking, and the share of all codes in them so far."""
+        s = self._sums([b @ q.T for b in self.books]).T
+        if self.norms is not None:
+            s = 2 * s - self.norms
+        order = np.argsort(-s, axis=1, kind="stable")
+        return order, np.cumsum(self.counts[order], axis=1) / max(self.counts.sum(), 1)
+
+    def measure(self, x: np.ndarray, codes: np.ndarray, k: int) -> None:
+        """Sets the share by which NEAR of the k true neighbours of some rows of a sample are reached."""
+        q = x[:PROBED]
+        s = q @ x.T if self.metric == "ip" else 2 * q @ x.T - (x**2).sum(1)
+        s[np.arange(len(q)), np.arange(len(q))] = -np.inf
+        best = np.argsort(-s, axis=1)[:, : min(k, len(x) - 1)]
+        order, seen = self.order(q)
+        place = np.argsort(order, axis=1)
+        depth = np.take_along_axis(seen, np.take_along_axis(place, cells_of(codes)[best], 1), 1)
+        self.share = float(np.quantile(depth, NEAR)) if depth.size else 1.0
+
+    def probed(self, q: np.ndarray) -> list[np.ndarray]:
+        order, seen = self.order(q)
+        share = max(self.share, min(1.0, self.scan / max(self.counts.sum(), 1)))
+        return [o[: int(np.searchsorted(n, share - 1e-12)) + 1] for o, n in zip(order, seen, strict=True)]
+
+
+def prober(cells: Cells, first: np.ndarray, groups: np.ndarray, scale: float):
+    """mapInArrow function: queries (vec_id, v) to (query_id, home, v, cells as bits, packs); home is the best cell."""
+
+    def probe(batches):
+        for batch in batches:
+            q = _floats(batch.column(1), batch.num_rows, scale)
+            out = []
+            for query, x, chosen in zip(batch.column(0).to_pylist(), q, cells.probed(q), strict=True):
+                bits = np.zeros(len(cells.counts), bool)
+                bits[chosen] = True
+                held = chosen[cells.counts[chosen] > 0]
+                packs = sorted({int(p) for c in held for p in range(first[c], first[c] + groups[c])})
+                out.append((query, int(chosen[0]), x.tobytes(), np.packbits(bits).tobytes(), packs))
+            kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int32()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["query_id", "home", "v", "cells", "packs"])
+
+    return probe
+
+
 def _pack(group):
     import pandas as pd
 
-    group = group.sort_values("vec_id")
-    return pd.DataFrame({"pack": group["pack"].iloc[:1].to_numpy(), "ids": [group["vec_id"].to_numpy().astype("<i8").tobytes()], "codes": [b"".join(group["code"])], "norms": [group["norm2"].to_numpy().astype("<f4").tobytes()]})
+    group = group.sort_values(["cell", "vec_id"])
+    return pd.DataFrame({"pack": group["pack"].iloc[:1].to_numpy(), "ids": [group["vec_id"].to_numpy().astype("<i8").tobytes()], "in_cell": [group["cell"].to_numpy().astype("<i4").tobytes()], "codes": [b"".join(group["code"])], "norms": [group["norm2"].to_numpy().astype("<f4").tobytes()]})
 
 
 def scorer(books: np.ndarray, kept: int, metric: str):
-    """mapInArrow function: rows of (pack, ids, codes, norms, queries) to each query's best candidates in the pack."""
-    m, k, d = books.shape
+    """mapInArrow function: rows by block and stripe, queries (kind 0: id, v, cells) before packs (kind 1), to each query's best.
+
+    A task holds one block's queries with their best so far, and one pack.
+    """
+    m, n_cells = len(books) // 2, WORDS**NAMED
+
+    def closed(held: dict):
+        held = {i: h for i, h in held.items() if len(h["s"])}
+        offsets = np.cumsum([0, *[len(h["s"]) for h in held.values()]]).astype(np.int32)
+        flat = pa.StructArray.from_arrays([pa.array(-np.concatenate([np.zeros(0, np.float32), *[h["s"] for h in held.values()]])), pa.array(np.concatenate([np.zeros(0, np.int64), *[h["ids"] for h in held.values()]]))], names=["s", "id"])
+        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), flat)], names=["query_id", "found"])
 
     def score(batches):
+        at, held = None, {}
         for batch in batches:
-            packs, who, found = [], [], []
-            for pack, ids, codes, norms, queries in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ids, codes = np.frombuffer(ids, "<i8"), np.frombuffer(codes, np.uint8).reshape(-1, m)
-                q = np.array([x["v"] for x in queries], np.float32)
-                tables = [q @ books[b].T for b in range(m)]
-                for at in range(0, len(q), 64):
-                    some = slice(at, at + 64)
-                    s = tables[0][some].take(codes[:, 0], 1)
+            for block, stripe, kind, query, v, cells, ids, in_cell, codes, norms in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if at != (block, stripe):
+                    if held:
+                        yield closed(held)
+                    at, held = (block, stripe), {}
+                if kind == 0:
+                    q = books @ np.frombuffer(v, "<f4")
+                    table = (q[::2, :, None] + q[1::2, None, :]).reshape(m, -1)
+                    held[query] = {"table": table, "cells": np.unpackbits(np.frombuffer(cells, np.uint8), count=n_cells).astype(bool), "s": np.zeros(0, np.float32), "ids": np.zeros(0, np.int64)}
+                    continue
+                ids, in_cell, norms = np.frombuffer(ids, "<i8"), np.frombuffer(in_cell, "<i4"), np.frombuffer(norms, "<f4")
+                words = np.frombuffer(codes, np.uint8).reshape(-1, m).T.astype(np.intp)
+                for h in held.values():
+                    rows = np.flatnonzero(h["cells"][in_cell])
+                    if not len(rows):
+                        continue
+                    mine = words if len(rows) == len(ids) else words[:, rows]
+                    s = h["table"][0].take(mine[0])
                     for b in range(1, m):
-                        s += tables[b][some].take(codes[:, b], 1)
+                        s += h["table"][b].take(mine[b])
                     if metric == "l2":
-                        s = 2 * s - np.frombuffer(norms, "<f4")
-                    n = min(kept, len(ids))
-                    floor = np.partition(s, len(ids) - n, 1)[:, len(ids) - n]
-                    for i, row in enumerate(s):
-                        best = np.flatnonzero(row > floor[i])
-                        best = np.concatenate([best, np.flatnonzero(row == floor[i])[: n - len(best)]])
-                        packs.append(pack)
-                        who.append(queries[at + i]["vec_id"])
-                        found.append((-row[best], ids[best]))
-            offsets = np.concatenate([[0], np.cumsum([len(i) for _, i in found])]).astype(np.int32)
-            flat = pa.StructArray.from_arrays([pa.array(np.concatenate([np.zeros(0, np.float32), *[s for s, _ in found]]).astype(np.float32)), pa.array(np.concatenate([np.zeros(0, np.int64), *[i for _, i in found]]).astype(np.int64))], names=["s", "id"])
-            yield pa.RecordBatch.from_arrays([pa.array(who, pa.int64()), pa.array(packs, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), flat)], names=["query_id", "pack", "found"])
+                        s = 2 * s - norms[rows]
+                    s, found = np.concatenate([h["s"], s]), np.concatenate([h["ids"], ids[rows]])
+                    if len(s) > kept:
+                        low = np.partition(s, len(s) - kept)[len(s) - kept]
+                        best = np.concatenate([np.flatnonzero(s > low), np.flatnonzero(s == low)])[:kept]
+                        s, found = s[best], found[best]
+                    h["s"], h["ids"] = s, found
+        if held:
+            yield closed(held)
 
     return score
 
@@ -171,20 +278,34 @@ def search(table: DataFrame, is_query: Column, k: int = 20, kept: int = KEPT, id
         rows = cut(rows.groupBy("vec_id").agg(F.min("v").alias("v")), "vectors")
     groups = cut(copies(rows, k + 1), "copies")
     one = cut(rows.join(groups.select(F.col("ids")[0].alias("vec_id")), "vec_id", "left_semi").select("vec_id", "v"), "distinct-vectors")
+    scale = float(one.select(F.max(F.array_max(F.transform("v", F.abs)))).first()[0])
     sample = one.orderBy(spread("vec_id"), "vec_id").limit(SAMPLE).toPandas()
-    books = fit_books(np.stack(sample["v"]))
-    total = one.count()
-    n_packs, n_blocks = -(-total // PACK), max(1, -(-rows.where(is_query).count() // BLOCK))
-    codes = one.select("vec_id", "v").mapInArrow(encoder(books, BEAM), "vec_id long, code binary, norm2 float")
-    place = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
-    packs = codes.withColumn("pack", place(n_packs)).groupBy("pack").applyInPandas(_pack, "pack int, ids binary, codes binary, norms binary")
-    packs = packs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    blocks = rows.where(is_query).withColumn("block", place(n_blocks)).groupBy("block").agg(F.sort_array(F.collect_list(F.struct("vec_id", "v"))).alias("queries"))
-    found = packs.join(blocks, "block").select("pack", "ids", "codes", "norms", "queries").mapInArrow(scorer(books, kept + 1, metric), "query_id long, pack int, found array<struct<s:float,id:long>>")
-    best = lambda: F.slice(F.sort_array(F.flatten(F.collect_list("found"))), 1, kept + 1).alias("found")
-    while n_packs > FAN:
-        n_packs = -(-n_packs // FAN)
-        found = found.groupBy("query_id", F.pmod("pack", F.lit(n_packs)).alias("pack")).agg(best())
+    x = (np.stack(sample["v"]).astype(float) / scale).astype(np.float32)
+    books = fit_books(x)
+    codes = cut(one.select("vec_id", "v").mapInArrow(encoder(books, BEAM, scale), "vec_id long, cell int, code binary, norm2 float"), "codes")
+    counts = np.zeros(WORDS**NAMED, np.int64)
+    for r in codes.groupBy("cell").count().collect():  # a row for each cell
+        counts[r["cell"]] = r["count"]
+    cells = Cells(counts, books, metric)
+    cells.measure(x, beam_encode(x, books, BEAM), k)
+    deal = lambda first, groups: spark.createDataFrame([(c, int(f), int(g)) for c, (f, g) in enumerate(zip(first, groups, strict=True))], "cell int, first int, groups int")  # noqa: E731  a row for each cell
+    part = lambda first, key: (F.col("first") + F.pmod(F.xxhash64(key), "groups")).cast("int")
+    first, n_packs = dealt(counts, PACK)
+    packs = codes.join(F.broadcast(deal(first, n_packs)), "cell").withColumn("pack", part("first", "vec_id")).select("pack", "cell", "vec_id", "code", "norm2")
+    packs = packs.groupBy("pack").applyInPandas(_pack, "pack int, ids binary, in_cell binary, codes binary, norms binary")
+    asked = cut(rows.where(is_query).select("vec_id", "v").mapInArrow(prober(cells, first, n_packs, scale), "query_id long, home int, v binary, cells binary, packs array<int>"), "probes")
+    homes = np.zeros_like(counts)
+    for r in asked.groupBy("home").count().collect():  # a row for each cell
+        homes[r["home"]] = r["count"]
+    asked = asked.join(F.broadcast(deal(*dealt(homes, BLOCK))), F.col("home") == F.col("cell")).withColumn("block", part("first", "query_id"))
+    # a row for each pack that a block looks into
+    needed = cut(asked.select("block", F.explode("packs").alias("pack")).distinct().withColumn("stripe", F.col("pack") % STRIPES), "needed")
+    none = lambda kind, *names: [F.lit(None).cast(kind).alias(n) for n in names]
+    questions = asked.join(needed.select("block", "stripe").distinct(), "block").select("block", "stripe", F.lit(0).alias("kind"), "query_id", "v", F.col("cells"), *none("binary", "ids", "in_cell", "codes", "norms"))
+    shipped = packs.join(needed, "pack").select("block", "stripe", F.lit(1).alias("kind"), *none("long", "query_id"), *none("binary", "v", "cells"), "ids", "in_cell", "codes", "norms")
+    met = questions.unionByName(shipped).repartition("block", "stripe").sortWithinPartitions("block", "stripe", "kind")
+    found = met.mapInArrow(scorer(books, kept + 1, metric), "query_id long, found array<struct<s:float,id:long>>")
+    best = lambda: F.slice(F.sort_array(F.flatten(F.collect_list("found"))), 1, kept + 1).alias("found")  # noqa: E731  of a list from each stripe
     pairs = found.groupBy("query_id").agg(best()).select("query_id", F.explode("found.id").alias("vec_id"))
     scored = pairs.join(one, "vec_id").join(rows.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
     measure = inner("q", "v") if metric == "ip" else 2 * inner("q", "v") - inner("v", "v") - inner("q", "q")

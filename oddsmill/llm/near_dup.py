@@ -37,7 +37,7 @@ from .common import cut, drop_cut, small_batches
 #: Hashes in a band, members in a block, and the chance that a pair at the threshold meets in no band.
 ROWS, BLOCK, MISS = 7, 512, 1e-8
 #: Members of a bucket whose pairs are all looked at at once; pairs of a centre in one part.
-FEW, PART = 8, 4096
+FEW, PART = 8, 512
 SEED = 20_011
 PROFILES = "doc_id long, text_hash long, n_shingles long, digest binary, bands array<long>"
 

@@ -9,8 +9,12 @@ they are the largest; null ids are smallest; other columns are ignored; an empty
 
 Reader: walks an archive, gzip or plain. When a check fails (gzip checksum, version line, header, length, closing bytes,
 block or payload digest) it searches for the next member or version line that parses, goes on from there, and logs the
-quarantined bytes as a gap with its reason. Archives are read whole by Spark's binaryFile source, one at a time per task,
-so they must stay below 2 GB; the writer bounds its own by records a file.
+quarantined bytes as a gap with its reason. Records and gaps tile the file: none overlap, no byte is left out. A record that
+says it is longer than it is ends where a new member begins with a header: it is quarantined at once, not read to the end of
+the file. Where several records share a gzip member, the first has the member's bytes, and those after it none.
+
+Archives are read whole by Spark's binaryFile source, one at a time per task, so they must stay below 2 GB. The writer begins
+another one when ARCHIVE_BYTES or RECORDS_PER_FILE are reached; only a single record can make one larger.
 """
 
 from __future__ import annotations
@@ -25,7 +29,8 @@ from pyspark.sql import functions as F
 
 from .common import small_batches
 
-RECORDS_PER_FILE = 20_000
+#: Bytes and records of an archive, beyond which the next one begins.
+ARCHIVE_BYTES, RECORDS_PER_FILE = 128 << 20, 20_000
 #: Fixed values of the format.
 VERSION, CLOSE, MAGIC = b"WARC/1.1", b"\r\n\r\n", b"\x1f\x8b\x08"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -51,27 +56,42 @@ def record(page_id: int | None, url: str | None, payload: bytes | None, digest:
     return "\r\n".join(head).encode() + CLOSE + block
 
 
-def _members(date: str):
+def numbered(members, archive_bytes: int):
+    """Batches of (part, member) of an iterator of members: part goes up by one with each archive that is full."""
+    part, held, rows = 0, 0, []
+    for m in members:
+        if held and held + len(m) > archive_bytes:
+            part, held = part + 1, 0
+        held += len(m)
+        rows.append((part, m))
+        if len(rows) >= 256:
+            yield _batch(rows)
+            rows = []
+    if rows:
+        yield _batch(rows)
+
+
+def _batch(rows: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["part", "member"])
+
+
+def _members(date: str, archive_bytes: int):
     def make(batches):
-        for batch in batches:
-            out = []
-            for page_id, url, payload, keep in zip(*(c.to_pylist() for c in batch.columns[:4]), strict=True):
-                out.append(member(record(page_id, url, payload, base32_sha1(payload), len(payload), None, date)))
-            yield pa.RecordBatch.from_pydict({"member": pa.array(out, pa.binary())})
+        rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns[:3]), strict=True))
+        return numbered((member(record(i, url, payload, base32_sha1(payload), len(payload), None, date)) for i, url, payload in rows), archive_bytes)
 
     return make
 
 
-def _revisits(date: str):
+def _revisits(date: str, archive_bytes: int):
     def make(batches):
-        for batch in batches:
-            out = [member(record(i, url, None, base64.b32encode(bytes.fromhex(sha)).decode(), n, keep, date)) for i, url, sha, n, keep in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
-            yield pa.RecordBatch.from_pydict({"member": pa.array(out, pa.binary())})
+        rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        return numbered((member(record(i, url, None, base64.b32encode(bytes.fromhex(sha)).decode(), n, keep, date)) for i, url, sha, n, keep in rows), archive_bytes)
 
     return make
 
 
-def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", date: str = "1970-01-01T00:00:00Z") -> None:
+def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", date: str = "1970-01-01T00:00:00Z", archive_bytes: int = ARCHIVE_BYTES) -> None:
     small_batches(pages.sparkSession)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(payload_col), F.lit("")).cast("binary").alias("payload")).withColumn("sha", F.sha1("payload"))
     facts = rows.select("page_id", "url", "sha", F.octet_length("payload").cast("long").alias("n"))
@@ -81,9 +101,9 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     revisits = facts.join(best, "sha").where(~same("page_id", "keep")).select("page_id", "url", "sha", "n", "keep")
     chosen = best.select(F.col("keep").alias("k"), F.col("sha").alias("s"))
     responses = rows.join(chosen.hint("shuffle_hash"), same("page_id", "k") & same("sha", "s"), "left_semi").select("page_id", "url", "payload", F.lit(0).alias("keep"))
-    members = responses.mapInArrow(_members(date), "member binary").unionByName(revisits.mapInArrow(_revisits(date), "member binary"))
+    members = responses.mapInArrow(_members(date, archive_bytes), "part int, member binary").unionByName(revisits.mapInArrow(_revisits(date, archive_bytes), "part int, member binary"))
     closing = member(CLOSE).decode("latin-1")
-    members.select(F.col("member").cast("string").alias("value")).write.option("encoding", "ISO-8859-1").option("lineSep", closing).option("compression", "none").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    members.select(F.col("member").cast("string").alias("value"), "part").write.partitionBy("part").option("encoding", "ISO-8859-1").option("lineSep", closing).option("compression", "none").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
 
 
 def _header(text: bytes) -> dict[str, str] | None:
@@ -127,38 +147,50 @@ def payload_of(header: dict[str, str], block: bytes) -> bytes:
     return block.partition(CLOSE)[2] if header.get("content-type", "").startswith("application/http") else block
 
 
-def _plain(data, base: int, final: bool):
-    """Records and gaps of decompressed bytes; the last item is ("rest", at) with where the unread part starts."""
+def _next_record(data, at: int, final: bool) -> int:
+    """Where the next version line is at which a record can be read, or may be when more bytes come; -1 if there's none."""
+    while (at := data.find(b"WARC/1.", at)) >= 0:
+        if not isinstance(_one(data, at, final), str):
+            return at
+        at += 1
+    return -1
+
+
+def _plain(data, final: bool):
+    """Records and gaps of decompressed bytes; the last item is ("rest", at, ...) with where the unread part starts."""
     at = 0
     while at < len(data):
         found = _one(data, at, final)
         if found is None:
             break
         if isinstance(found, str):
-            nxt = at + 1
-            while (nxt := data.find(b"WARC/1.", nxt)) >= 0:
-                if not isinstance(_one(data, nxt, final), str):
-                    break
-                nxt += 1
+            nxt = _next_record(data, at + 1, final)
             to = len(data) if nxt < 0 else nxt
-            yield "gap", base + at, to - at, found
+            yield "gap", at, to, found
             at = to
         else:
             end, header, block = found
-            yield "record", base + at, end - at, (header, block)
+            yield "record", at, end, (header, block)
             at = end
-    yield "rest", at, 0, None
+    yield "rest", at, at, None
+
+
+def _begins_record(text: bytes) -> bool:
+    """If decompressed bytes start with a version line and a whole header."""
+    head = text.find(CLOSE, 0, 1 << 20) if text.startswith(b"WARC/1.") else -1
+    return head >= 0 and _header(text[:head]) is not None
 
 
 def salvage(data: bytes):
-    """("record", offset, length, (header, block)) and ("gap", offset, length, reason) of an archive's bytes.
+    """("record", offset, length, (header, block)) and ("gap", offset, length, reason): in order, they tile an archive's bytes.
 
-    Offsets are those of the file: of the first gzip member of a record, or of its version line in a plain archive.
+    Offsets are those of the file: of the gzip members that a record begins in, or of its version line in a plain archive.
     """
     if not data.startswith(MAGIC) and data.find(b"WARC/1.", 0, 1 << 16) >= 0 or MAGIC not in data:
-        yield from (x for x in _plain(data, 0, True) if x[0] != "rest")
+        yield from ((kind, at, end - at, what) for kind, at, end, what in _plain(data, True) if kind != "rest")
         return
-    at, pending, since = 0, b"", 0
+    out = Unread()
+    at = 0
     while at < len(data):
         reason, end = "no gzip member", at
         if data.startswith(MAGIC, at):
@@ -171,26 +203,62 @@ def salvage(data: bytes):
             nxt = data.find(MAGIC, at + 1)
             while nxt >= 0 and not _starts(data, nxt):
                 nxt = data.find(MAGIC, nxt + 1)
-            to = len(data) if nxt < 0 else nxt
-            first = since if pending else at
-            yield "gap", first, to - first, reason
-            at, pending = to, b""
-            continue
-        if not pending:
-            since = at
-        pending += text
+            end = len(data) if nxt < 0 else nxt
+            yield from out.read(True)
+            yield "gap", out.since if out.since is not None else at, end - (out.since if out.since is not None else at), reason
+            out.clear()
+        else:
+            if out.text and _begins_record(text):
+                yield from out.read(True)
+            out.add(at, end, text)
+            yield from out.read(False)
+        at = end
+    yield from out.read(True)
+
+
+class Unread:
+    """Decompressed bytes not yet told as records or gaps, with the file positions at which their members begin and end."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.text, self.members, self.wanted, self.since, self.end = b"", [], 0, None, 0
+
+    def add(self, start: int, end: int, text: bytes) -> None:
+        if self.since is None:
+            self.since = start
+        self.members.append((len(self.text), start))
+        self.text, self.end = self.text + text, end
+
+    def place(self, at: int) -> int:
+        """File position of a position in the text: that of its member if it is the member's first, else where the member ends."""
+        for text_at, start in self.members:
+            if text_at >= at:
+                return start
+        return self.end
+
+    def read(self, final: bool):
+        """Tells what can be told; with final, all of it."""
+        if not self.text or not final and len(self.text) < self.wanted:
+            return
         rest = 0
-        for kind, offset, length, what in _plain(pending, 0, False):
+        for kind, at, end, what in _plain(self.text, final):
             if kind == "rest":
-                rest = offset
-            elif kind == "record" or length:
-                yield kind, since, end - since, what
-        pending = pending[rest:]
-        at = end
-    if pending:
-        for kind, _, _, what in _plain(pending, 0, True):
-            if kind != "rest":
-                yield kind, since, len(data) - since, what
+                rest = at
+            else:
+                first, last = self.place(at), self.place(end)
+                first = self.since if at == 0 else first
+                if kind == "record" or last > first:
+                    yield kind, first, last - first, what
+        since = self.place(rest)
+        self.members = [(max(0, t - rest), start) for t, start in self.members if t >= rest]
+        self.text = self.text[rest:]
+        self.since = since if self.text else None
+        # a record that has told its length isn't looked at again before it is whole
+        head = self.text.find(CLOSE)
+        header = _header(self.text[:head]) if head >= 0 else None
+        self.wanted = head + 8 + int(header["content-length"]) if header else 0
 
 
 def _unpack(data: bytes, at: int) -> tuple[bytes, int]:
@@ -254,5 +322,5 @@ def read_archives(spark: SparkSession, path: str, glob: str = "part-*", with_pay
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) != 1:  # a row is a whole archive here
         small_batches(spark, 512)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path).select("path", "content")
     return files.mapInArrow(reader(with_payload), READ)

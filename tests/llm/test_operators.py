@@ -490,8 +490,30 @@ def test_copies_and_repeated_ids_take_no_places(spark, metric):
         assert len(got[q]) == len(set(got[q])) == 20 and len(set(best) & set(got[q])) >= (18 if q < 2000 else 15)
 
 
-def test_nearest_recall_on_the_table(spark):
-    d = "/root/testdata/sf0.01"
+@pytest.mark.parametrize("spread_", [1.0, 0.05])
+def test_cells_are_probed_as_far_as_recall_needs(spark, monkeypatch, spread_):
+    """With vectors in all directions most cells are probed, with clusters few; packs, blocks and stripes are small and many."""
+    for name, value in (("SCAN", 100), ("PACK", 128), ("BLOCK", 16), ("STRIPES", 3), ("KEPT", 200)):
+        monkeypatch.setattr(ann, name, value)
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(4)
+    x = (rng.normal(size=(40, 16))[rng.integers(0, 40, 3000)] + spread_ * rng.normal(size=(3000, 16))) * 1e100  # doubles beyond float
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in ann.search(df, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    hits = 0
+    for q in range(0, 3000, 50):
+        s = x @ x[q]
+        best = [int(i) for i in np.lexsort((np.arange(3000), -s)) if i != q][:20]
+        hits += len(set(best) & {i for i, _ in got[q]})
+        assert all(v == pytest.approx(s[i]) for i, v in got[q])
+    assert hits / (60 * 20) >= 0.9
+
+
+@pytest.mark.parametrize("d", ["/root/testdata/sf0.01", "/root/testdata/sf0.1"])
+def test_nearest_recall_on_the_table(spark, d):
     e = spark.read.parquet(f"{d}/embeddings.parquet").toPandas()
     x, ids = np.stack(e["embedding"]).astype(float), e["vec_id"].to_numpy()
     got = QUERIES["op7_nearest"](spark, d).toPandas()
@@ -611,6 +633,63 @@ def test_salvage_of_cut_and_dirty_archives(packed):
     assert [k for k, *_ in dirty] == ["record"] * 2 + ["gap"] + ["record"] * 3
 
 
+def tiles(found, size):
+    at = 0
+    for _, offset, length, _ in found:
+        assert offset == at
+        at += length
+    assert at == size
+
+
+@pytest.mark.parametrize("packed", [True, False])
+@pytest.mark.parametrize("said", [10**7, 40_000, 200, 3, 0])
+@pytest.mark.parametrize("victim", [0, 2, 5])
+def test_a_wrong_length_costs_one_record(packed, said, victim):
+    """Too large or too small a Content-Length: the others are recovered, and gaps and records tile the file."""
+    out, payloads = b"", [bytes([65 + i]) * (500 * i + 20) for i in range(6)]
+    for i, p in enumerate(payloads):
+        r = warc.record(i, "u", p, warc.base32_sha1(p), len(p), None, "2020-01-01T00:00:00Z")
+        if i == victim:
+            true = r.split(b"\r\nContent-Length: ")[1].split(b"\r\n")[0]
+            r = r.replace(b"\r\nContent-Length: " + true, b"\r\nContent-Length: %d" % said, 1)
+        out += warc.member(r) + warc.member(warc.CLOSE) if packed else r + warc.CLOSE
+    found = list(warc.salvage(out))
+    assert [warc.payload_of(*w) for k, *_, w in found if k == "record"] == [p for i, p in enumerate(payloads) if i != victim]
+    tiles(found, len(out))
+
+
+def test_members_of_many_records_and_records_of_many_members():
+    rs = [warc.record(i, "u", p, warc.base32_sha1(p), len(p), None, "2020-01-01T00:00:00Z") + warc.CLOSE for i, p in enumerate(PAYLOADS)]
+    one = warc.member(b"".join(rs))
+    found = list(warc.salvage(one + warc.member(rs[0][:50]) + warc.member(rs[0][50:]) + b"dirt" + warc.member(rs[1])))
+    assert [k for k, *_ in found] == ["record"] * 6 + ["gap", "record"]
+    tiles(found, sum(f[2] for f in found))
+    assert [f[2] for f in found[:5]] == [len(one), 0, 0, 0, 0]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.booleans(), st.lists(st.tuples(st.floats(0, 1), st.binary(min_size=1, max_size=12)), max_size=3))
+def test_any_damage_leaves_a_tiled_file(packed, damage):
+    data = bytearray(archive(PAYLOADS, packed)[0])
+    for where, what in damage:
+        i = int(where * (len(data) - 1))
+        data[i : i + len(what)] = what
+    found = list(warc.salvage(bytes(data)))
+    tiles(found, len(data))
+    assert all(warc.payload_of(*w) in PAYLOADS for k, *_, w in found if k == "record")
+
+
+def test_archives_are_bounded_by_bytes(spark):
+    import glob
+
+    rng = np.random.default_rng(1)
+    pages = spark.createDataFrame([(i, "u", rng.bytes(400).hex()) for i in range(40)], "page_id long, url string, html string").coalesce(1)
+    warc.write_archives(pages, path := scratch_path(spark, "w"), archive_bytes=3000)
+    sizes = [len(open(f, "rb").read()) for f in glob.glob(path.removeprefix("file:") + "/*/part-*")]
+    assert len(sizes) >= 8 and max(sizes) < 4000
+    assert sorted(r["page_id"] for r in warc.read_archives(spark, path).where("kind = 'record'").collect()) == list(range(40))
+
+
 def test_archives_round_trip(spark):
     rows = [(1, "http://a", "<p>x</p>"), (5, None, "<p>x</p>"), (3, "u\nv", "<p>x</p>"), (4, "", None), (2, "", ""), (None, "n", "null id"), (7, "z", "é" * 100_000), (8, "y", "same"), (8, "y", "same")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'x' as payload", "1 as sha", "2 as keep")
