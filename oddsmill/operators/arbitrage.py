@@ -44,24 +44,16 @@ def venue_rows(a: DataFrame, b: DataFrame, c: DataFrame, d: DataFrame) -> DataFr
 
 
 def similar_pairs(left: DataFrame, right: DataFrame, floor: float = LIMITS.match_floor) -> DataFrame:
-    """Pairs of (id, text) rows whose token sets have a Jaccard similarity above floor.
+    """Pairs of (id, text) rows whose token sets have a Jaccard similarity above floor; ids are unique on each side.
 
-    Exact blocking: both sides' distinct tokens meet in an equi-join and a count per pair is the intersection; sets' sizes
-    travel along. A prefix filter keeps only as many of a left set's rarest tokens as a pair above the floor must share, so
-    tokens that most texts have join nothing.
+    Both sides' distinct tokens meet in an equi-join, sizes of the sets travel along, and the count of a pair's rows is its
+    intersection: no set is sent twice or compared anew. Sets too unlike in size to reach the floor don't meet. Counts are
+    summed before they are shuffled, and Spark can split a token that very many texts have.
     """
-    words = lambda df, p: df.select(F.col("id").alias(f"{p}_id"), F.array_distinct(text.tokens(F.col("text"))).alias(f"{p}_words")).withColumn(f"{p}_n", F.size(f"{p}_words"))
-    a, b = words(left, "l"), words(right, "r")
-    token_rows = b.select("r_id", "r_n", F.explode("r_words").alias("token"))
-    seen = token_rows.groupBy("token").agg(F.count("*").alias("freq"))
-    ranked = a.select("l_id", "l_n", F.explode("l_words").alias("token")).join(seen, "token")
-    # a pair above the floor shares over floor * l_n tokens: one of them is among the l_n - floor(floor * l_n) rarest
-    order = Window.partitionBy("l_id").orderBy("freq", "token")
-    first = ranked.withColumn("rk", F.row_number().over(order)).where(F.col("rk") <= F.col("l_n") - F.floor(F.col("l_n") * floor) + 0)
-    met = first.select("l_id", "token").join(token_rows.select("r_id", "token"), "token").select("l_id", "r_id").distinct()
-    both = met.join(a, "l_id").join(b, "r_id")
-    sim = text.jaccard(F.col("l_words"), F.col("r_words"))
-    return both.select("l_id", "r_id", sim.alias("similarity")).where(F.col("similarity") > floor)
+    words = lambda df, p: df.select(F.col("id").alias(f"{p}_id"), F.array_distinct(text.tokens(F.col("text"))).alias("words")).select(f"{p}_id", F.size("words").alias(f"{p}_n"), F.explode("words").alias("token"))
+    met = words(left, "l").join(words(right, "r"), "token").where(F.least("l_n", "r_n") > floor * F.greatest("l_n", "r_n"))
+    both = met.groupBy("l_id", "r_id", "l_n", "r_n").agg(F.count("*").alias("shared"))
+    return both.select("l_id", "r_id", (F.col("shared") / (F.col("l_n") + F.col("r_n") - F.col("shared"))).alias("similarity")).where(F.col("similarity") > floor)
 
 
 def with_entities(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:

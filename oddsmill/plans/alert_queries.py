@@ -75,13 +75,13 @@ def alert_mark_read(spark, sf):
     return marked_read(_alerts(spark, sf), 7).select("id", "is_read")
 
 
-@query("idle_alert", f"""with w as (select unnest(generate_series(timestamp '2024-01-01', timestamp '2024-01-30', interval 6 hour)) as s),
+@query("idle_alert", f"""with w as (select distinct time_bucket(interval 6 hour, scan_time, timestamp '2024-01-01') as s from report),
 f as (select w.s, sum(case when r.pair_count >= 5 then r.pair_count else 0 end + case when r.cross_count >= 5 then r.cross_count else 0 end) as found, count(*) as n from w join report r on r.scan_time >= w.s and r.scan_time < w.s + interval 6 hour group by 1)
 select epoch_us(s) as window_start, cast(n as bigint) as reports from f where found = 0""", "report")
 def idle_alert(spark, sf):
     """Six-hour windows with reports but no opportunity in them."""
     strong = lambda x: F.when(c(x) >= 5, c(x)).otherwise(0)
-    w = reports(spark, sf).where(c("scan_time") < F.lit("2024-01-30 06:00:00").cast("timestamp")).groupBy(F.window("scan_time", "6 hours")).agg(F.sum(strong("pair_count") + strong("cross_count")).alias("found"), F.count("*").alias("reports"))
+    w = reports(spark, sf).groupBy(F.window("scan_time", "6 hours")).agg(F.sum(strong("pair_count") + strong("cross_count")).alias("found"), F.count("*").alias("reports"))
     return w.where("found = 0").select(epoch_us(c("window.start")).alias("window_start"), "reports")
 
 

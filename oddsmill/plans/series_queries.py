@@ -10,9 +10,6 @@ from ..operators import series as ops
 from ..sources.market_tables import price_history, trades
 from .registry import query
 
-#: Watched markets for pair statistics.
-WATCHED = 12
-
 RSI = """with dl as (select *, price - lag(price) over w as delta from series window w as (partition by market order by seq)),
 g as (select *, round_even(sum(greatest(delta, 0)) over w14, 12) as up, round_even(sum(greatest(-delta, 0)) over w14, 12) as down from dl window w14 as (partition by market order by seq rows between 13 preceding and current row)),
 ri as (select *, case when seq <= 14 then 50.0::double when down = 0 then 100.0::double else 100 - 100 / (1 + up / down) end as rsi from g)
@@ -54,7 +51,7 @@ def momentum_scan(spark, sf):
     return breakout(spark, sf).where("signal <> 'HOLD' and strength > 0.5")
 
 
-CORR = """with w as (select * from series where market < 12),
+CORR = """with w as (select * from series),
 t as (select market, price, row_number() over (partition by market order by seq desc) as back from w),
 p as (select a.market as a, b.market as b, count(*) as points, case when count(*) < 10 or var_pop(a.price) = 0 or var_pop(b.price) = 0 then 0 else coalesce(corr(a.price, b.price), 0) end as c0
   from t a join t b on a.back = b.back and a.market < b.market where a.back <= 100 group by all),
@@ -64,29 +61,26 @@ pairs as (select a, b, points, round_even(c0, 6) as corr from p)
 
 @query("price_corr", CORR + "select * from pairs", "series")
 def price_corr(spark, sf):
-    return ops.correlations(price_history(spark, sf).where(F.col("market") < WATCHED))
+    """Correlation of all pairs of markets."""
+    return ops.correlations(price_history(spark, sf))
 
 
-@query("corr_matrix", CORR + """, f as (select a as market, b as other, corr from pairs union all select b, a, corr from pairs union all select distinct market, market, 1.0 from w)
-select market, """ + ", ".join(f"max(corr) filter (other = {i}) as m{i}" for i in range(WATCHED)) + " from f group by market", "series")
-def corr_matrix(spark, sf):
-    return ops.correlation_matrix(price_corr(spark, sf), list(range(WATCHED)))
+MATRIX = CORR + "select a as market, b as other, corr from pairs union all select b, a, corr from pairs union all select distinct market, market, 1.0 from w"
 
 
-@query("price_corr_all")
-def price_corr_all(spark, sf):
-    """Pairs of all markets; price_corr is the part of them that its SQL asks for."""
-    return ops.correlations(price_history(spark, sf))
+@query("corr_matrix", MATRIX, "series")
+def corr_matrix(spark, sf):
+    """The symmetric matrix of all markets as rows, diagonal 1."""
+    pairs = cut(price_corr(spark, sf), "pairs")
+    return ops.correlation_rows(pairs, price_history(spark, sf))
 
 
-@query("corr_matrix_all")
-def corr_matrix_all(spark, sf):
-    """The matrix of all markets as rows."""
-    pairs = cut(price_corr_all(spark, sf), "pairs")
-    return ops.correlation_rows(pairs, price_history(spark, sf))
+# The names under which the same results were asked for when the two above kept twelve markets.
+query("price_corr_all", CORR + "select * from pairs", "series")(price_corr)
+query("corr_matrix_all", MATRIX, "series")(corr_matrix)
 
 
-DAILY = """with d as (select user_id as market, date_trunc('day', ts) as day, avg(value) as price from events where user_id < 30 group by all),
+DAILY = """with d as (select user_id as market, date_trunc('day', ts) as day, avg(value) as price from events group by all),
 h as (select *, case when day < '2024-01-16' then 1 else 2 end as half, row_number() over (partition by market, case when day < '2024-01-16' then 1 else 2 end order by day desc) as back from d),
 c as (select a.half, a.market as a, b.market as b, round_even(case when count(*) < 10 or var_pop(a.price) = 0 or var_pop(b.price) = 0 then 0 else coalesce(corr(a.price, b.price), 0) end, 6) as corr
   from h a join h b on a.half = b.half and a.back = b.back and a.market < b.market where a.back <= 50 group by all),
@@ -95,29 +89,34 @@ select x.a, x.b, x.corr as base, y.corr as now, round_even(abs(y.corr - x.corr),
 from c x join c y on x.half = 1 and y.half = 2 and x.a = y.a and x.b = y.b join tr ta on ta.market = x.a join tr tb on tb.market = x.b where x.corr > 0.5 and round_even(abs(y.corr - x.corr), 6) > 0.3"""
 
 
-def _halves(spark, sf, only="true"):
-    d = trades(spark, sf).where(only).groupBy(F.col("user_id").alias("market"), F.date_trunc("day", "ts").alias("seq")).agg(F.avg("volume").alias("price"))
+def _halves(spark, sf):
+    d = trades(spark, sf).groupBy(F.col("user_id").alias("market"), F.date_trunc("day", "ts").alias("seq")).agg(F.avg("volume").alias("price"))
     first = F.col("seq") < F.lit("2024-01-16").cast("timestamp")
     return d.where(first), d.where(~first)
 
 
 @query("corr_breakdown", DAILY)
 def corr_breakdown(spark, sf):
-    return _breakdowns(*_halves(spark, sf, "user_id < 30"))
+    """Broken correlations among all markets."""
+    one, two = _halves(spark, sf)
+    found = ops.breakdowns(ops.correlations(one, 50), ops.correlations(two, 50), ops.tail_aligned(two, 50), tau=0.5)
+    return found.select("a", "b", "base", "now", "divergence", "direction", "confidence").orderBy(F.desc("divergence"), "a", "b")
 
 
-@query("corr_breakdown_all")
-def corr_breakdown_all(spark, sf):
-    """Broken correlations of all markets; corr_breakdown is the part of them that its SQL asks for."""
-    return _breakdowns(*_halves(spark, sf))
+query("corr_breakdown_all", DAILY)(corr_breakdown)
 
 
-def _breakdowns(one, two):
-    found = ops.breakdowns(ops.correlations(one, 50), ops.correlations(two, 50), ops.tail_aligned(two, 50), tau=0.5)
-    return found.select("a", "b", "base", "now", "divergence", "direction", "confidence").orderBy(F.desc("divergence"), "a", "b")
+# Seeds one after the other in market order: a market is one if none of its lesser neighbours is.
+CLUSTERS = "with recursive " + DAILY[len("with ") : DAILY.index(",\ntr as")] + """,
+e as (select a, b from c where half = 1 and corr >= 0.5),
+n as (select m, row_number() over (order by m) as rn, lesser from (select m, coalesce(list(e.a) filter (e.a is not null), []) as lesser from (select a as m from e union select b from e) x left join e on e.b = x.m group by m)),
+f as (select 0::bigint as i, []::bigint[] as seeds union all select n.rn, case when list_has_any(f.seeds, n.lesser) then f.seeds else list_append(f.seeds, n.m) end from f join n on n.rn = f.i + 1),
+s as (select unnest(arg_max(seeds, i)) as seed from f),
+t as (select min(seed) as cluster, b as market from e join s on s.seed = e.a where b not in (select seed from s) group by b)
+select cluster, market from t union all select distinct cluster, cluster from t"""
 
 
-@query("corr_clusters")
+@query("corr_clusters", CLUSTERS)
 def corr_clusters(spark, sf):
     return ops.greedy_clusters(ops.correlations(_halves(spark, sf)[0], 50), 0.5)
 
@@ -144,18 +143,44 @@ def convergence(spark, sf):
     return ops.convergence(_history(spark, sf)).select("wallet", epoch_us(F.col("at")).alias("at"), "top5", "trend")
 
 
-@query("history_chart", HIST + "select wallet, epoch_us(week) as at, cast(round_even(top5 * 100, 0) as bigint) as percent from l where back <= 24", "holding")
-def history_chart(spark, sf):
+@query("history_chart", HIST + "select wallet, epoch_us(week) as at, cast(round_even(top5 * 100, 0) as bigint) as percent from l where back <= 100", "holding")
+def history_chart(spark, sf, kept: int = 100):
+    """The history route: top-five shares in percent of a wallet's last `kept` snapshots."""
     from ..functions.columns import epoch_us
 
-    h = ops.convergence(_history(spark, sf), kept=24)
+    h = ops.convergence(_history(spark, sf), kept=kept)
     return h.orderBy("wallet", "at").select("wallet", epoch_us(F.col("at")).alias("at"), F.bround(F.col("top5") * 100, 0).cast("long").alias("percent"))
 
 
-@query("wilder_rsi")
+@query("wilder_rsi", """with recursive series as (select user_id as market, row_number() over (partition by user_id order by ts, event_id) as seq, value / 500 as price, ts from events),
+d as (select market, seq, seq - 1 as j, price - lag(price) over (partition by market order by seq) as delta from series),
+w as (select market, 14::bigint as j, avg(greatest(delta, 0)) as up, avg(greatest(-delta, 0)) as down from d where j between 1 and 14 group by market having count(*) = 14
+  union all select w.market, d.j, (w.up * 13 + greatest(d.delta, 0)) / 14, (w.down * 13 + greatest(-d.delta, 0)) / 14 from w join d on d.market = w.market and d.j = w.j + 1)
+select d.market, d.seq, round_even(case when d.j < 14 then 50 when w.down = 0 then 100 else 100 - 100 / (1 + w.up / w.down) end, 6) as wilder_rsi from d left join w on w.market = d.market and w.j = d.j""")
 def wilder_rsi(spark, sf):
     """Extension: recursively smoothed RSI."""
-    return ops.with_wilder_rsi(price_history(spark, sf).withColumn("seq", F.col("seq").cast("long")))
+    s = ops.with_wilder_rsi(price_history(spark, sf))
+    return s.select("market", F.col("seq").cast("long").alias("seq"), r(F.col("wilder_rsi")).alias("wilder_rsi"))
+
+
+@query("macd", """with s as (select *, row_number() over (partition by market order by seq) as j from series),
+m as (select b.market, b.seq, b.j, sum(a.price * power(11.0::double / 13, b.j - a.j)) / sum(power(11.0::double / 13, b.j - a.j)) - sum(a.price * power(25.0::double / 27, b.j - a.j)) / sum(power(25.0::double / 27, b.j - a.j)) as macd
+  from s b join s a on a.market = b.market and a.j <= b.j and a.j > b.j - 400 group by all),
+g as (select b.market, b.seq, any_value(b.macd) as macd, sum(a.macd * power(0.8::double, b.j - a.j)) / sum(power(0.8::double, b.j - a.j)) as signal from m b join m a on a.market = b.market and a.j <= b.j and a.j > b.j - 400 group by all)
+select market, seq, round_even(macd, 6) as macd, round_even(signal, 6) as signal, round_even(macd - signal, 6) as histogram from g""", "series")
+def macd(spark, sf):
+    """Extension: moving average convergence and divergence."""
+    s = ops.with_macd(price_history(spark, sf))
+    return s.select("market", F.col("seq").cast("long").alias("seq"), *[r(F.col(c)).alias(c) for c in ("macd", "signal", "histogram")])
+
+
+@query("rsi_divergence", RSI + """, n as (select market, seq, price, round_even(rsi, 9) as rsi from ri),
+e as (select *, min(price) over w as low, max(price) over w as high, min(rsi) over w as rsi_low, max(rsi) over w as rsi_high from n window w as (partition by market order by seq rows between 20 preceding and 1 preceding)),
+k as (select *, case when price < low and rsi > rsi_low then 'bullish' when price > high and rsi < rsi_high then 'bearish' end as divergence from e where seq > 20)
+select market, seq, price, round_even(rsi, 4) as rsi, divergence from k where divergence is not null""", "series")
+def rsi_divergence(spark, sf):
+    """Extension: new extremes of the price that the RSI doesn't follow."""
+    return ops.divergences(price_history(spark, sf)).withColumn("seq", F.col("seq").cast("long"))
 
 
 @query("volume_spikes", """with a as (select market, seq, price, avg(price) over (partition by market order by seq rows between 20 preceding and 1 preceding) as mean, count(*) over (partition by market order by seq rows between 20 preceding and 1 preceding) as n from series)

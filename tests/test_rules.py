@@ -269,21 +269,29 @@ def test_cooldown_spreads_a_key_over_chunks(spark):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def wilder(prices, period=14):
+    """The definition: first means of `period` deltas, then recursive smoothing; 100 without losses."""
+    out, up, down = [50.0] * min(len(prices), period), None, None
+    d = [b - a for a, b in zip(prices, prices[1:], strict=False)]
+    for i in range(period, len(d) + 1):
+        if up is None:
+            up, down = (sum(max(s * x, 0.0) for x in d[:period]) / period for s in (1, -1))
+        else:
+            up, down = ((y * (period - 1) + max(s * d[i - 1], 0.0)) / period for y, s in ((up, 1), (down, -1)))
+        out.append(100 - 100 / (1 + up / down) if down else 100.0)
+    return out
+
+
 def test_wilder_rsi_over_chunks_equals_one_fold(spark, monkeypatch):
     import numpy as np
-    import pandas as pd
 
     rng = np.random.default_rng(8)
-    x = {m: rng.normal(size=n) for m, n in ((1, 100), (2, 20), (3, 21), (4, 1), (5, 65))}
+    x = {m: rng.normal(size=n) for m, n in ((1, 3000), (2, 20), (3, 21), (4, 1), (5, 65), (6, 14), (7, 15))}
     x[1][40:70], x[5][:] = 0.5, np.arange(65.0)
-    x[1][[0, 20, 21, 30, 80]] = np.nan
-    s = spark.createDataFrame([(m, 3 * i, None if np.isnan(v) else float(v)) for m, vs in x.items() for i, v in enumerate(vs)], "market long, seq long, price double")
-    for chunk in (10, 1, 10_000):
+    s = spark.createDataFrame([(m, 3 * i, float(v)) for m, vs in x.items() for i, v in enumerate(vs)] + [(1, 10, None), (2, 61, float("nan"))], "market long, seq long, price double")
+    for chunk in (4096, 600):
         monkeypatch.setattr(series, "CHUNK", chunk)
         got = {(r["market"], r["seq"]): r["wilder_rsi"] for r in series.with_wilder_rsi(s).collect()}
-        assert len(got) == sum(map(len, x.values()))
+        assert len(got) == sum(map(len, x.values()))  # rows without a price are left out
         for m, vs in x.items():
-            delta = pd.Series(vs).diff()
-            up, down = (d.iloc[1:].ewm(alpha=1 / 14, adjust=False, min_periods=14).mean() for d in (delta.clip(lower=0), (-delta).clip(lower=0)))
-            want = (100 - 100 / (1 + up / down)).where(down > 0, 100.0).reindex(delta.index).fillna(50.0)
-            assert [got[m, 3 * i] for i in range(len(vs))] == pytest.approx(list(want), abs=1e-9)
+            assert [got[m, 3 * i] for i in range(len(vs))] == pytest.approx(wilder(list(map(float, vs))), abs=1e-7)
