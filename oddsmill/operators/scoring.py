@@ -126,3 +126,18 @@ def review_whale(volume: Column, changes: Column, new: Column, value: Column, po
     total = points((volume < 3000, 2), ((volume >= 3000) & (volume < 8000), 0.5), (value < 10_000, 2), ((value >= 10_000) & (value < 50_000), 0.5), (positions > 50, 1), ((win > 0) & (win < 0.55), 2), (win >= 0.6, -1))
     moves = F.when(changes == 0, 3.0).when(first, 0.5).when(share > 0.5, 1.5).when(changes > 15, 1.0).otherwise(0.0)
     return F.when(is_suspicious, 1.0).otherwise(clamp((total + moves) / 10, 0.0, 1.0))
+
+
+def contrarian_triggers(yes: Column, consensus: Column, mood: Column) -> Column:
+    """How many hold: a price beyond 70 % either way, over 15 % from consensus, a mood beyond 80 of 100."""
+    return ((yes > 0.7) | (yes < 0.3)).cast("int") + (rounded(F.abs(yes - consensus), 9) > 0.15).cast("int") + (F.abs(mood) > 80).cast("int")
+
+
+def sentiment(news: Column, social: Column, influence: Column, chain: Column) -> Column:
+    """Weighted mood of four sources, each from -100 to 100."""
+    return 0.30 * news + 0.25 * social + 0.20 * influence + 0.25 * chain
+
+
+def position_cap(strategy: Column) -> Column:
+    """The share of capital that a position of a strategy may have."""
+    return F.when(strategy == "arbitrage", 0.10).when(strategy == "trend", 0.05).otherwise(0.02)

@@ -100,6 +100,16 @@ def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return rows.withColumn("file", F.col("_metadata.file_path")).where("_corrupt is null").drop("_corrupt")
 
 
+def parsed_books(raw: DataFrame) -> DataFrame:
+    """Raw books (market, bids, asks: JSON lists of [price, size], in any order) to levels (market, side, level, price, size).
+
+    Level 0 is the best: the highest bid, the lowest ask. Entries without two numbers go.
+    """
+    pairs = lambda x: F.filter(F.transform(F.from_json(x, "array<array<string>>"), lambda e: F.struct(F.try_element_at(e, F.lit(1)).try_cast("double").alias("price"), F.try_element_at(e, F.lit(2)).try_cast("double").alias("size"))), lambda e: e["price"].isNotNull() & e["size"].isNotNull())
+    side = lambda name, best_first: raw.select("market", F.lit(name).alias("side"), F.posexplode(F.sort_array(pairs(F.col(f"{name}s")), asc=best_first)).alias("level", "e")).select("market", "side", F.col("level").cast("long").alias("level"), "e.price", "e.size")
+    return side("bid", False).unionByName(side("ask", True))
+
+
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     """Lines of logs with their file."""
     return spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line"))

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scratch import cut, drop_cut
+
 
 def upserted(current: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """current with the rows of new put in place of those with equal keys; columns that new lacks are null."""
@@ -47,26 +49,67 @@ def write_report(header: dict[str, str], rows: DataFrame, name: str, path: str)
     spark.createDataFrame([(json.dumps(header | {"count": count}),)], "value string").coalesce(1).write.text(f"{path}/header")
 
 
-def replace_table(rows: DataFrame, path: str) -> None:
-    """Overwrites a table that rows may have been read from: writes beside it first, then over it."""
-    staged = f"{path}_next"
-    rows.write.mode("overwrite").parquet(staged)
-    rows.sparkSession.read.parquet(staged).write.mode("overwrite").parquet(path)
+def write_monitor_report(header: dict[str, str], sections: dict[str, DataFrame], path: str) -> None:
+    """One report of several scans: each section's rows as JSON lines in path/section, and in path/header their counts and totals.
+
+    A section's rows that have a column `approved` are counted by it too.
+    """
+    spark = next(iter(sections.values())).sparkSession
+    summary: dict = {}
+    for name, rows in sections.items():
+        rows.write.option("ignoreNullFields", "true").json(f"{path}/{name}")
+        lines = spark.read.schema("approved boolean").json(f"{path}/{name}")
+        n = lines.agg(F.count("*").alias("count"), F.count_if("approved").alias("approved")).first()
+        summary[name] = {"count": n["count"], "approved_count": n["approved"]}
+    totals = {"total": sum(x["count"] for x in summary.values()), "approved_total": sum(x["approved_count"] for x in summary.values())}
+    spark.createDataFrame([(json.dumps(header | summary | {"summary": totals}),)], "value string").coalesce(1).write.text(f"{path}/header")
+
+
+def append_history(rows: DataFrame, watched: DataFrame, path: str, key: str = "wallet") -> None:
+    """Appends the rows of watched keys to a history table; what is there is never rewritten."""
+    rows.join(watched.select(key).distinct(), key, "left_semi").write.mode("append").parquet(path)
+
+
+#: Folders that a keyed table's rows are dealt to.
+BUCKETS = 64
+
+
+def read_state(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A keyed table's rows; none if it was never written."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(f"{schema}, bucket int").parquet(path).drop("bucket")
+
+
+def _newest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """One row for each key: the greatest by order, nulls least."""
+    by = F.struct(*[x for o in order for x in (F.col(o).isNotNull(), F.col(o))])
+    return rows.groupBy(*[F.col(k).alias(f"key {k}") for k in keys]).agg(F.max_by(F.struct("*"), by).alias("row")).select("row.*")
+
+
+def write_state(rows: DataFrame, path: str, keys: list[str], order: list[str] | None = None, schema: str | None = None) -> None:
+    """Puts rows in place of those with equal keys in a keyed table; of equal keys the greatest by order stays (all columns, if none).
+
+    Only the folders that rows fall into are read and replaced; each is replaced by a finished one, so a writer that is lost
+    leaves the old rows or the new ones, and running it again gives the same table.
+    """
+    spark = rows.sparkSession
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
+    new = cut(rows.withColumn("bucket", bucket), "state")
+    touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # at most BUCKETS
+    shape = schema or ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    current = read_state(spark, path, shape).withColumn("bucket", bucket).where(F.col("bucket").isin(touched))
+    if touched:
+        kept = _newest(current.unionByName(new, allowMissingColumns=True), keys, order or [f.name for f in rows.schema if f.name not in keys])
+        kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    drop_cut(new)
 
 
-def upsert_batch(path: str, keys: list[str]):
-    """A foreachBatch function that upserts each micro-batch into the Parquet table at path."""
+def upsert_batch(path: str, keys: list[str], order: list[str] | None = None):
+    """A foreachBatch function that upserts each micro-batch into the keyed table at path."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        newest = batch.dropDuplicates(keys)
-        try:
-            current = spark.read.parquet(path)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            newest.write.parquet(path)
-            return
-        replace_table(upserted(current, newest, keys), path)
+        write_state(batch, path, keys, order)
 
     return write

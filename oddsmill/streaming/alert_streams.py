@@ -57,6 +57,73 @@ def cooled_down(alerts: DataFrame, keys: list[str], gap_s: int = LIMITS.cooldown
     return rows.groupBy(*keys).applyInPandasWithState(fold, f"{names}, id long, ts_us long", "last long, waiting array<struct<ts:long,id:long>>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def upsert_stream(rows: DataFrame, path: str, keys: list[str], checkpoint: str):
-    """Starts a query that keeps the Parquet table at path up to date by keys, with all data there is."""
-    return rows.writeStream.foreachBatch(upsert_batch(path, keys)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def cache_misses(requests: DataFrame, keys: list[str], ttl_s: int = 86_400, late: str = "10 minutes") -> DataFrame:
+    """Requests (keys..., id, ts) that find no result computed less than ttl_s before: the others are served from cache."""
+    return cooled_down(requests, keys, ttl_s, late)
+
+
+def position_changes(positions: DataFrame, tolerance: float = LIMITS.size_tolerance, late: str = "10 minutes") -> DataFrame:
+    """Changes of positions (wallet, market, size, ts) against what a wallet held in a market before, kept as state between runs.
+
+    size 0 closes a position. Rows of one micro-batch are taken in time order.
+    """
+
+    def fold(key, batches, state: GroupState):
+        import pandas as pd
+
+        rows = pd.concat(list(batches)).sort_values(["ts", "size"]) if not state.hasTimedOut else pd.DataFrame()
+        held = state.get[0] if state.exists else 0.0
+        out = []
+        for ts, size in zip(rows["ts"], rows["size"], strict=True) if len(rows) else ():
+            change = round(size - held, 6)
+            kind = "new" if held == 0 and size > 0 else "closed" if held > 0 and size == 0 else "increased" if change > tolerance else "decreased" if change < -tolerance else None
+            if kind:
+                out.append((*key, kind, float(held), float(size), int(ts.value // 1000) if hasattr(ts, "value") else int(ts)))
+            held = float(size)
+        state.update((held,))
+        yield pd.DataFrame(out, columns=["wallet", "market", "type", "old_size", "new_size", "ts_us"])
+
+    return positions.withWatermark("ts", late).groupBy("wallet", "market").applyInPandasWithState(fold, "wallet string, market string, type string, old_size double, new_size double, ts_us long", "held double", "append", GroupStateTimeout.NoTimeout)
+
+
+def price_buffers(prices: DataFrame, cap: int = 100, late: str = "10 minutes") -> DataFrame:
+    """The last `cap` prices of each market (market, price, ts) after each micro-batch that brings some, oldest first."""
+
+    def fold(key, batches, state: GroupState):
+        import pandas as pd
+
+        held = [tuple(x) for x in state.get[0]] if state.exists else []
+        for pdf in batches:
+            held = sorted(held + list(zip(pdf["ts"].astype("datetime64[us]").astype("int64").tolist(), pdf["price"].tolist(), strict=True)))[-cap:]
+        state.update((held,))
+        yield pd.DataFrame([(key[0], [p for _, p in held])], columns=["market", "prices"])
+
+    return prices.withWatermark("ts", late).groupBy("market").applyInPandasWithState(fold, "market string, prices array<double>", "held array<struct<ts:long,price:double>>", "update", GroupStateTimeout.NoTimeout)
+
+
+def idle_gaps(reports: DataFrame, hours: int = LIMITS.idle_hours, late: str = "1 hour") -> DataFrame:
+    """(source, idle_since_us) of each source of reports (source, scan_time) that fell silent: no report for so many hours."""
+    gap = hours * 3_600_000
+
+    def fold(key, batches, state: GroupState):
+        import pandas as pd
+
+        out = []
+        if state.hasTimedOut:
+            out.append((key[0], int(state.get[0])))
+            state.remove()
+        else:
+            last = state.get[0] if state.exists else 0
+            for pdf in batches:
+                last = max(last, int(pdf["scan_time"].astype("datetime64[us]").astype("int64").max()))
+            state.update((last,))
+            state.setTimeoutTimestamp(max(last // 1000 + gap, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=["source", "idle_since_us"])
+
+    return reports.withWatermark("scan_time", late).groupBy("source").applyInPandasWithState(fold, "source string, idle_since_us long", "last long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def upsert_stream(rows: DataFrame, path: str, keys: list[str], checkpoint: str, order: list[str] | None = None, every: str | None = None):
+    """Starts a query that keeps the keyed table at path up to date: with all data there is, or a micro-batch `every` so often."""
+    trigger = {"processingTime": every} if every else {"availableNow": True}
+    return rows.writeStream.foreachBatch(upsert_batch(path, keys, order)).option("checkpointLocation", checkpoint).trigger(**trigger).start()

@@ -48,11 +48,40 @@ def test_reports_count_and_keep_all_rows(spark, tmp_path):
     assert sorted(r["id"] for r in spark.read.json(f"{path}/items").collect()) == list(range(1, 2501))
 
 
-def test_replace_table_from_itself(spark, tmp_path):
-    path = str(tmp_path / "t")
-    spark.range(3).write.parquet(path)
-    sinks.replace_table(spark.read.parquet(path).withColumn("id", F.col("id") + 1), path)
-    assert sorted(r["id"] for r in spark.read.parquet(path).collect()) == [1, 2, 3]
+def test_monitor_report(spark, tmp_path):
+    rows = spark.createDataFrame([(1, True), (2, False), (3, None)], "id int, approved boolean")
+    path = str(tmp_path / "report")
+    sinks.write_monitor_report({"at": "now"}, {"pair_cost": rows, "whale": rows.where("id > 5"), "news": rows.select("id")}, path)
+    head = json.loads(spark.read.text(f"{path}/header").first()["value"])
+    assert head == {"at": "now", "pair_cost": {"count": 3, "approved_count": 1}, "whale": {"count": 0, "approved_count": 0}, "news": {"count": 3, "approved_count": 0}, "summary": {"total": 6, "approved_total": 1}}
+
+
+def test_history_grows_by_watched_keys(spark, tmp_path):
+    path = str(tmp_path / "history")
+    rows = spark.createDataFrame([("a", 1), ("b", 2)], "wallet string, v int")
+    for _ in range(2):
+        sinks.append_history(rows, rows.where("wallet = 'a'"), path)
+    assert [tuple(r) for r in spark.read.parquet(path).collect()] == [("a", 1)] * 2
+
+
+def test_state_keeps_the_newest_and_leaves_other_folders(spark, tmp_path):
+    path, shape = str(tmp_path / "state"), "wallet string, v int, at long"
+    assert sinks.read_state(spark, path, shape).count() == 0
+    put = lambda rows: sinks.write_state(spark.createDataFrame(rows, shape), path, ["wallet"], ["at"])
+    put([(f"w{i}", i, 10) for i in range(200)])
+    before = {f: f.stat().st_mtime_ns for f in (tmp_path / "state").rglob("part-*")}
+    put([("w7", 70, 5), ("w8", 80, 11), ("w8", 81, 12), ("w8", 82, None), ("x", 1, None)])
+    got = {r["wallet"]: r["v"] for r in sinks.read_state(spark, path, shape).collect()}
+    assert got == {f"w{i}": i for i in range(200)} | {"w8": 81, "x": 1}
+    assert sum(f.exists() and f.stat().st_mtime_ns == t for f, t in before.items()) >= len(before) - 3
+    put([])
+    assert sinks.read_state(spark, path, shape).count() == 201
+
+
+def test_order_books_from_json(spark):
+    raw = spark.createDataFrame([("m", '[["0.4", "10"], [0.45, 5], ["x", 1], [0.3]]', '[[0.6, 1], [0.5, 2]]'), ("n", None, "oops")], "market string, bids string, asks string")
+    got = sorted(map(tuple, market_tables.parsed_books(raw).collect()))
+    assert got == [("m", "ask", 0, 0.5, 2.0), ("m", "ask", 1, 0.6, 1.0), ("m", "bid", 0, 0.45, 5.0), ("m", "bid", 1, 0.4, 10.0)]
 
 
 def stream(spark, tmp_path, rows, columns, batches=None):
@@ -110,3 +139,34 @@ def test_streaming_upsert(spark, tmp_path, n):
     path = str(tmp_path / "table")
     assert alert_streams.upsert_stream(s, path, ["wallet"], str(tmp_path / "cp")).awaitTermination(120)
     assert {r["wallet"]: r["v"] for r in spark.read.parquet(path).collect()} == {"a": n - 1, **{f"b{i}": i for i in range(n)}}
+
+
+def test_streaming_duplicates_within_a_minute(spark, tmp_path):
+    rows = [("w", "t", 0, at(0)), ("w", "t", 1, at(0.9)), ("w", "t", 2, at(1)), ("w", "u", 3, at(0.5)), ("x", "t", 9, at(600))]
+    s = stream(spark, tmp_path, None, ["wallet", "type", "id", "ts"], [rows[:2], rows[2:]])
+    assert sorted(r["id"] for r in ran(alert_streams.cooled_down(s, ["wallet", "type"], 60), tmp_path, "dups") if r["wallet"] != "x") == [0, 2, 3]
+
+
+def test_streaming_cache_misses(spark, tmp_path):
+    rows = [[("w", 0, at(0)), ("w", 1, at(60 * 23))], [("w", 2, at(60 * 24))], [("x", 9, at(60 * 99))]]
+    s = stream(spark, tmp_path, None, ["wallet", "id", "ts"], rows)
+    assert sorted(r["id"] for r in ran(alert_streams.cache_misses(s, ["wallet"]), tmp_path, "cache") if r["wallet"] != "x") == [0, 2]
+
+
+def test_streaming_position_changes_keep_state_between_batches(spark, tmp_path):
+    rows = [[("w", "m", 5.0, at(0)), ("w", "n", 1.0, at(0))], [("w", "m", 7.0, at(5)), ("w", "n", 1.005, at(5))], [("w", "m", 0.0, at(10)), ("w", "n", 0.5, at(10))]]
+    s = stream(spark, tmp_path, None, ["wallet", "market", "size", "ts"], rows)
+    got = [(r["market"], r["type"], r["old_size"], r["new_size"]) for r in ran(alert_streams.position_changes(s), tmp_path, "changes")]
+    assert sorted(got) == [("m", "closed", 7.0, 0.0), ("m", "increased", 5.0, 7.0), ("m", "new", 0.0, 5.0), ("n", "decreased", 1.005, 0.5), ("n", "new", 0.0, 1.0)]
+
+
+def test_streaming_price_buffers_are_capped(spark, tmp_path):
+    rows = [[("m", float(i), at(i)) for i in range(3)], [("m", 9.0, at(9)), ("m", 8.0, at(8))]]
+    s = stream(spark, tmp_path, None, ["market", "price", "ts"], rows)
+    assert [list(r["prices"]) for r in ran(alert_streams.price_buffers(s, cap=3), tmp_path, "buffers", "update")] == [[0.0, 1.0, 2.0], [2.0, 8.0, 9.0]]
+
+
+def test_streaming_idle_gap_timer(spark, tmp_path):
+    rows = [[("a", at(0)), ("b", at(0))], [("a", at(60)), ("b", at(300))], [("b", at(60 * 9))], [("b", at(60 * 9 + 1))]]
+    s = stream(spark, tmp_path, None, ["source", "scan_time"], rows)
+    assert [(r["source"], r["idle_since_us"]) for r in ran(alert_streams.idle_gaps(s), tmp_path, "gaps")] == [("a", int(at(60).value // 1000))]
