@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, shuffles_freed
 
 SPANS = "array<struct<start:int,rank:int,kind:string,end:int>>"
 
@@ -86,7 +86,8 @@ def scan(versions: DataFrame, ledger_path: str, rules: tuple[Rule, ...] = RULES,
     texts = rows.join(todo.hint("shuffle_hash"), F.col("path").eqNullSafe(F.col("p")) & (F.col("blob") == F.col("b")))
     found = texts.select("blob", *[F.when(F.array_contains("todo", r.key), spans_of(F.col("text"), r)).alias(r.key) for r in rules])
     found = found.select("blob", F.explode(F.array(*[F.struct(F.lit(r.key).alias("rule"), F.col(f"`{r.key}`").alias("spans")) for r in rules])).alias("x")).select("blob", "x.rule", "x.spans").where("spans is not null")
-    found.write.mode("append").option("compression", "zstd").parquet(ledger_path)
+    with shuffles_freed(spark):
+        found.write.mode("append").option("compression", "zstd").parquet(ledger_path)
     now = _ledger(spark, ledger_path).where(F.col("rule").isin([r.key for r in rules]) & (F.size("spans") > 0))
     findings = cut(now.groupBy("blob").agg(F.flatten(F.collect_set("spans")).alias("spans")), "findings")
     return addresses.join(findings, "blob", "left").select("path", "blob", F.sort_array(F.coalesce("spans", F.array().cast(SPANS))).alias("spans"))

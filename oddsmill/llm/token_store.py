@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, tokenizer
+from .common import shuffles_freed, small_batches, tokenizer
 
 #: Bytes of a row group and of a page, and the end-of-document id.
 ROW_GROUP, PAGE, END_ID = 16 << 20, 64 << 10, 2
@@ -59,7 +59,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, end_id: int =
     options = {"compression": "zstd", "parquet.block.size": ROW_GROUP, "parquet.page.size": PAGE, "parquet.page.row.count.limit": 2000, "parquet.enable.dictionary": "true"}
     if encoding == "delta":
         options |= {"parquet.enable.dictionary": "false", "parquet.writer.version": "PARQUET_2_0"}
-    rows.mapInArrow(encoder(tokenizer_file, end_id), LAYOUT).write.options(**{k: str(v) for k, v in options.items()}).parquet(path)
+    with shuffles_freed(docs.sparkSession):
+        rows.mapInArrow(encoder(tokenizer_file, end_id), LAYOUT).write.options(**{k: str(v) for k, v in options.items()}).parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str, columns: list[str] | None = None, doc_ids: tuple[int, int] | None = None) -> DataFrame:
@@ -81,7 +82,7 @@ def _digest(batches):
         ids = batch.column(3)
         flat, starts = np.ascontiguousarray(ids.values.to_numpy(zero_copy_only=False), "<i4"), ids.offsets.to_numpy()
         sums = [zlib.crc32(flat[a:b]) for a, b in zip(starts[:-1], starts[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([len(x) for x in np.split(flat, starts[1:-1])] if len(starts) > 1 else [], pa.int64()), pa.array(sums, pa.int64())], names=["doc_id", "shard", "shard_start", "n_tokens", "ids_crc32"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.diff(starts).astype(np.int64)), pa.array(sums, pa.int64())], names=["doc_id", "shard", "shard_start", "n_tokens", "ids_crc32"])
 
 
 def token_digests(spark: SparkSession, path: str) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import shuffles_freed, small_batches
 
 #: Bytes and records of an archive, beyond which the next one begins.
 ARCHIVE_BYTES, RECORDS_PER_FILE = 128 << 20, 20_000
@@ -103,7 +103,8 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     responses = rows.join(chosen.hint("shuffle_hash"), same("page_id", "k") & same("sha", "s"), "left_semi").select("page_id", "url", "payload", F.lit(0).alias("keep"))
     members = responses.mapInArrow(_members(date, archive_bytes), "part int, member binary").unionByName(revisits.mapInArrow(_revisits(date, archive_bytes), "part int, member binary"))
     closing = member(CLOSE).decode("latin-1")
-    members.select(F.col("member").cast("string").alias("value"), "part").write.partitionBy("part").option("encoding", "ISO-8859-1").option("lineSep", closing).option("compression", "none").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    with shuffles_freed(pages.sparkSession):
+        members.select(F.col("member").cast("string").alias("value"), "part").write.partitionBy("part").option("encoding", "ISO-8859-1").option("lineSep", closing).option("compression", "none").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
 
 
 def _header(text: bytes) -> dict[str, str] | None:

@@ -6,7 +6,7 @@ import pytest
 
 pytest.importorskip("public_tokenizers")
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
-from tests.llm.test_operators import WORDS, brute_components, check_packing, encoded  # noqa: E402, F401
+from tests.llm.test_operators import ODD, WORDS, brute_components, check_packing, encoded, none, odd  # noqa: E402, F401
 
 
 def test_stages_take_effect(spark, tmp_path):
@@ -32,3 +32,15 @@ def test_stages_take_effect(spark, tmp_path):
 
 def test_run_returns_the_last_stage(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+
+
+def test_stages_take_odd_rows(spark, sf_dir):
+    """Nulls, empty and very long texts, repeated rows, an empty table, and columns with the operators' own names."""
+    df = odd(spark)
+    kept = {"language_id": {1, 2, 6, 7, 8, None}, "exact_dedup": {2, 4, 5, 6, 7, 8, None}, "near_dedup": {1, 3, 4, 5, 6, 7, 8, None}, "mixing": None, "packing": set(r[0] for r in ODD)}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, df, sf_dir)
+        rows = out.collect()
+        assert kept[name] is None or {r["doc_id"] for r in rows} == kept[name], name
+        assert name == "packing" or out.schema == df.schema and all(r["uid"] == "x" for r in rows), name
+        assert stage(spark, none(spark), sf_dir).count() == 0, name
