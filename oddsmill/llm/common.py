@@ -1,4 +1,4 @@
-"""What several operators of this subpackage share: scratch tables, word pattern, chunk-cached tokenising."""
+"""What several operators of this subpackage share: scratch tables, word pattern, tokenising with a memory of pieces."""
 
 from __future__ import annotations
 
@@ -36,11 +36,12 @@ def spread(column: str, instead: str | None = None):
     return F.conv(F.substring(F.md5(F.coalesce(F.col(column).cast("string"), other)), 1, 15), 16, 10).cast("long")
 
 
-# Chunks: a text is cut before white space, then each chunk between a Latin word and the punctuation after it.
-# The tokenisers' own patterns never join characters across these places, so that encoding piece by piece gives the
-# ids of the whole text.
+# A text is cut before white space, and between a Latin word and the punctuation after it. The tokenisers' own patterns
+# never join characters across these places, so that encoding piece by piece gives the ids of the whole text.
+_LATIN, _STOP = "a-zA-ZÀ-ÖØ-öø-ÿ", ".,|!%&$#*"
 _CHUNK = re.compile(r"\s*\S+|\s+$")
-_PIECE = re.compile(r"\s*[a-zA-ZÀ-ÖØ-öø-ÿ]+(?=[.,|!%&$#*]|$)|(?<=[a-zA-ZÀ-ÖØ-öø-ÿ])[.,|!%&$#*]\S*|\s*\S+|\s+$")
+_PIECE = re.compile(rf"\s*[{_LATIN}]+(?=[{_STOP}]|$)|(?<=[{_LATIN}])[{_STOP}]\S*|\s*\S+|\s+$")
+_STOP_AFTER_WORD = f"(^|[ \n])([{_LATIN}]+)([{_STOP}])"
 # White space beyond single spaces and line ends, which the plain way of cutting doesn't serve; separators that
 # Python takes for white space and the tokenisers don't; the start of special tokens' names; and what marks cuts here.
 _UNEVEN = ("  ", "\n\n", " \n", "\n ", "\t", "\r", "\x0b", "\x0c", "\0")
@@ -57,8 +58,8 @@ def _kind(text: str) -> str:
     return "even"
 
 
-#: Chunks, and pieces, of each of the two generations that a worker remembers; characters looked up at once.
-CHUNKS_KEPT, AT_ONCE = 300_000, 4 << 20
+#: Pieces of each of the two generations that a worker remembers; characters looked up at once.
+PIECES_KEPT, AT_ONCE = 600_000, 4 << 20
 
 
 class Memory:
@@ -80,13 +81,13 @@ class Memory:
 
 
 class ChunkedTokenizer:
-    """The tokenizers library with a bounded memory of chunks; ids come as little-endian 32-bit bytes.
+    """The tokenizers library with a bounded memory of pieces; ids come as little-endian 32-bit bytes.
 
-    Each distinct chunk of a batch is looked up once, and ids are laid out by index. Special tokens' names in a text
+    Each distinct piece of a batch is looked up once, and ids are laid out by index. Special tokens' names in a text
     count as ordinary text; none are added.
     """
 
-    def __init__(self, file: str, kept: int = CHUNKS_KEPT):
+    def __init__(self, file: str, kept: int = PIECES_KEPT):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -94,29 +95,20 @@ class ChunkedTokenizer:
 
         self.tokenizer = Tokenizer.from_file(file)
         self.tokenizer.encode_special_tokens = True
-        self.chunks, self.pieces = Memory(kept), Memory(2 * kept)
+        self.memory = Memory(kept)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, chunks: list[str]) -> list[bytes]:
-        parts = [_PIECE.findall(c) for c in chunks]
-        keys = list(set().union(*parts))
-        ids, new = self.pieces.recall(keys)
-        for i, x in zip(new, self._encode([keys[i] for i in new]), strict=True):
-            self.pieces.young[keys[i]] = ids[i] = x
-        ids_of = dict(zip(keys, ids, strict=True))
-        return [b"".join(map(ids_of.__getitem__, p)) for p in parts]
-
-    def _lay_out(self, chunks: pa.Array, ends: np.ndarray) -> list[bytes]:
-        """Ids of texts, given all their chunks and where each text's chunks end."""
-        coded = chunks.dictionary_encode()
+    def _lay_out(self, pieces: pa.Array, ends: np.ndarray) -> list[bytes]:
+        """Ids of texts, given all their pieces and where each text's pieces end."""
+        coded = pieces.dictionary_encode()
         keys, at = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
-        ids, new = self.chunks.recall(keys)
+        ids, new = self.memory.recall(keys)
         for start in range(0, len(new), 20_000):
             some = new[start : start + 20_000]
-            for i, x in zip(some, self._learn([keys[i] for i in some]), strict=True):
-                self.chunks.young[keys[i]] = ids[i] = x
+            for i, x in zip(some, self._encode([keys[i] for i in some]), strict=True):
+                self.memory.young[keys[i]] = ids[i] = x
         pool, sizes = np.frombuffer(b"".join(ids), "<u4"), np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         lengths = sizes[at]
         to = np.cumsum(lengths)
@@ -133,13 +125,15 @@ class ChunkedTokenizer:
             for i, ids in zip(whole, self._encode([texts[i] for i in whole]), strict=True):
                 out[i] = ids
         if even:
-            parts = pc.split_pattern(pa.array([texts[i].replace("\n", "\0\n").replace(" ", "\0 ") for i in even], pa.string()), "\0")
+            marked = pa.array([texts[i].replace("\n", "\0\n").replace(" ", "\0 ") for i in even], pa.string())
+            parts = pc.split_pattern(pc.replace_substring_regex(marked, _STOP_AFTER_WORD, "\\1\\2\0\\3"), "\0")
             for i, ids in zip(even, self._lay_out(parts.flatten(), parts.offsets.to_numpy()[1:]), strict=True):
                 out[i] = ids
         if uneven:
-            parts = [_CHUNK.findall(texts[i]) for i in uneven]
-            flat = pa.array([c for p in parts for c in p], pa.string())
-            for i, ids in zip(uneven, self._lay_out(flat, np.cumsum([len(p) for p in parts])), strict=True):
+            chunks = [_CHUNK.findall(texts[i]) for i in uneven]
+            cut_up = {c: _PIECE.findall(c) for c in set().union(*chunks)}
+            parts = [[p for c in some for p in cut_up[c]] for some in chunks]
+            for i, ids in zip(uneven, self._lay_out(pa.array([p for some in parts for p in some], pa.string()), np.cumsum([len(p) for p in parts])), strict=True):
                 out[i] = ids
         return out
 
