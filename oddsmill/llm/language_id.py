@@ -1,12 +1,12 @@
 """Language identification by error-correcting output codes.
 
 Each language gets a codeword of +1 and -1; for each bit a binary classifier over hashed character n-grams of the whole text
-predicts its sign (regularised least squares, solved in the dual for all bits at once). A text goes to the language whose
+predicts its sign (regularised least squares, solved for all bits at once, by rows or by features, whichever are fewer). A text goes to the language whose
 codeword has the least weighted logistic loss against the bits' margins, where a bit weighs by its leave-one-out accuracy;
 the score is the softmax of the losses, and a text is ambiguous if the two best are closer than AMBIGUOUS.
 
-Learning uses at most about QUOTA rows per language, those with the least id hashes, whatever the table's size; prediction
-sees the text alone. Null text or text without a letter is `und` with score 0; so is all text if there is nothing to learn
+Learning uses at most about QUOTA rows per language, and MOST_ROWS of all languages together in equal parts: those with the
+least id hashes, whatever the table's size. A language may go unlearned only if there are more than MOST_ROWS. Prediction sees the text alone. Null text or text without a letter is `und` with score 0; so is all text if there is nothing to learn
 from. With one language learned, every text with a letter is of it. Ties go to the language first in order. Repeated rows
 and null ids are answered row by row; other columns are ignored; an empty table gives an empty result.
 """
@@ -15,13 +15,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import small_batches, spread
 
-#: Learning rows per language (a bound), feature buckets, code length beyond exhaustive codes, ambiguity.
-QUOTA, BUCKETS, LONG_CODE, AMBIGUOUS = 500, 4096, 48, 0.1
+#: Learning rows per language and of all languages (bounds), feature buckets, code length beyond exhaustive codes, ambiguity.
+QUOTA, MOST_ROWS, BUCKETS, LONG_CODE, AMBIGUOUS = 500, 6000, 4096, 48, 0.1
 RIDGE, SHARPNESS = 0.05, 4.0
 
 
@@ -57,20 +57,30 @@ def codewords(n: int) -> np.ndarray:
     return best[1]
 
 
+def ridge(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(weights, predictions of rows by the others) of regularised least squares, from the smaller of two systems."""
+    n, features_ = x.shape
+    if n <= features_:
+        inverse = np.linalg.inv((x @ x.T + RIDGE * np.eye(n)).astype(np.float64))
+        dual = inverse @ y
+        return x.T @ dual, y - dual / np.diag(inverse)[:, None]
+    inverse = np.linalg.inv((x.T @ x + RIDGE * np.eye(features_)).astype(np.float64))
+    w = inverse @ (x.T @ y)
+    leverage = np.concatenate([np.einsum("ij,ij->i", some @ inverse, some) for some in np.array_split(x, n // 1000 + 1)])
+    return w, y - (y - x @ w) / (1 - leverage)[:, None]
+
+
 def fit(x: np.ndarray, langs: list[str]) -> dict | None:
     """A model of features (n, BUCKETS) and their languages."""
     names = sorted(set(langs))
     if not names:
         return None
-    code = codewords(len(names))
-    y = code[[names.index(lang) for lang in langs]]
-    gram = x @ x.T
-    inverse = np.linalg.inv((gram + RIDGE * np.eye(len(x))).astype(np.float64))
-    dual = inverse @ y
-    left_out = y - dual / np.diag(inverse)[:, None]  # predictions of rows by the others
+    code, at = codewords(len(names)), {name: i for i, name in enumerate(names)}
+    y = code[[at[lang] for lang in langs]]
+    w, left_out = ridge(x, y)
     good = np.clip(((left_out * y) > 0).mean(0), 0.51, 0.999) if y.size else np.zeros(0)
     weights = np.log(good / (1 - good))
-    return {"names": names, "code": code, "w": (x.T @ dual).astype(np.float32), "weights": (weights / max(weights.sum(), 1e-9)).astype(np.float32)}
+    return {"names": names, "code": code, "w": w.astype(np.float32), "weights": (weights / max(weights.sum(), 1e-9)).astype(np.float32)}
 
 
 def decode(margins: np.ndarray, model: dict) -> tuple[str, float, bool]:
@@ -110,7 +120,8 @@ def learn(docs: DataFrame, learning: Column, id_col: str = "doc_id", text_col: s
     small_batches(docs.sparkSession)
     rows = docs.where(learning).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), spread(id_col).alias("spot")).where("lang is not null and text is not null")
     counts = rows.groupBy("lang").count()  # one row per language
-    share = F.least(F.lit(1.0), F.lit(float(QUOTA)) / F.col("count"))
+    quota = F.least(F.lit(float(QUOTA)), F.lit(float(MOST_ROWS)) / F.count("*").over(Window.partitionBy(F.lit(1))))
+    share = F.least(F.lit(1.0), quota / F.col("count"))
     picked = rows.join(F.broadcast(counts.select(F.col("lang").alias("l"), share.alias("share"))), F.col("lang") == F.col("l"))
     picked = picked.where(F.col("spot") < F.col("share") * float(1 << 60)).select("lang", "text")
     sample = picked.mapInArrow(_features, "lang string, x binary").toPandas()

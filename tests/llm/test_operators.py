@@ -10,6 +10,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 from oddsmill.llm import ann, grace_dedup, language_id, mixing, near_dup, packing, quality, secret_scan, token_store, warc  # noqa: E402
@@ -357,6 +358,31 @@ def test_language_on_held_out_rows(spark):
     assert all(0 <= r["score"] <= 1 for r in rows)
 
 
+def test_both_systems_give_the_same_weights_and_left_out_predictions():
+    rng = np.random.default_rng(0)
+    x, y = rng.normal(size=(60, 20)), rng.choice([-1.0, 1.0], (60, 3))
+    w, left_out = language_id.ridge(x, y)  # more rows than features: by features
+    inverse = np.linalg.inv(x @ x.T + language_id.RIDGE * np.eye(60))
+    assert np.allclose(w, x.T @ inverse @ y)
+    for i in range(60):
+        rest = np.arange(60) != i
+        alone = np.linalg.solve(x[rest].T @ x[rest] + language_id.RIDGE * np.eye(20), x[rest].T @ y[rest])
+        assert np.allclose(left_out[i], x[i] @ alone)
+    few, few_out = language_id.ridge(x[:10], y[:10])  # fewer: by rows
+    assert np.allclose(few, np.linalg.solve(x[:10].T @ x[:10] + language_id.RIDGE * np.eye(20), x[:10].T @ y[:10]))
+    alone = np.linalg.solve(x[1:10].T @ x[1:10] + language_id.RIDGE * np.eye(20), x[1:10].T @ y[1:10])
+    assert np.allclose(few_out[0], x[0] @ alone)
+
+
+def test_learning_rows_are_bounded_for_many_languages(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "MOST_ROWS", 300)
+    rows = [(i, f"word{i % 30} of language {chr(97 + i % 30)}", f"l{i % 30:02}") for i in range(6000)]
+    docs, sizes, fit = spark.createDataFrame(rows, "doc_id long, text string, lang string"), [], language_id.fit
+    monkeypatch.setattr(language_id, "fit", lambda x, langs: sizes.append(len(x)) or fit(x, langs))
+    model = language_id.learn(docs, F.lit(True))
+    assert len(model["names"]) == 30 and 200 < sizes[0] < 400
+
+
 def test_language_odd_rows(spark):
     from pyspark.sql import functions as F
 
