@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from .common import cut, shuffles_freed
 
 SPANS = "array<struct<start:int,rank:int,kind:string,end:int>>"
+#: Matches that one list is appended to.
+RUN = 64
 
 
 @dataclass(frozen=True)
@@ -46,11 +48,8 @@ BASE_RULES = (
 RULES = (*BASE_RULES, Rule("pem", 3, r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"))
 
 
-def spans_of(text: Column, rule: Rule) -> Column:
-    """All spans of a rule, by walking what lies between matches and the matches side by side."""
-    p = F.lit(rule.pattern)
-    parts = F.arrays_zip(F.split(text, rule.pattern, -1).alias("gap"), F.regexp_extract_all(text, p, F.lit(0)).alias("hit"), F.regexp_extract_all(text, p, F.lit(rule.group)).alias("value"))
-    none = F.array().cast(SPANS)
+def _walked(parts: Column, at: Column, rule: Rule) -> Column:
+    """Where a walk over parts from a position ends, and the spans of what it passes."""
 
     def step(so_far, part):
         start = so_far["at"] + F.length(part["gap"])
@@ -58,8 +57,25 @@ def spans_of(text: Column, rule: Rule) -> Column:
         one = F.array(F.struct(start.alias("start"), F.lit(rule.rank).alias("rank"), F.lit(rule.kind).alias("kind"), end.alias("end"))).cast(SPANS)
         return F.struct(end.alias("at"), F.when(F.length(part["value"]) >= rule.least, F.concat(so_far["out"], one)).otherwise(so_far["out"]).alias("out"))
 
-    walked = F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda x: x["out"])
-    return F.when(text.rlike(rule.pattern), walked).otherwise(none)
+    return F.aggregate(parts, F.struct(at.alias("at"), F.array().cast(SPANS).alias("out")), step)
+
+
+def spans_of(text: Column, rule: Rule) -> Column:
+    """All spans of a rule, by walking what lies between matches and the matches side by side.
+
+    Appending to a list copies it, so the walk goes in runs of RUN matches: lengths of runs first, their starts by a running
+    sum, and then each run by itself. A million matches in a text cost some hundred million copies of small numbers.
+    """
+    p = F.lit(rule.pattern)
+    parts = F.arrays_zip(F.split(text, rule.pattern, -1).alias("gap"), F.regexp_extract_all(text, p, F.lit(0)).alias("hit"), F.regexp_extract_all(text, p, F.lit(rule.group)).alias("value"))
+    length = lambda run: F.aggregate(run, F.lit(0), lambda n, part: n + F.length(part["gap"]) + F.coalesce(F.length(part["hit"]), F.lit(0)))
+    starts = lambda sizes: F.aggregate(sizes, F.array(F.lit(0)), lambda at, n: F.concat(at, F.array(F.element_at(at, -1) + n)))
+    # an array of one, transformed, gives a value a name: it is computed once
+    cut_up = lambda all_: F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / RUN).cast("int")), lambda i: F.slice(all_, i * RUN + 1, F.lit(RUN)))
+    runs = F.flatten(F.transform(F.array(parts), cut_up))
+    begun = lambda rs: F.zip_with(rs, F.slice(starts(F.transform(rs, length)), F.lit(1), F.size(rs)), lambda run, at: _walked(run, at, rule)["out"])
+    spans = F.flatten(F.flatten(F.transform(F.array(runs), begun)))
+    return F.when(text.rlike(rule.pattern), spans).otherwise(F.array().cast(SPANS))
 
 
 def _ledger(spark: SparkSession, path: str) -> DataFrame | None:

@@ -465,6 +465,18 @@ def test_secrets_odd_rows_and_ledger(spark):
     assert secret_scan.scan(none(spark).drop("path"), scratch_path(spark, "ledger"), path_col="doc_id", text_col="text").count() == 0
 
 
+@pytest.mark.parametrize("n", [1, 63, 64, 65, 129, 20_000])
+def test_secrets_many_in_one_text(spark, n):
+    """Runs of matches join without gap: positions as a plain scan of the text gives them."""
+    text = "é😀 ".join(f"token: v{'x' * (i % 9)} {'0a' * (10 + i % 5)}" for i in range(n)) + " end"
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    got = secret_scan.scan(docs, scratch_path(spark, "ledger"), path_col="doc_id", text_col="text").first()["spans"]
+    want = []
+    for r in secret_scan.BASE_RULES:
+        want += [(m.start(), r.rank, r.kind, m.end()) for m in re.finditer(r.pattern, text) if len(m.group(r.group)) >= r.least]
+    assert [tuple(s) for s in got] == sorted(want)
+
+
 # 7: nearest neighbours
 
 
