@@ -1,4 +1,4 @@
-"""DuckDB SQL for those of the queries op1 to op10 that SQL can express."""
+"""DuckDB SQL for those of the queries op1 to op13 that SQL can express."""
 
 OP1 = r"""
 with d as (
@@ -79,3 +79,89 @@ from d left join x using (doc_id) group by d.doc_id
 """
 )
 ORACLES["op6_secret_scan"] = OP6
+
+# Orders are counted one by one; the operator derives them from joint failures.
+ORACLES["op11_filter_audit"] = r"""
+with d as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as t from documents),
+w as (select *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as words from d),
+l as (select doc_id, bool_or(coalesce(quality = 1, false)) as good, bool_or(coalesce(toxic = 1, false)) as toxic from labels group by doc_id),
+f as (
+  select part, coalesce(good, false) as good, coalesce(toxic, false) as toxic,
+         case when len(words) < 200 then 1 else 0 end
+         + case when 100 * len(list_distinct(words)) < 50 * len(words) then 2 else 0 end
+         + case when 100 * len(regexp_extract_all(t, '[A-Z]')) > 3 * length(t) then 4 else 0 end
+         + case when regexp_matches(t, '[#$%&*|]') then 8 else 0 end
+         + case when w.doc_id > min(w.doc_id) over (partition by t) then 16 else 0 end as mask
+  from w left join l using (doc_id)),
+cells as (select part, mask, good, toxic, count(*) as n from f group by all),
+x as (select unnest(['A', 'B', 'C', 'D', 'E']) as f),
+orders as (
+  select a.f || b.f || c.f || d.f || e.f as filter_order from x a, x b, x c, x d, x e
+  where len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+steps as (
+  select filter_order, k as step, substr(filter_order, k, 1) as letter, 1 << (ascii(substr(filter_order, k, 1)) - 65) as bit,
+         coalesce(list_sum(list_transform(range(1, k), lambda i: 1 << (ascii(substr(filter_order, i, 1)) - 65))), 0)::int as before
+  from orders, (select unnest(range(1, 6))::int as k)),
+r as (
+  select part, filter_order, step, letter,
+         coalesce(sum(n) filter (mask & (before | bit) = 0), 0) as kept,
+         coalesce(sum(n) filter (mask & before = 0 and mask & bit <> 0), 0) as removed,
+         coalesce(sum(n) filter (mask & before <> 0 and mask & bit <> 0), 0) as redundant,
+         coalesce(sum(n) filter (mask = bit), 0) as unique_fails,
+         coalesce(sum(n) filter (mask & before = 0 and mask & bit <> 0 and good), 0) as good_lost,
+         coalesce(sum(n) filter (mask & before = 0 and mask & bit <> 0 and toxic), 0) as toxic_lost
+  from cells, steps group by all)
+select part, filter_order, step, kept::bigint as kept, removed::bigint as removed, redundant::bigint as redundant, unique_fails::bigint as unique_fails,
+       good_lost::bigint as good_lost, toxic_lost::bigint as toxic_lost, (sum(removed) over (partition by part, letter))::bigint as shapley
+from r
+"""
+
+
+def _spread_rounds(n: int) -> str:
+    """The rounds of trust and distrust, one relation each."""
+    one = """
+m{k} as materialized (
+  select kind, host, sum(part) as mass from (
+    select w.kind, w.to_ as host, 0.85::double * m.mass * w.share as part from m{b} m join ways w on w.kind = m.kind and w.from_ = m.host
+    union all
+    select s.kind, s.host, s.seed * (0.15::double + 0.85::double * coalesce(z.loose, 0)) from seeds s
+    left join (select kind, sum(mass) as loose from m{b} m where not exists (select 1 from ways w where w.kind = m.kind and w.from_ = m.host) group by kind) z on z.kind = s.kind)
+  group by kind, host)"""
+    return ",".join(one.format(k=k, b=k - 1) for k in range(1, n + 1))
+
+
+ORACLES["op12_url_filter"] = (
+    r"""
+with p as (
+  select *, translate(coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+         coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') as path from pages),
+f as (
+  select page_id, host, path, html,
+         case when (host = 'www.example.com' or host like '%.www.example.com') and starts_with(path, '/en/') then 'www.example.com/en/'
+              when (host = 'example.com' or host like '%.example.com') and starts_with(path, '/en/') then 'example.com/en/'
+              when (host = 'net' or host like '%.net') and starts_with(path, '/es/') then 'net/es/'
+              when (host = 'net' or host like '%.net') and starts_with(path, '/fr/') then 'net/fr/'
+              when (host = 'com' or host like '%.com') and starts_with(path, '/') then 'com/' end as rule from p),
+r as (select *, case when rule in ('com/', 'www.example.com/en/') then 'allow' when rule is not null then 'block' end as verdict from f),
+hosts as (select host, count(*) as pages, count(*) filter (verdict = 'allow') as allowed, count(*) filter (verdict = 'block') as blocked from r where host <> '' group by host),
+links as (
+  select source, translate(target, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as target from (
+    select host as source, unnest(regexp_extract_all(coalesce(html, ''), '(?i)(?:href|src)\s*=\s*["'']?(?:https?:)?//([^/?#"''\s<>]+)', 1)) as target from r)),
+edges as (select source, target, count(*)::double as n from links where source <> '' and source <> target group by all),
+ways as materialized (
+  select 'trust' as kind, source as from_, target as to_, n / sum(n) over (partition by source) as share from edges
+  union all select 'distrust', target, source, n / sum(n) over (partition by target) from edges),
+seeds as materialized (
+  select 'trust' as kind, host, allowed / (sum(allowed) over ())::double as seed from hosts where allowed > 0
+  union all select 'distrust', host, blocked / (sum(blocked) over ())::double from hosts where blocked > 0),
+m0 as (select kind, host, seed as mass from seeds),"""
+    + _spread_rounds(20)
+    + """,
+scores as (
+  select h.host, coalesce(t.mass, 0) * (select sum(allowed) from hosts) / pages as trust, coalesce(x.mass, 0) * (select sum(blocked) from hosts) / pages as distrust
+  from hosts h left join m20 t on t.kind = 'trust' and t.host = h.host left join m20 x on x.kind = 'distrust' and x.host = h.host)
+select page_id, host, path, rule,
+       coalesce(verdict, case when round_even(distrust, 9) >= 0.5 and round_even(distrust, 9) > round_even(trust, 9) then 'block' else 'allow' end) as verdict
+from r left join scores using (host)
+"""
+)

@@ -1,4 +1,4 @@
-"""The queries op1 to op10 over the training-data tables, and their SQL where it can be said in SQL.
+"""The queries op1 to op13 over the training-data tables, and their SQL where it can be said in SQL.
 
 Each takes (spark, sf_dir), runs its operator over the whole table and derives digest columns from its output.
 """
@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, grace_dedup, language_id, mixing, near_dup, packing, quality, secret_scan, token_store, warc
+from . import ann, filter_audit, grace_dedup, language_id, mixing, near_dup, packing, quality, secret_scan, spelling, token_store, url_filter, warc
 from .common import documents, scratch_path
 
 
@@ -80,6 +80,21 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("token_bytes").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    marks = labels.select("doc_id", (F.col("quality") == 1).alias("good"), (F.col("toxic") == 1).alias("toxic"))
+    rows = filter_audit.judged(documents(spark, sf_dir), marks, ["good", "toxic"])
+    return filter_audit.audit(filter_audit.joint_failures(rows, "ABCDE", ["good", "toxic"]), "ABCDE", ["good", "toxic"])
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.word_counts(documents(spark, sf_dir)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_token_store": op2_token_store,
@@ -91,4 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_warc": op9_warc,
     "op10_packing": op10_packing,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_url_filter": op12_url_filter,
+    "op13_spelling": op13_spelling,
 }
