@@ -5,8 +5,9 @@ predicts its sign (regularised least squares, solved for all bits at once, by ro
 codeword has the least weighted logistic loss against the bits' margins, where a bit weighs by its leave-one-out accuracy;
 the score is the softmax of the losses, and a text is ambiguous if the two best are closer than AMBIGUOUS.
 
-Learning uses at most about QUOTA rows per language, and MOST_ROWS of all languages together in equal parts: those with the
-least id hashes, whatever the table's size. A language may go unlearned only if there are more than MOST_ROWS. Prediction sees the text alone. Null text or text without a letter is `und` with score 0; so is all text if there is nothing to learn
+Learning uses at most QUOTA rows per language, and MOST_ROWS of all languages together in equal parts: those with the least hashes
+of id and text, whatever the table's size; rows of the same id and text count once. Beyond MOST_ROWS languages, the commonest are
+learned, a row each; no other language goes unlearned. Prediction sees the text alone. Null text or text without a letter is `und` with score 0; so is all text if there is nothing to learn
 from. With one language learned, every text with a letter is of it. Ties go to the language first in order. Repeated rows
 and null ids are answered row by row; other columns are ignored; an empty table gives an empty result.
 """
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, spread
+from .common import small_batches
 
 #: Learning rows per language and of all languages (bounds), feature buckets, code length beyond exhaustive codes, ambiguity.
 QUOTA, MOST_ROWS, BUCKETS, LONG_CODE, AMBIGUOUS = 500, 6000, 4096, 48, 0.1
@@ -118,12 +119,20 @@ def _features(batches):
 def learn(docs: DataFrame, learning: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict | None:
     """A model from rows for which learning holds and lang and text are given; texts stay on the executors."""
     small_batches(docs.sparkSession)
-    rows = docs.where(learning).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), spread(id_col).alias("spot")).where("lang is not null and text is not null")
-    counts = rows.groupBy("lang").count()  # one row per language
-    quota = F.least(F.lit(float(QUOTA)), F.lit(float(MOST_ROWS)) / F.count("*").over(Window.partitionBy(F.lit(1))))
-    share = F.least(F.lit(1.0), quota / F.col("count"))
-    picked = rows.join(F.broadcast(counts.select(F.col("lang").alias("l"), share.alias("share"))), F.col("lang") == F.col("l"))
-    picked = picked.where(F.col("spot") < F.col("share") * float(1 << 60)).select("lang", "text")
+    spot = F.shiftrightunsigned(F.xxhash64(id_col, text_col), 4)
+    rows = docs.where(learning).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), spot.alias("spot")).where("lang is not null and text is not null")
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min("spot").alias("least"))
+    langs = counts.orderBy(F.desc("n"), "lang").limit(MOST_ROWS).collect()
+    if not langs:
+        return None
+    quota = min(QUOTA, MOST_ROWS // len(langs))
+    # few rows beyond the quota pass, and the least always does, so that repeated rows can't leave a language without any
+    bounds = [(r["lang"], max(r["least"], int(min(1.0, 4 * quota / r["n"]) * (1 << 60)))) for r in langs]
+    bounds = docs.sparkSession.createDataFrame(bounds, "l string, bound long")
+    near = rows.join(F.broadcast(bounds), F.col("lang") == F.col("l")).where("spot <= bound")  # MOST_ROWS rows at most are broadcast
+    near = near.groupBy("lang", "spot").agg(F.first("text").alias("text"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("spot"))
+    picked = near.withColumn("place", place).where(F.col("place") <= quota).select("lang", "text")
     sample = picked.mapInArrow(_features, "lang string, x binary").toPandas()
     if not len(sample):
         return None
