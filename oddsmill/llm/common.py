@@ -43,15 +43,15 @@ _CHUNK = re.compile(r"\s*\S+|\s+$")
 _PIECE = re.compile(rf"\s*[{_LATIN}]+(?=[{_STOP}]|$)|(?<=[{_LATIN}])[{_STOP}]\S*|\s*\S+|\s+$")
 _STOP_AFTER_WORD = f"(^|[ \n])([{_LATIN}]+)([{_STOP}])"
 # White space beyond single spaces and line ends, which the plain way of cutting doesn't serve; separators that
-# Python takes for white space and the tokenisers don't; the start of special tokens' names; and what marks cuts here.
+# Python takes for white space and the tokenisers don't; and what marks cuts here.
 _UNEVEN = ("  ", "\n\n", " \n", "\n ", "\t", "\r", "\x0b", "\x0c", "\0")
 _RARE = ("\x85", "\xa0", "\u1680", *map(chr, range(0x2000, 0x200B)), "\u2028", "\u2029", "\u202f", "\u205f", "\u3000")
-_WHOLE = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
+_WHOLE = ("\x1c", "\x1d", "\x1e", "\x1f")
 
 
-def _kind(text: str) -> str:
+def _kind(text: str, whole: tuple[str, ...] = _WHOLE) -> str:
     """How a text is cut: not at all, by pattern, or before each space and line end."""
-    if any(x in text for x in _WHOLE):
+    if any(x in text for x in whole):
         return "whole"
     if any(x in text for x in _UNEVEN) or text[:1].isspace() or text[-1:].isspace() or not text.isascii() and any(x in text for x in _RARE):
         return "uneven"
@@ -83,8 +83,8 @@ class Memory:
 class ChunkedTokenizer:
     """The tokenizers library with a bounded memory of pieces; ids come as little-endian 32-bit bytes.
 
-    Each distinct piece of a batch is looked up once, and ids are laid out by index. Special tokens' names in a text
-    count as ordinary text; none are added.
+    Each distinct piece of a batch is looked up once, and ids are laid out by index. Ids are the library's for the file as it is: a
+    text that holds the name of one of the file's added tokens is encoded whole, so that the library finds the token; none are added.
     """
 
     def __init__(self, file: str, kept: int = PIECES_KEPT):
@@ -94,7 +94,7 @@ class ChunkedTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
-        self.tokenizer.encode_special_tokens = True
+        self.whole = (*_WHOLE, *(t.content for t in self.tokenizer.get_added_tokens_decoder().values()))
         self.memory = Memory(kept)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
@@ -119,7 +119,7 @@ class ChunkedTokenizer:
     def _some(self, texts: list[str]) -> list[bytes]:
         out, even, uneven, whole = [b""] * len(texts), [], [], []
         for i, t in enumerate(texts):
-            kind = _kind(t)
+            kind = _kind(t, self.whole)
             (whole if kind == "whole" else uneven if kind == "uneven" else even).append(i)
         if whole:
             for i, ids in zip(whole, self._encode([texts[i] for i in whole]), strict=True):

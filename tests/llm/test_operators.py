@@ -33,6 +33,7 @@ ODD = [
     (7, "word", "en", "a", 0),
     (None, "no id at all", "en", "c", 0),
     (8, "été çà 東京 \x1c 42", "fr", "c", 0),
+    (9, "before <|endoftext|> and after", "en", "c", 0),
 ]
 SHAPE = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -138,7 +139,6 @@ def encoded(file, text):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(file)
-    t.encode_special_tokens = True
     return t.encode(text or "", add_special_tokens=False).ids + [2]
 
 
@@ -154,6 +154,15 @@ def test_chunks_give_the_ids_of_whole_texts(chunked, texts):
     assert [np.frombuffer(b, "<u4").tolist() for b in chunked(texts)] == whole
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|END|>", "<|", "|>", "endoftext", "a", "é", " ", "\n", ".", "'s"]), max_size=9).map("".join), max_size=4))
+def test_names_of_special_tokens_get_the_ids_of_the_library(chunked, request, texts):
+    from tokenizers import Tokenizer
+
+    as_loaded = Tokenizer.from_file(request.node.callspec.params["chunked"])
+    assert [np.frombuffer(b, "<u4").tolist() for b in chunked(texts)] == [as_loaded.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 @pytest.mark.parametrize("encoding", ["dictionary", "delta"])
 def test_token_files_round_trip(spark, encoding):
     path = scratch_path(spark, "t")
@@ -383,6 +392,22 @@ def test_learning_rows_are_bounded_for_many_languages(spark, monkeypatch):
     assert len(model["names"]) == 30 and 200 < sizes[0] < 400
 
 
+def test_learning_rows_are_bounded_for_repeated_and_null_ids(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "MOST_ROWS", 120)
+    monkeypatch.setattr(language_id, "QUOTA", 50)
+    seen, fit = [], language_id.fit
+    monkeypatch.setattr(language_id, "fit", lambda x, langs: seen.append(dict(__import__("collections").Counter(langs))) or fit(x, langs))
+    learn = lambda rows: language_id.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    assert learn([(7, "the same words", "aa")] * 20_000 + [(i, f"other words {i}", "bb") for i in range(5)])["names"] == ["aa", "bb"]
+    assert seen.pop() == {"aa": 1, "bb": 5}
+    learn([(7, f"one id, text {i}", "aa") for i in range(2000)] + [(None, f"no id, text {i}", "bb") for i in range(2000)])
+    assert all(40 <= n <= 50 for n in seen.pop().values())
+    learn([(None, "nothing else", "aa")] * 3000)
+    assert seen.pop() == {"aa": 1}
+    learn([(i, f"text {i}", f"l{i % 10_000}") for i in range(10_000)] + [(i, f"more {i}", "l77") for i in range(10)])
+    assert sum((got := seen.pop()).values()) == 120 and max(got.values()) == 1 and "l77" in got
+
+
 def test_language_odd_rows(spark):
     from pyspark.sql import functions as F
 
