@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..functions.columns import rounded as r
 from ..functions.columns import table
-from ..operators import arbitrage
+from ..functions.scratch import cut
+from ..operators import arbitrage, matching
 from .registry import query
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in text.STOP_WORDS) + "]"
@@ -81,17 +82,43 @@ JUDGED = PAIRS + "select l_id, r_id, round_even(sim, 6) as similarity, array_to_
 def event_match(spark, sf):
     """The most similar document of each item among those that pass entity validation at their own similarity."""
     b, d = _sides(spark, sf)
-    return arbitrage.best_matches(arbitrage.valid_pairs(b, d, 0.1)).select("l_id", "r_id", r(F.col("similarity")).alias("similarity"))
+    return matching.best_valid_matches(b, d, 0.1).select("l_id", "r_id", r(F.col("similarity")).alias("similarity"))
 
 
 @query("entity_match", JUDGED)
 def entity_match(spark, sf):
     """Entity validation of all candidate pairs at their own similarity."""
     b, d = _sides(spark, sf)
-    e = arbitrage.with_entities(arbitrage.similar_pairs(b, d, 0.1), b, d)
+    e = matching.with_entities(cut(matching.similar_pairs(b, d, 0.1), "similar-pairs"), b, d)
     return e.select("l_id", "r_id", r(F.col("similarity")).alias("similarity"), F.array_join("l_entities", ",").alias("entities"), F.size(F.array_intersect("l_entities", "r_entities")).cast("long").alias("shared"), "valid")
 
 
+_MATCHED = f"""with l as (select item_id as id, list_distinct({_tokens('text')}) as w, {_found('text')} as e, length(text) % 97 / 97.0 as price from benchmark),
+d as (select 'b' as venue, doc_id as id, list_distinct({_tokens('text')}) as w, {_found('text')} as e, n_chars % 89 / 89.0 as price from documents
+  union all select 'c', conv_id * 1000 + turn, list_distinct({_tokens('text')}), {_found('text')}, length(text) % 83 / 83.0 from conversations),
+p as (select l.id as l_id, venue, d.id as r_id, d.price, l.e as x, d.e as y, len(list_intersect(l.w, d.w)) as i, len(l.w) + len(d.w) as s from l, d where len(l.w) > 0 and len(d.w) > 0),
+q as (select *, i / (s - i) as sim, len(list_intersect(x, y)) as shared from p where i / (s - i) > 0.1),
+v as (select * from q where not ({_conflict_sql('x', 'y')}) and not (sim < 0.5 and shared < 2)),
+b as (select * from v qualify row_number() over (partition by l_id, venue order by sim desc, r_id) = 1),
+m as (select l_id, max(sim) as similarity, max(r_id) filter (venue = 'b') as b_id, max(r_id) filter (venue = 'c') as c_id, max(price) filter (venue = 'b') as b_price, max(price) filter (venue = 'c') as c_price from b group by l_id),
+g as (select m.*, l.price, round_even(greatest(l.price, b_price, c_price) - least(l.price, b_price, c_price), 6) as gap from m join l on l.id = l_id)
+select l_id as item_id, b_id, c_id, round_even(similarity, 6) as similarity, gap, case when price = least(price, b_price, c_price) then 'a' when b_price = least(price, b_price, c_price) then 'b' else 'c' end as low_platform,
+  case when price = greatest(price, b_price, c_price) then 'a' when b_price = greatest(price, b_price, c_price) then 'b' else 'c' end as high_platform
+from g where gap >= 0.03 order by gap desc, item_id"""
+
+
+@query("venue_assembly", _MATCHED)
+def venue_assembly(spark, sf):
+    """Events that several venues list: the best valid match of each item at two venues, and price gaps among all three, greatest first."""
+    price = lambda c, n: (c % n / float(n)).alias("price")
+    items = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), "text", price(F.length("text"), 97))
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text", price(F.col("n_chars"), 89))
+    talks = table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text", price(F.length("text"), 83))
+    found = matching.assembled(items, {"b": docs, "c": talks}, "a", 0.1)
+    out = arbitrage.gaps(found, 0.03).select(F.col("id").alias("item_id"), F.try_element_at("matches", F.lit("b")).alias("b_id"), F.try_element_at("matches", F.lit("c")).alias("c_id"), r(F.col("similarity")).alias("similarity"), "gap", "low_platform", "high_platform")
+    return out.orderBy(F.desc("gap"), "item_id")
+
+
 # The names under which the same results were asked for when the two above ranked without validation and compared neighbours.
 query("event_match_valid", BEST)(event_match)
 query("entity_match_pairs", JUDGED)(entity_match)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from oddsmill.functions import text
-from oddsmill.operators import alerts, arbitrage, orderbook, scoring, series, traders
+from oddsmill.operators import alerts, arbitrage, matching, orderbook, scoring, series, traders
 from oddsmill.sources.market_tables import concentration_of
 
 
@@ -113,11 +113,56 @@ def test_prefix_filter_loses_no_pair(spark):
     random.seed(3)
     docs = [(i, " ".join(random.choice(["alpha", "beta", "gamma", "delta", "omega", "sigma", "kappa", "theta"]) for _ in range(random.randint(0, 9)))) for i in range(40)]
     df = spark.createDataFrame(docs, "id long, text string")
-    got = {(r["l_id"], r["r_id"]) for r in arbitrage.similar_pairs(df, df, 0.3).collect()}
+    got = {(r["l_id"], r["r_id"]) for r in matching.similar_pairs(df, df, 0.3).collect()}
     sets = {i: set(t.split()) for i, t in docs}
     assert got == {(a, b) for a in sets for b in sets if sets[a] and sets[b] and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) > 0.3}
 
 
+@pytest.mark.parametrize("floor", [0.1, 0.34, 0.5, 0.8])
+def test_prefix_filter_is_exact_and_leaves_few_candidates(spark, floor):
+    rng = random.Random(floor)
+    words = [f"word{i:03}" for i in range(400)]
+    common = words[:5]
+
+    def some(i):
+        picked = {*rng.sample(common, 4), *(rng.choice(words) for _ in range(rng.choice([2, 5, 20, 60])))}
+        return i, " ".join(sorted(picked))
+
+    left, right = [some(i) for i in range(60)], [some(i) for i in range(150)]
+    right += [(200 + i, " ".join(t.split()[: rng.choice([3, 8, 50])] + ["word399"])) for i, t in left]
+    a, b = spark.createDataFrame(left, "id long, text string"), spark.createDataFrame(right, "id long, text string")
+    sets = [({i: set(t.split()) for i, t in side}) for side in (left, right)]
+    want = {(i, j): len(x & y) / len(x | y) for i, x in sets[0].items() for j, y in sets[1].items() if len(x & y) / len(x | y) > floor}
+    got = {(r["l_id"], r["r_id"]): r["similarity"] for r in matching.similar_pairs(a, b, floor).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    # every pair shares one of the words that nearly all texts have
+    n = matching.candidates(*matching.ordered_sets(matching.token_sets(a), matching.token_sets(b)), floor).count()
+    assert len(want) <= n < {0.1: 1.0, 0.34: 0.5, 0.5: 0.2, 0.8: 0.05}[floor] * len(left) * len(right)
+
+
+def test_best_valid_match_by_steps(spark):
+    rng = random.Random(8)
+    words = ["bitcoin", "ethereum", "trump", "biden", "2025", "vote", "alpha", "beta", "gamma", "delta", "omega", "sigma"]
+    side = lambda n: spark.createDataFrame([(i, " ".join(rng.sample(words, rng.randint(1, 8)))) for i in range(n)] + [(n, None), (n + 1, "")], "id long, text string")
+    a, b = side(40), side(80)
+    plain = matching.best_matches(matching.valid_pairs(a, b, 0.1)).collect()
+    assert sorted(map(tuple, matching.best_valid_matches(a, b, 0.1).collect())) == sorted(map(tuple, plain)) and len(plain) > 20
+
+
+def test_venues_are_assembled(spark):
+    shape = "id long, text string, price double"
+    left = spark.createDataFrame([(1, "bitcoin price 2026 rises", 0.4), (2, "solana price 2026 falls", 0.5), (3, "nothing like it", 0.1)], shape)
+    one_ = spark.createDataFrame([(10, "bitcoin price 2026 rises quickly", 0.5), (11, "ethereum price 2026 rises", 0.9), (9, "bitcoin price 2026 rises slowly", 0.6)], shape)
+    two = spark.createDataFrame([(20, "bitcoin price 2026 rises", 0.45), (21, "solana price 2026 falls", 0.52)], shape)
+    found = matching.assembled(left, {"one": one_, "two": two}, "home")
+    rows = {r["id"]: r for r in found.collect()}
+    assert set(rows) == {1, 2}
+    assert rows[1]["matches"] == {"one": 9, "two": 20} and rows[1]["similarity"] == 1.0 and rows[1]["prices"] == {"home": 0.4, "one": 0.6, "two": 0.45}
+    assert rows[2]["matches"] == {"two": 21} and rows[2]["prices"] == {"home": 0.5, "two": 0.52}
+    gap = arbitrage.gaps(found, 0.03).collect()
+    assert [(g["id"], g["gap"], g["low_platform"], g["high_platform"]) for g in gap] == [(1, 0.2, "home", "one")]
+
+
 def test_reviews(spark):
     pair = lambda days, pct=2.5: scoring.review_pair(lit(pct), lit(50_000.0), lit(days), lit(100_000.0), lit(0.975))[0]
     assert one(spark, a=pair(100), b=pair(-3))["a"] == 0.2 and one(spark, b=pair(-3))["b"] == 0.3
@@ -241,10 +286,10 @@ def test_a_vetoed_match_hides_no_valid_one(spark):
         [(10, "will ethereum reach 2026 high price"), (11, "bitcoin price 2026 rises"), (12, "biden wins the race"), (13, "gold medal count")],
         "id long, text string",
     )
-    pairs = arbitrage.similar_pairs(left, right, 0.1)
-    assert {(r["l_id"], r["r_id"]) for r in arbitrage.best_matches(pairs).collect()} == {(1, 10), (2, 12), (3, 13)}
-    assert [(r["l_id"], r["r_id"]) for r in arbitrage.best_matches(arbitrage.valid_pairs(left, right, 0.1)).collect()] == [(1, 11)]
-    e = arbitrage.with_entities(pairs, left, right)
+    pairs = matching.similar_pairs(left, right, 0.1)
+    assert {(r["l_id"], r["r_id"]) for r in matching.best_matches(pairs).collect()} == {(1, 10), (2, 12), (3, 13)}
+    assert [(r["l_id"], r["r_id"]) for r in matching.best_matches(matching.valid_pairs(left, right, 0.1)).collect()] == [(1, 11)]
+    e = matching.with_entities(pairs, left, right)
     assert {(r["l_id"], r["r_id"]): r["valid"] for r in e.collect()} == {(r["l_id"], r["r_id"]): (r["l_id"], r["r_id"]) == (1, 11) for r in pairs.collect()}
 
 
