@@ -101,12 +101,16 @@ def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def parsed_books(raw: DataFrame) -> DataFrame:
-    """Raw books (market, bids, asks: JSON lists of [price, size], in any order) to levels (market, side, level, price, size).
+    """Raw books (market, bids, asks, and token_id and timestamp if there) to levels (market, side, level, price, size, ...).
 
-    Level 0 is the best: the highest bid, the lowest ask. Entries without two numbers go.
+    bids and asks are JSON arrays in any order, of objects with price and size as the source sends them, or of pairs [price, size];
+    numbers may be text. Level 0 is the best: the highest bid, the lowest ask. Entries without two numbers go.
     """
-    pairs = lambda x: F.filter(F.transform(F.from_json(x, "array<array<string>>"), lambda e: F.struct(F.try_element_at(e, F.lit(1)).try_cast("double").alias("price"), F.try_element_at(e, F.lit(2)).try_cast("double").alias("size"))), lambda e: e["price"].isNotNull() & e["size"].isNotNull())
-    side = lambda name, best_first: raw.select("market", F.lit(name).alias("side"), F.posexplode(F.sort_array(pairs(F.col(f"{name}s")), asc=best_first)).alias("level", "e")).select("market", "side", F.col("level").cast("long").alias("level"), "e.price", "e.size")
+    kept = [c for c in ("token_id", "timestamp") if c in raw.columns]
+    number = lambda s, path: F.get_json_object(s, path).try_cast("double")
+    level = lambda s: F.struct(F.coalesce(number(s, "$.price"), number(s, "$[0]")).alias("price"), F.coalesce(number(s, "$.size"), number(s, "$[1]")).alias("size"))
+    levels = lambda x: F.filter(F.transform(F.from_json(x, "array<string>"), level), lambda e: e["price"].isNotNull() & e["size"].isNotNull())
+    side = lambda name, best_first: raw.select("market", *kept, F.lit(name).alias("side"), F.posexplode(F.sort_array(levels(F.col(f"{name}s")), asc=best_first)).alias("level", "e")).select("market", "side", F.col("level").cast("long").alias("level"), "e.price", "e.size", *kept)
     return side("bid", False).unionByName(side("ask", True))
 
 

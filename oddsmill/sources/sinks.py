@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scratch import cut, drop_cut
+from .keyed_table import KeyedTable
 
 
 def upserted(current: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -49,10 +49,16 @@ def write_report(header: dict[str, str], rows: DataFrame, name: str, path: str)
     spark.createDataFrame([(json.dumps(header | {"count": count}),)], "value string").coalesce(1).write.text(f"{path}/header")
 
 
+# Sections of a monitor report that count as opportunities, that are reviewed, and that have totals of their own.
+TOTALLED, REVIEWED = ("pair_cost", "cross_market", "market_making"), ("pair_cost", "cross_market")
+OWN_TOTALS = {"whale": "active_whales", "news": "news_signals", "correlation": "correlation_signals", "market_making": "market_making_opportunities"}
+
+
 def write_monitor_report(header: dict[str, str], sections: dict[str, DataFrame], path: str) -> None:
     """One report of several scans: each section's rows as JSON lines in path/section, and in path/header their counts and totals.
 
-    A section's rows that have a column `approved` are counted by it too.
+    A section's rows that have a column `approved` are counted by it too. The totals: opportunities are the rows of the sections in
+    TOTALLED, approved ones those in REVIEWED; each other section has a total of its own.
     """
     spark = next(iter(sections.values())).sparkSession
     summary: dict = {}
@@ -61,7 +67,9 @@ def write_monitor_report(header: dict[str, str], sections: dict[str, DataFrame],
         lines = spark.read.schema("approved boolean").json(f"{path}/{name}")
         n = lines.agg(F.count("*").alias("count"), F.count_if("approved").alias("approved")).first()
         summary[name] = {"count": n["count"], "approved_count": n["approved"]}
-    totals = {"total": sum(x["count"] for x in summary.values()), "approved_total": sum(x["approved_count"] for x in summary.values())}
+    count = lambda name, what="count": summary.get(name, {}).get(what, 0)
+    totals = {"total_opportunities": sum(count(s) for s in TOTALLED), "approved_opportunities": sum(count(s, "approved_count") for s in REVIEWED)}
+    totals |= {total: count(s) for s, total in OWN_TOTALS.items()}
     spark.createDataFrame([(json.dumps(header | summary | {"summary": totals}),)], "value string").coalesce(1).write.text(f"{path}/header")
 
 
@@ -70,46 +78,28 @@ def append_history(rows: DataFrame, watched: DataFrame, path: str, key: str = "w
     rows.join(watched.select(key).distinct(), key, "left_semi").write.mode("append").parquet(path)
 
 
-#: Folders that a keyed table's rows are dealt to.
-BUCKETS = 64
-
-
 def read_state(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A keyed table's rows; none if it was never written."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(f"{schema}, bucket int").parquet(path).drop("bucket")
+    """A keyed table's rows; none if it was never written or can't be read."""
+    return KeyedTable(spark, path).read(schema)
 
 
-def _newest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """One row for each key: the greatest by order, nulls least."""
-    by = F.struct(*[x for o in order for x in (F.col(o).isNotNull(), F.col(o))])
-    return rows.groupBy(*[F.col(k).alias(f"key {k}") for k in keys]).agg(F.max_by(F.struct("*"), by).alias("row")).select("row.*")
+def write_state(rows: DataFrame, path: str, keys: list[str], order: list[str] | None = None, batch: int | None = None, writer: str = "") -> bool:
+    """Upserts rows into the keyed table at path, see KeyedTable: the last write wins, or the greatest by order."""
+    return KeyedTable(rows.sparkSession, path).upsert(rows, keys, order, batch, writer)
 
 
-def write_state(rows: DataFrame, path: str, keys: list[str], order: list[str] | None = None, schema: str | None = None) -> None:
-    """Puts rows in place of those with equal keys in a keyed table; of equal keys the greatest by order stays (all columns, if none).
-
-    Only the folders that rows fall into are read and replaced; each is replaced by a finished one, so a writer that is lost
-    leaves the old rows or the new ones, and running it again gives the same table.
-    """
-    spark = rows.sparkSession
-    bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
-    new = cut(rows.withColumn("bucket", bucket), "state")
-    touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # at most BUCKETS
-    shape = schema or ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    current = read_state(spark, path, shape).withColumn("bucket", bucket).where(F.col("bucket").isin(touched))
-    if touched:
-        kept = _newest(current.unionByName(new, allowMissingColumns=True), keys, order or [f.name for f in rows.schema if f.name not in keys])
-        kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
-    drop_cut(new)
+def write_children(rows: DataFrame, path: str, parent: list[str], batch: int | None = None, writer: str = "") -> bool:
+    """Replaces all child rows of the parents in rows in the keyed table at path."""
+    return KeyedTable(rows.sparkSession, path).replace_children(rows, parent, batch, writer)
 
 
-def upsert_batch(path: str, keys: list[str], order: list[str] | None = None):
-    """A foreachBatch function that upserts each micro-batch into the keyed table at path."""
+def upsert_batch(path: str, keys: list[str], order: list[str] | None = None, writer: str = "stream", children: bool = False):
+    """A foreachBatch function that puts each micro-batch into the keyed table at path, once: by key, or as a parent's children."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        write_state(batch, path, keys, order)
+        if children:
+            write_children(batch, path, keys, batch_id, writer)
+        else:
+            write_state(batch, path, keys, order, batch_id, writer)
 
     return write

@@ -126,4 +126,4 @@ def idle_gaps(reports: DataFrame, hours: int = LIMITS.idle_hours, late: str = "1
 def upsert_stream(rows: DataFrame, path: str, keys: list[str], checkpoint: str, order: list[str] | None = None, every: str | None = None):
     """Starts a query that keeps the keyed table at path up to date: with all data there is, or a micro-batch `every` so often."""
     trigger = {"processingTime": every} if every else {"availableNow": True}
-    return rows.writeStream.foreachBatch(upsert_batch(path, keys, order)).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+    return rows.writeStream.foreachBatch(upsert_batch(path, keys, order, writer=checkpoint)).option("checkpointLocation", checkpoint).trigger(**trigger).start()

@@ -49,11 +49,16 @@ def test_reports_count_and_keep_all_rows(spark, tmp_path):
 
 
 def test_monitor_report(spark, tmp_path):
-    rows = spark.createDataFrame([(1, True), (2, False), (3, None)], "id int, approved boolean")
+    rows = spark.createDataFrame([(1, True), (2, False), (3, True)], "id int, approved boolean")
     path = str(tmp_path / "report")
-    sinks.write_monitor_report({"at": "now"}, {"pair_cost": rows, "whale": rows.where("id > 5"), "news": rows.select("id")}, path)
+    one = rows.select("id")
+    sinks.write_monitor_report({"at": "now"}, {"pair_cost": rows, "cross_market": rows.where("id < 3"), "whale": rows, "news": one, "market_making": rows}, path)
     head = json.loads(spark.read.text(f"{path}/header").first()["value"])
-    assert head == {"at": "now", "pair_cost": {"count": 3, "approved_count": 1}, "whale": {"count": 0, "approved_count": 0}, "news": {"count": 3, "approved_count": 0}, "summary": {"total": 6, "approved_total": 1}}
+    assert head["pair_cost"] == {"count": 3, "approved_count": 2} and head["news"] == {"count": 3, "approved_count": 0} and head["at"] == "now"
+    # whales and news are no opportunities, and market making isn't reviewed
+    assert head["summary"] == {
+        "total_opportunities": 8, "approved_opportunities": 3, "active_whales": 3, "news_signals": 3, "correlation_signals": 0, "market_making_opportunities": 3,
+    }
 
 
 def test_history_grows_by_watched_keys(spark, tmp_path):
@@ -70,20 +75,105 @@ def test_state_keeps_the_newest_and_leaves_other_folders(spark, tmp_path):
     put = lambda rows: sinks.write_state(spark.createDataFrame(rows, shape), path, ["wallet"], ["at"])
     put([(f"w{i}", i, 10) for i in range(200)])
     before = {f: f.stat().st_mtime_ns for f in (tmp_path / "state").rglob("part-*")}
-    put([("w7", 70, 5), ("w8", 80, 11), ("w8", 81, 12), ("w8", 82, None), ("x", 1, None)])
+    put([("w7", 70, 5), ("w8", 80, 11), ("w8", 81, 12), ("w8", 82, None), ("x", 1, None), ("w9", 90, 10)])
     got = {r["wallet"]: r["v"] for r in sinks.read_state(spark, path, shape).collect()}
-    assert got == {f"w{i}": i for i in range(200)} | {"w8": 81, "x": 1}
-    assert sum(f.exists() and f.stat().st_mtime_ns == t for f, t in before.items()) >= len(before) - 3
+    assert got == {f"w{i}": i for i in range(200)} | {"w8": 81, "x": 1, "w9": 90}
+    assert all(f.exists() and f.stat().st_mtime_ns == t for f, t in before.items())
     put([])
     assert sinks.read_state(spark, path, shape).count() == 201
 
 
+def state_of(spark, path, shape="wallet string, v int"):
+    rows = sinks.read_state(spark, path, shape).collect()
+    assert len({r[0] for r in rows}) == len(rows)
+    return {r["wallet"]: r["v"] for r in rows}
+
+
+def test_the_last_write_wins(spark, tmp_path):
+    path, shape = str(tmp_path / "state"), "wallet string, v int"
+    put = lambda rows, **how: sinks.write_state(spark.createDataFrame(rows, shape), path, ["wallet"], **how)
+    put([("a", 5), ("b", 5), (None, 1)])
+    put([("a", 3), (None, None)])
+    assert state_of(spark, path) == {"a": 3, "b": 5, None: None}
+    assert put([("a", 1)], batch=4, writer="s") and not put([("a", 9)], batch=4, writer="s") and not put([("a", 9)], batch=3, writer="s")
+    assert put([("b", 2)], batch=0, writer="t") and put([], batch=5, writer="s") and not put([("a", 8)], batch=5, writer="s")
+    assert state_of(spark, path) == {"a": 1, "b": 2, None: None}
+
+
+def test_a_lost_writer_leaves_the_table_as_it_was(spark, tmp_path, monkeypatch):
+    path, shape = str(tmp_path / "state"), "wallet string, v int"
+    first, second = [(f"w{i}", i) for i in range(300)], [(f"w{i}", -i) for i in range(0, 600, 2)]
+    write = lambda rows: sinks.write_state(spark.createDataFrame(rows, shape), path, ["wallet"], batch=len(rows))
+    write(first[:200])
+    write(first)
+    for step in ("_publish", "_rows"):
+        with monkeypatch.context() as m:
+            m.setattr(sinks.KeyedTable, step, lambda *a, **k: 1 / 0)
+            with pytest.raises(ZeroDivisionError):
+                sinks.write_state(spark.createDataFrame(second, shape), path, ["wallet"], batch=1000)
+        assert state_of(spark, path) == dict(first)
+    for _ in range(6):
+        sinks.write_state(spark.createDataFrame(second, shape), path, ["wallet"], batch=1000)
+        sinks.write_state(spark.createDataFrame(second[:1], shape), path, ["wallet"])
+    assert state_of(spark, path) == dict(first) | dict(second)
+    # old versions are gone
+    assert len(list((tmp_path / "state" / "manifests").glob("0*"))) == 3
+
+
+def test_two_writers_of_one_version(spark, tmp_path, monkeypatch):
+    from oddsmill.sources.keyed_table import LostRace
+
+    path, shape = str(tmp_path / "state"), "wallet string, v int"
+    sinks.write_state(spark.createDataFrame([("a", 1)], shape), path, ["wallet"])
+    table = sinks.KeyedTable(spark, path)
+    number, seen = table.latest()
+    monkeypatch.setattr(sinks.KeyedTable, "latest", lambda self: (number, seen))
+    sinks.write_state(spark.createDataFrame([("a", 2)], shape), path, ["wallet"])
+    with pytest.raises(LostRace):
+        sinks.write_state(spark.createDataFrame([("a", 3)], shape), path, ["wallet"])
+    monkeypatch.undo()
+    assert state_of(spark, path) == {"a": 2}
+
+
+def test_a_corrupt_manifest_counts_as_not_written(spark, tmp_path):
+    path, shape = tmp_path / "state", "wallet string, v int"
+    put = lambda rows: sinks.write_state(spark.createDataFrame(rows, shape), str(path), ["wallet"])
+    put([("a", 1)])
+    put([("a", 2)])
+    (path / "manifests" / ".000000000002.crc").unlink(missing_ok=True)
+    (path / "manifests" / "000000000002").write_text("{half")
+    assert state_of(spark, str(path)) == {"a": 1}
+    put([("b", 3)])
+    assert state_of(spark, str(path)) == {"a": 1, "b": 3}
+    lone = tmp_path / "lone" / "manifests"
+    lone.mkdir(parents=True)
+    (lone / "000000000001").write_text("")
+    assert state_of(spark, str(tmp_path / "lone")) == {}
+
+
+def test_children_are_replaced_in_the_table(spark, tmp_path):
+    path, shape = str(tmp_path / "kids"), "wallet string, market string, size int"
+    put = lambda rows, **how: sinks.write_children(spark.createDataFrame(rows, shape), path, ["wallet"], **how)
+    put([(f"w{i}", f"m{j}", i * j) for i in range(100) for j in range(3)])
+    put([("w5", "m9", 1), ("w6", "m0", 2), ("w6", "m1", 3), ("new", "m", 4)], batch=0)
+    put([("w5", "m7", 7)], batch=0)
+    rows = sorted(map(tuple, sinks.read_state(spark, path, shape).collect()))
+    assert rows == sorted([(f"w{i}", f"m{j}", i * j) for i in range(100) for j in range(3) if i not in (5, 6)] + [("w5", "m9", 1), ("w6", "m0", 2), ("w6", "m1", 3), ("new", "m", 4)])
+
+
 def test_order_books_from_json(spark):
     raw = spark.createDataFrame([("m", '[["0.4", "10"], [0.45, 5], ["x", 1], [0.3]]', '[[0.6, 1], [0.5, 2]]'), ("n", None, "oops")], "market string, bids string, asks string")
     got = sorted(map(tuple, market_tables.parsed_books(raw).collect()))
     assert got == [("m", "ask", 0, 0.5, 2.0), ("m", "ask", 1, 0.6, 1.0), ("m", "bid", 0, 0.45, 5.0), ("m", "bid", 1, 0.4, 10.0)]
 
 
+def test_order_books_as_the_source_sends_them(spark):
+    bids, asks = '[{"price":"0.4","size":"10"},{"price":"0.45","size":"5.5"},{"size":"1"},{"price":null,"size":"1"}]', '[{"price":0.6,"size":1},{"size":"2","price":"0.5"}]'
+    raw = spark.createDataFrame([("m", bids, asks, "t1", 17), ("n", "[]", None, "t2", 18)], "market string, bids string, asks string, token_id string, timestamp long")
+    got = sorted(map(tuple, market_tables.parsed_books(raw).collect()))
+    assert got == [("m", side, level, price, size, "t1", 17) for side, level, price, size in (("ask", 0, 0.5, 2.0), ("ask", 1, 0.6, 1.0), ("bid", 0, 0.45, 5.5), ("bid", 1, 0.4, 10.0))]
+
+
 def stream(spark, tmp_path, rows, columns, batches=None):
     """A file stream of rows, a file per batch."""
     src = tmp_path / "in"
@@ -138,7 +228,7 @@ def test_streaming_upsert(spark, tmp_path, n):
     s = stream(spark, tmp_path, None, ["wallet", "v"], batches)
     path = str(tmp_path / "table")
     assert alert_streams.upsert_stream(s, path, ["wallet"], str(tmp_path / "cp")).awaitTermination(120)
-    assert {r["wallet"]: r["v"] for r in spark.read.parquet(path).collect()} == {"a": n - 1, **{f"b{i}": i for i in range(n)}}
+    assert state_of(spark, path, "wallet string, v long") == {"a": n - 1, **{f"b{i}": i for i in range(n)}}
 
 
 def test_streaming_duplicates_within_a_minute(spark, tmp_path):
