@@ -36,6 +36,19 @@ def spread(column: str, instead: str | None = None):
     return F.conv(F.substring(F.md5(F.coalesce(F.col(column).cast("string"), other)), 1, 15), 16, 10).cast("long")
 
 
+#: Rows of keys that a task may hold in a map: some hundred bytes each.
+MAP_ROWS = 500_000
+
+
+def hashed(keys: DataFrame, at_most: int) -> DataFrame:
+    """keys (no more rows than at_most), to be held in a map by each task of a join if a task's share of them fits.
+
+    That spares a sort of the other side's texts. Beyond the bound Spark sorts both sides, which can spill.
+    """
+    tasks = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return keys.hint("shuffle_hash") if at_most <= MAP_ROWS * tasks else keys
+
+
 # A text is cut before white space, and between a Latin word and the punctuation after it. The tokenisers' own patterns
 # never join characters across these places, so that encoding piece by piece gives the ids of the whole text.
 _LATIN, _STOP = "a-zA-ZÀ-ÖØ-öø-ÿ", ".,|!%&$#*"

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches
+from .common import cut, hashed, small_batches
 
 RECORDS = "uid long, doc_id long, leader long, sha binary, n long, top long, top_uid long, content binary"
 VERDICTS = "leader long, keep_id long, keep_uid long, group_size long"
@@ -196,4 +196,4 @@ def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     key = lambda i, sha: F.concat_ws(":", F.coalesce(F.col(i).cast("long").cast("string"), F.lit("null")), sha).alias("key")
     stay = cut(exact_dedup(docs, id_col, text_col).where("kept").select(key("doc_id", F.col("text_sha256"))), "kept")
     rows = docs.select(F.struct("*").alias("row"), key(id_col, F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)))
-    return rows.join(stay.hint("shuffle_hash"), "key", "left_semi").dropDuplicates(["key"]).select("row.*")
+    return rows.join(hashed(stay, stay.count()), "key", "left_semi").dropDuplicates(["key"]).select("row.*")

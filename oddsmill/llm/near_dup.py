@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop_cut, small_batches
+from .common import cut, drop_cut, hashed, small_batches
 
 #: Hashes in a band, members in a block, and the chance that a pair at the threshold meets in no band.
 ROWS, BLOCK, MISS = 7, 512, 1e-8
@@ -290,7 +290,7 @@ def near_dup_groups(docs: DataFrame, width: int = 5, percent: int = 80, rows: in
     drop_cut(full)
     members = bucket_members(classes)
     wanted = members.select("node").distinct().join(classes.select("node", "digest", "rep"), "node")
-    found = texts.select("doc_id", "text").join(wanted.hint("shuffle_hash"), F.col("doc_id") == F.col("rep")).select("node", "digest", "text")
+    found = texts.select("doc_id", "text").join(hashed(wanted, classes.count()), F.col("doc_id") == F.col("rep")).select("node", "digest", "text")
     sets = cut(found.mapInArrow(setter(width), "node long, hashes binary"), "sets")
     pairs = cut(first_pairs(members), "pairs")
     labels = cut(components(links := cut(confirmed(pairs, sets, percent), "confirmed")), "labels")
@@ -318,4 +318,4 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     kept = near_dup_groups(docs, id_col=id_col, text_col=text_col, **settings).where("kept")
     kept = cut(kept.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("i"), F.col("text_hash").alias("h")), "kept")
     rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("null")).alias("i"), F.xxhash64(F.col(text_col)).alias("h"))
-    return rows.join(kept.hint("shuffle_hash"), ["i", "h"], "left_semi").dropDuplicates(["i", "h"]).select("row.*")
+    return rows.join(hashed(kept, kept.count()), ["i", "h"], "left_semi").dropDuplicates(["i", "h"]).select("row.*")

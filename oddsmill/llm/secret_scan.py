@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, shuffles_freed
+from .common import cut, hashed, shuffles_freed
 
 SPANS = "array<struct<start:int,rank:int,kind:string,end:int>>"
 #: Matches that one list is appended to.
@@ -99,7 +99,7 @@ def scan(versions: DataFrame, ledger_path: str, rules: tuple[Rule, ...] = RULES,
     else:
         todo = blobs.select("blob", "path", F.array(*[F.lit(r.key) for r in rules]).alias("todo"))
     todo = todo.select(F.col("blob").alias("b"), F.col("path").alias("p"), "todo")
-    texts = rows.join(todo.hint("shuffle_hash"), F.col("path").eqNullSafe(F.col("p")) & (F.col("blob") == F.col("b")))
+    texts = rows.join(hashed(todo, addresses.count()), F.col("path").eqNullSafe(F.col("p")) & (F.col("blob") == F.col("b")))
     found = texts.select("blob", *[F.when(F.array_contains("todo", r.key), spans_of(F.col("text"), r)).alias(r.key) for r in rules])
     found = found.select("blob", F.explode(F.array(*[F.struct(F.lit(r.key).alias("rule"), F.col(f"`{r.key}`").alias("spans")) for r in rules])).alias("x")).select("blob", "x.rule", "x.spans").where("spans is not null")
     with shuffles_freed(spark):

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shuffles_freed, small_batches
+from .common import hashed, shuffles_freed, small_batches
 
 #: Bytes and records of an archive, beyond which the next one begins.
 ARCHIVE_BYTES, RECORDS_PER_FILE = 128 << 20, 20_000
@@ -100,7 +100,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
     revisits = facts.join(best, "sha").where(~same("page_id", "keep")).select("page_id", "url", "sha", "n", "keep")
     chosen = best.select(F.col("keep").alias("k"), F.col("sha").alias("s"))
-    responses = rows.join(chosen.hint("shuffle_hash"), same("page_id", "k") & same("sha", "s"), "left_semi").select("page_id", "url", "payload", F.lit(0).alias("keep"))
+    responses = rows.join(hashed(chosen, pages.count()), same("page_id", "k") & same("sha", "s"), "left_semi").select("page_id", "url", "payload", F.lit(0).alias("keep"))
     members = responses.mapInArrow(_members(date, archive_bytes), "part int, member binary").unionByName(revisits.mapInArrow(_revisits(date, archive_bytes), "part int, member binary"))
     closing = member(CLOSE).decode("latin-1")
     with shuffles_freed(pages.sparkSession):
