@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import LIMITS
 from ..functions.scratch import cut
 
+#: Gaps in a chunk of a timeline; rows of a segment that one task folds.
+CHUNK, LONGEST = 64, 1_000_000
+
 
 def _next_after(rows: DataFrame, keys: list[str], gap_us: int) -> DataFrame:
     """(uid, to): of each row (keys, ts_us, uid) the first row of its key at least gap_us later; rows without one are left out.
@@ -27,23 +32,86 @@ def _next_after(rows: DataFrame, keys: list[str], gap_us: int) -> DataFrame:
     return met.select("uid", F.coalesce("to", "head").alias("to")).where("to is not null")
 
 
-def kept_with_gap(alerts: DataFrame, keys: list[str], gap_s: int) -> DataFrame:
-    """Alerts (keys, ts_us, id) at least gap_s after the last one kept of their key.
+def _doubled(timed: DataFrame, keys: list[str], gap_us: int) -> DataFrame:
+    """Rows (keys, ts_us, id) of timelines of any length that are kept, by pointers.
 
-    A lag can't say this, as what is kept depends on what was kept before. Each alert points to the one that would be kept
-    next after it; from a key's first alert, pointers that double in length each round reach all that are kept, in as many
-    rounds as the logarithm of the longest chain. No task needs a whole key. Alerts without a time are kept.
+    Each alert points to the one that would be kept next after it; from a key's first alert, pointers that double in length each
+    round reach all that are kept, in as many rounds as the logarithm of the longest chain. No task needs a whole key.
     """
-    rows = alerts.select(*keys, "ts_us", "id")
-    if gap_s <= 0:
-        return rows
-    timed = cut(rows.where("ts_us is not null").groupBy(*keys, "ts_us").agg(F.min("id").alias("id")).withColumn("uid", F.monotonically_increasing_id()), "alerts")
-    jump = cut(_next_after(timed, keys, gap_s * 1_000_000), "alert-jumps")
+    timed = cut(timed.groupBy(*keys, "ts_us").agg(F.min("id").alias("id")).withColumn("uid", F.monotonically_increasing_id()), "alerts")
+    jump = cut(_next_after(timed, keys, gap_us), "alert-jumps")
     kept = cut(timed.groupBy(*keys).agg(F.min(F.struct("ts_us", "uid"))["uid"].alias("uid")).select("uid"), "alerts-kept")
     while not (found := cut(kept.join(jump, "uid").select(F.col("to").alias("uid")), "alerts-found")).isEmpty():
         kept = cut(kept.union(found), "alerts-kept")
         jump = cut(jump.join(jump.select(F.col("uid").alias("to"), F.col("to").alias("to_")), "to").select("uid", F.col("to_").alias("to")), "alert-jumps")
-    return timed.join(kept, "uid", "left_semi").select(*keys, "ts_us", "id").union(rows.where("ts_us is null"))
+    return timed.join(kept, "uid", "left_semi").select(*keys, "ts_us", "id")
+
+
+def segments(timed: DataFrame, keys: list[str], gap_us: int) -> DataFrame:
+    """(keys, ts_us, id) with segment, the time at which the row's segment begins, and starts, true for its first row.
+
+    A segment ends where the step to the next row of its key is at least the gap. Rows are looked at in chunks of time, so a key's
+    timeline is spread over tasks; what crosses chunks is settled on a table of chunks, and only its first segment takes a
+    start from before.
+    """
+    rows = timed.withColumn("chunk", F.floor(F.col("ts_us") / (gap_us * CHUNK)))
+    w = Window.partitionBy(*keys, "chunk").orderBy("ts_us", "id")
+    rows = rows.withColumn("before", F.lag("ts_us").over(w))
+    rows = rows.withColumn("starts", F.col("before").isNull() | (F.col("ts_us") - F.col("before") >= gap_us))
+    rows = rows.withColumn("segment", F.last(F.when(F.col("starts"), F.col("ts_us")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    of_key = Window.partitionBy(*keys).orderBy("chunk")
+    chunks = rows.groupBy(*keys, "chunk").agg(F.min("ts_us").alias("first"), F.max("ts_us").alias("last"), F.max("segment").alias("last_segment"))
+    goes_on = F.coalesce(F.col("first") - F.lag("last").over(of_key) < gap_us, F.lit(False))
+    known = F.when(F.col("last_segment") != F.col("first"), F.col("last_segment")).when(~F.col("goes_on"), F.col("first"))
+    chunks = chunks.withColumn("goes_on", goes_on).withColumn("known", known)
+    begun = F.when(F.col("goes_on"), F.last("known", ignorenulls=True).over(of_key.rowsBetween(Window.unboundedPreceding, -1)))
+    crossing = chunks.withColumn("begun", begun).where("goes_on").select(*[F.col(k).alias(f"{k}_") for k in [*keys, "chunk"]], "first", "begun")
+    met = rows.join(crossing, [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in [*keys, "chunk"]], "left")
+    inside = F.col("begun").isNotNull() & (F.col("segment") == F.col("first"))
+    return met.select(*keys, "ts_us", "id", F.when(inside, F.col("begun")).otherwise(F.col("segment")).alias("segment"), (F.col("starts") & ~inside).alias("starts"))
+
+
+def _folded(gap_us: int):
+    """mapInArrow function: rows in order with starts and ts_us as their last columns, to those kept."""
+    import pyarrow as pa
+
+    def fold(batches):
+        last = 0
+        for batch in batches:
+            kept = []
+            for first, ts in zip(batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+                keep = first or ts - last >= gap_us
+                last = ts if keep else last
+                kept.append(keep)
+            yield batch.filter(pa.array(kept, pa.bool_()))
+
+    return fold
+
+
+def kept_with_gap(alerts: DataFrame, keys: list[str], gap_s: int, longest: int = LONGEST) -> DataFrame:
+    """Alerts (keys, ts_us, id) at least gap_s after the last one kept of their key; of equal times the least id.
+
+    A lag can't say this, as what is kept depends on what was kept before. But a row that comes at least the gap after the row before it is
+    always kept, so a key's timeline falls into segments that are folded apart, row by row in bounded memory. Segments of more than
+    `longest` rows go by pointers of doubling length instead. Alerts without a time are kept.
+    """
+    rows = alerts.select(*keys, "ts_us", "id")
+    if gap_s <= 0:
+        return rows
+    gap_us, by = gap_s * 1_000_000, [*keys, "segment"]
+    timed = cut(segments(rows.where("ts_us is not null"), keys, gap_us), "alert-segments")
+    kept = []
+    if timed.count() > longest:
+        long_ones = cut(timed.groupBy(*by).agg(F.count("*").alias("n")).where(F.col("n") > longest).select(*[F.col(k).alias(f"{k}_") for k in by]), "long-segments")
+        if not long_ones.isEmpty():
+            same = [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in by]
+            kept.append(_doubled(timed.join(long_ones, same, "left_semi"), by, gap_us).select(*keys, "ts_us", "id"))
+            timed = timed.join(long_ones, same, "left_anti")
+    shape = timed.select(*keys, "id", "starts", "ts_us")
+    ordered = timed.repartition(*by).sortWithinPartitions(*by, "ts_us", F.desc("starts"), "id").select(*shape.columns)
+    kept.append(ordered.mapInArrow(_folded(gap_us), shape.schema).select(*keys, "ts_us", "id"))
+    kept.append(rows.where("ts_us is null"))
+    return reduce(DataFrame.union, kept)
 
 
 def cooled_down(alerts: DataFrame, gap_s: int = LIMITS.cooldown_s) -> DataFrame:

@@ -26,7 +26,7 @@ def over_all_cores(df: DataFrame) -> DataFrame:
 
 def token_sets(rows: DataFrame) -> DataFrame:
     """(id, words): the distinct tokens of (id, text) rows; texts without tokens are left out. Texts are read and cut once."""
-    sets = over_all_cores(rows.select("id", "text")).select("id", F.array_distinct(text.tokens(F.col("text"))).alias("words"))
+    sets = over_all_cores(rows.select("id", "text")).select("id", text.token_set(F.col("text")).alias("words"))
     return cut(sets.where(F.size("words") > 0), "token-sets")
 
 
@@ -46,11 +46,13 @@ def ordered_sets(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFram
     need not be listed. The order is the same on both sides.
     """
     exploded = lambda sets: sets.select("id", F.size("words").alias("n"), F.explode("words").alias("token"))
-    counts = lambda sets, name: sets.select(F.explode("words").alias("token")).groupBy("token").agg(F.count("*").alias(name))
-    both = counts(left, "l").join(counts(right, "r"), "token").select("token", (F.col("l") * F.col("r")).alias("weight"))
-    both = cut(both, "shared-tokens")  # its size is known, so that it is broadcast only if it is small
-    place = lambda sets: cut(exploded(sets).join(both, "token").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("weight", "token"))).alias("w")).select("id", "n", F.col("w.token").alias("words")), "ordered-sets")
-    return place(left), place(right)
+    counts = lambda rows, name: rows.groupBy("token").agg(F.count("*").alias(name))
+    # what is written has a known size, so that it is broadcast only if it is small
+    l = cut(counts(exploded(left), "l"), "left-tokens")  # noqa: E741
+    rows = cut(exploded(right).join(l.select("token"), "token", "left_semi"), "right-tokens")
+    both = cut(counts(rows, "r").join(l, "token").select("token", (F.col("l") * F.col("r")).alias("weight")), "shared-tokens")
+    place = lambda rows: cut(rows.join(both, "token").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("weight", "token"))).alias("w")).select("id", "n", F.col("w.token").alias("words")), "ordered-sets")
+    return place(exploded(left)), place(rows)
 
 
 def candidates(left: DataFrame, right: DataFrame, floor: float) -> DataFrame:

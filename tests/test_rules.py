@@ -118,6 +118,13 @@ def test_prefix_filter_loses_no_pair(spark):
     assert got == {(a, b) for a in sets for b in sets if sets[a] and sets[b] and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) > 0.3}
 
 
+def test_token_set_holds_the_tokens(spark):
+    texts = ["Will the BTC's price, by 2025: rise?", "  a  b--cc ddd\tDDD\u00a0eee\x1cfff the", "", None, "snake_case it's ÉTÉ été ²³ ½½½ 東京都"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(F.array_sort(F.array_distinct(text.tokens(F.col("t")))).alias("a"), F.array_sort(text.token_set(F.col("t"))).alias("b"))
+    rows = df.collect()
+    assert [r["a"] for r in rows] == [r["b"] for r in rows] and rows[0]["a"] == ["2025", "btc", "price", "rise"]
+
+
 @pytest.mark.parametrize("floor", [0.1, 0.34, 0.5, 0.8])
 def test_prefix_filter_is_exact_and_leaves_few_candidates(spark, floor):
     rng = random.Random(floor)
@@ -314,6 +321,30 @@ def test_cooldown_spreads_a_key_over_chunks(spark):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+@pytest.mark.parametrize("longest", [1_000_000, 5])
+def test_cooldown_by_segments(spark, longest, monkeypatch):
+    monkeypatch.setattr(alerts, "CHUNK", 3)
+    rng = random.Random(longest)
+    rows, i = [], 0
+    for w in (None, "a", "b"):
+        t = rng.randrange(-500, 500)
+        for _ in range(250):
+            t += rng.choice([0, 1, 9, 10, 11, 3, 5, 2, 2, 40, 1000])
+            rows.append((w, t, i := i + 1))
+    # one key holds most rows, in one segment over many chunks
+    rows += [("hot", 7 * t, i + t) for t in range(1500)]
+    rng.shuffle(rows)
+    want, last = set(), {}
+    for w, t, n in sorted(rows, key=lambda r: (str(r[0]), r[1], r[2])):
+        if w not in last or t - last[w] >= 10:
+            want.add((w, n))
+            last[w] = t
+    a = spark.createDataFrame([(w, t * 1_000_000, n) for w, t, n in rows], "wallet string, ts_us long, id long")
+    got = [(r["wallet"], r["id"]) for r in alerts.kept_with_gap(a, ["wallet"], 10, longest=longest).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert alerts.kept_with_gap(a.where("1 = 0"), ["wallet"], 10).count() == 0
+
+
 def wilder(prices, period=14):
     """The definition: first means of `period` deltas, then recursive smoothing; 100 without losses."""
     out, up, down = [50.0] * min(len(prices), period), None, None
