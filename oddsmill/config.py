@@ -33,6 +33,9 @@ class Limits:
     watch_value_with_changes: float = 50_000.0
     cooldown_s: int = 900
     duplicate_s: int = 60
+    alerts_kept: int = 100
+    log_lines_shown: int = 5
+    log_line_length: int = 100
     trend_delta: float = 0.1
     history_kept: int = 10
     mm_spread: float = 0.01

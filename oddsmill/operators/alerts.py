@@ -47,21 +47,22 @@ def _doubled(timed: DataFrame, keys: list[str], gap_us: int) -> DataFrame:
     return timed.join(kept, "uid", "left_semi").select(*keys, "ts_us", "id")
 
 
-def segments(timed: DataFrame, keys: list[str], gap_us: int) -> DataFrame:
+def segments(timed: DataFrame, keys: list[str], gap_us: int, forced: str | None = None) -> DataFrame:
     """(keys, ts_us, id) with segment, the time at which the row's segment begins, and starts, true for its first row.
 
-    A segment ends where the step to the next row of its key is at least the gap. Rows are looked at in chunks of time, so a key's
+    A segment ends where the step to the next row of its key is at least the gap, and before a row that is forced. Rows are looked at in chunks of time, so a key's
     timeline is spread over tasks; what crosses chunks is settled on a table of chunks, and only its first segment takes a
     start from before.
     """
     rows = timed.withColumn("chunk", F.floor(F.col("ts_us") / (gap_us * CHUNK)))
     w = Window.partitionBy(*keys, "chunk").orderBy("ts_us", "id")
     rows = rows.withColumn("before", F.lag("ts_us").over(w))
-    rows = rows.withColumn("starts", F.col("before").isNull() | (F.col("ts_us") - F.col("before") >= gap_us))
+    must = F.col(forced) if forced else F.lit(False)
+    rows = rows.withColumn("starts", F.col("before").isNull() | (F.col("ts_us") - F.col("before") >= gap_us) | must)
     rows = rows.withColumn("segment", F.last(F.when(F.col("starts"), F.col("ts_us")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     of_key = Window.partitionBy(*keys).orderBy("chunk")
-    chunks = rows.groupBy(*keys, "chunk").agg(F.min("ts_us").alias("first"), F.max("ts_us").alias("last"), F.max("segment").alias("last_segment"))
-    goes_on = F.coalesce(F.col("first") - F.lag("last").over(of_key) < gap_us, F.lit(False))
+    chunks = rows.groupBy(*keys, "chunk").agg(F.min("ts_us").alias("first"), F.max("ts_us").alias("last"), F.max("segment").alias("last_segment"), F.min_by(must, F.struct("ts_us", "id")).alias("cut_off"))
+    goes_on = F.coalesce(F.col("first") - F.lag("last").over(of_key) < gap_us, F.lit(False)) & ~F.col("cut_off")
     known = F.when(F.col("last_segment") != F.col("first"), F.col("last_segment")).when(~F.col("goes_on"), F.col("first"))
     chunks = chunks.withColumn("goes_on", goes_on).withColumn("known", known)
     begun = F.when(F.col("goes_on"), F.last("known", ignorenulls=True).over(of_key.rowsBetween(Window.unboundedPreceding, -1)))
@@ -88,9 +89,11 @@ def _folded(gap_us: int):
     return fold
 
 
-def kept_with_gap(alerts: DataFrame, keys: list[str], gap_s: int, longest: int = LONGEST) -> DataFrame:
+def kept_with_gap(alerts: DataFrame, keys: list[str], gap_s: int, longest: int = LONGEST, forced: str | None = None) -> DataFrame:
     """Alerts (keys, ts_us, id) at least gap_s after the last one kept of their key; of equal times the least id.
 
+    forced names a boolean column: such rows are kept whatever came before, and the gap counts from them. They have times of their own.
+
     A lag can't say this, as what is kept depends on what was kept before. But a row that comes at least the gap after the row before it is
     always kept, so a key's timeline falls into segments that are folded apart, row by row in bounded memory. Segments of more than
     `longest` rows go by pointers of doubling length instead. Alerts without a time are kept.
@@ -99,7 +102,7 @@ def kept_with_gap(alerts: DataFrame, keys: list[str], gap_s: int, longest: int =
     if gap_s <= 0:
         return rows
     gap_us, by = gap_s * 1_000_000, [*keys, "segment"]
-    timed = cut(segments(rows.where("ts_us is not null"), keys, gap_us), "alert-segments")
+    timed = cut(segments(alerts.select(*keys, "ts_us", "id", *([forced] if forced else [])).where("ts_us is not null"), keys, gap_us, forced), "alert-segments")
     kept = []
     if timed.count() > longest:
         long_ones = cut(timed.groupBy(*by).agg(F.count("*").alias("n")).where(F.col("n") > longest).select(*[F.col(k).alias(f"{k}_") for k in by]), "long-segments")
@@ -135,7 +138,34 @@ def not_yet_known(incoming: DataFrame, existing: DataFrame) -> DataFrame:
     return minute(incoming).join(minute(existing).select(key).distinct(), key, "left_anti")
 
 
-def watch_transitions(snapshots: DataFrame) -> DataFrame:
+def watch_alerts(snapshots: DataFrame, cooldown_s: int = LIMITS.cooldown_s, duplicate_s: int = LIMITS.duplicate_s) -> DataFrame:
+    """Watch-list events with their alerts, of ordered snapshots (wallet, at_us, eligible, changed): wallet, at_us, event,
+    check_count, should_alert, type, recorded, alert_count.
+
+    A wallet that is put on the list alerts at once (`new_watched`); one that stays and has changed alerts (`activity`) if no recorded
+    alert of its own is less than cooldown_s old. An alert is recorded unless one of its wallet and type was less than duplicate_s
+    before; alert_count are those recorded since the wallet was put on the list. Times of a wallet are distinct; null eligible or
+    changed count as false. The fold of kept_with_gap, from which the new ones' times can't be missing.
+    """
+    s = snapshots.select("wallet", F.col("at_us").alias("at"), F.coalesce("eligible", F.lit(False)).alias("eligible"), F.coalesce("changed", F.lit(False)).alias("changed"))
+    events = cut(watch_transitions(s, ["changed"]).withColumn("id", F.monotonically_increasing_id()).withColumnRenamed("at", "ts_us"), "watch-events")
+    added = events.where("event = 'insert'").select("wallet", "ts_us", "id")
+    fresh = cut(kept_with_gap(added, ["wallet"], duplicate_s).withColumn("is_new", F.lit(True)), "new-watched")
+    active = events.where("event = 'update' and changed").select("wallet", "ts_us", "id", F.lit(False).alias("is_new"))
+    recorded = kept_with_gap(fresh.unionByName(active), ["wallet"], cooldown_s, forced="is_new").select("id", F.lit(True).alias("recorded"))
+    out = events.join(cut(recorded, "watch-recorded"), "id", "left").withColumn("recorded", F.coalesce("recorded", F.lit(False)))
+    kind = F.when(F.col("event") == "insert", "new_watched").when(F.col("recorded"), "activity")
+    run = Window.partitionBy("wallet", "starts").orderBy("ts_us").rowsBetween(Window.unboundedPreceding, 0)
+    count = F.when(F.col("event") != "delete", F.sum(F.col("recorded").cast("long")).over(run)).otherwise(0)
+    return out.select("wallet", F.col("ts_us").alias("at_us"), "event", "check_count", kind.isNotNull().alias("should_alert"), kind.alias("type"), "recorded", count.alias("alert_count"))
+
+
+def last_alerts(alerts: DataFrame, kept: int = LIMITS.alerts_kept) -> DataFrame:
+    """The newest recorded alerts (a top-k report)."""
+    return alerts.where("recorded").orderBy(F.desc("at_us"), "wallet").limit(kept)
+
+
+def watch_transitions(snapshots: DataFrame, carry: list[str] | None = None) -> DataFrame:
     """Watch-list events of each wallet over ordered snapshots (wallet, at, eligible): insert, update, delete, with check counts.
 
     A run of eligible snapshots inserts at its first and updates at later ones; the first ineligible one deletes. The state
@@ -147,4 +177,4 @@ def watch_transitions(snapshots: DataFrame) -> DataFrame:
     event = F.when(F.col("eligible") & ~F.col("before"), "insert").when(F.col("eligible"), "update").when(F.col("before"), "delete")
     run = Window.partitionBy("wallet", "starts").orderBy("at")
     s = s.withColumn("event", event).withColumn("check_count", F.when(F.col("eligible"), F.row_number().over(run)).otherwise(0).cast("long"))
-    return s.where("event is not null").select("wallet", "at", "event", "check_count")
+    return s.where("event is not null").select("wallet", "at", "event", "check_count", *([*carry, "starts"] if carry else []))

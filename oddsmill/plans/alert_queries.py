@@ -130,8 +130,73 @@ def watch_transition(spark, sf):
     return ops.watch_transitions(s).withColumn("at", epoch_us(c("at")))
 
 
+_WATCHED = """with recursive trade as (select 'w' || user_id as wallet, value as volume, ts from events),
+s as (select wallet, date_trunc('day', ts) as d, sum(volume) >= 150 as eligible, count(*) > 1 as changed from trade group by all),
+n as (select wallet, epoch_us(d) as t, eligible, changed, row_number() over (partition by wallet order by d) as rn from s),
+f as (
+  select wallet, rn, t, eligible as watched, case when eligible then 'insert' end as event, case when eligible then 1 else 0 end as checks, eligible as alert, eligible as rec,
+    case when eligible then t end as last_any, case when eligible then t end as last_new, case when eligible then 1 else 0 end as n_alerts from n where rn = 1
+  union all
+  select wallet, rn, t, eligible, event, case when not eligible then 0 when was then checks + 1 else 1 end, alert, rec, case when rec then t else last_any end, case when rec and not was then t else last_new end,
+    case when not eligible then 0 when was then n_alerts + rec::int else rec::int end
+  from (select *, case when not alert then false when was then true else coalesce(t - last_new >= 60 * 1000000::bigint, true) end as rec
+        from (select n.wallet, n.rn, n.t, n.eligible, f.watched as was, f.checks, f.last_any, f.last_new, f.n_alerts,
+                case when n.eligible and not f.watched then 'insert' when n.eligible then 'update' when f.watched then 'delete' end as event,
+                n.eligible and (not f.watched or (n.changed and coalesce(n.t - f.last_any >= 4 * 86400 * 1000000::bigint, true))) as alert
+              from f join n on n.wallet = f.wallet and n.rn = f.rn + 1)))
+select wallet, t as at_us, event, checks::bigint as check_count, alert as should_alert, case when alert and event = 'insert' then 'new_watched' when alert then 'activity' end as type, rec as recorded, n_alerts::bigint as alert_count
+from f where event is not null"""
+
+
+@query("watch_alerts", _WATCHED)
+def watch_alerts(spark, sf):
+    """The watch list over daily snapshots with its gated alerts: four days between alerts, so that the gate is met."""
+    day = F.date_trunc("day", "ts")
+    s = trades(spark, sf).groupBy("wallet", epoch_us(day).alias("at_us")).agg((F.sum("volume") >= 150).alias("eligible"), (F.count("*") > 1).alias("changed"))
+    return ops.watch_alerts(s, cooldown_s=4 * 86_400)
+
+
 @query("sliding_volume", """select epoch_us(s) as window_start, wallet, round_even(sum(volume), 4) as volume, count(*) as trades from (select *, unnest(generate_series(date_trunc('day', ts - interval 1 day) + interval 6 hour * (floor(extract(hour from ts) / 6) + 1), date_trunc('day', ts) + interval 6 hour * floor(extract(hour from ts) / 6), interval 6 hour)) as s from trade) group by all""", "trade")
 def sliding_volume(spark, sf):
     """24-hour volumes every six hours; the batch form of the stream of that name."""
     w = trades(spark, sf).groupBy(F.window("ts", "24 hours", "6 hours"), "wallet").agg(F.bround(F.sum("volume"), 4).alias("volume"), F.count("*").alias("trades"))
     return w.select(epoch_us(c("window.start")).alias("window_start"), "wallet", "volume", "trades")
+
+
+# Logs are written as text first, a folder for each day, and read back in splits, as a monitor finds them.
+_LOG = """with l as (select 'day=' || cast(date_trunc('day', ts) as date) as log, row_number() over (partition by date_trunc('day', ts) order by ts, event_id) as n,
+  '  ' || event_id || case event_type when 'error' then ' ERROR in step ' when 'signup' then ' Scan completed ' else ' ok ' end || user_id || repeat('.', user_id % 130) || ' ' as line from events),
+e as (select *, row_number() over (partition by log order by n) as k from l where contains(line, 'ERROR')),
+"""
+
+
+def _written_logs(spark, sf):
+    from ..functions.columns import table
+    from ..functions.scratch import scratch_path
+    from ..sources.log_files import numbered_lines
+
+    path = scratch_path(spark, "logs")
+    kind = F.when(c("event_type") == "error", " ERROR in step ").when(c("event_type") == "signup", " Scan completed ").otherwise(" ok ")
+    line = F.concat(F.lit("  "), "event_id", kind, "user_id", F.repeat(F.lit("."), (c("user_id") % 130).cast("int")), F.lit(" "))
+    e = table(spark, sf, "events").select(F.to_date("ts").alias("day"), "ts", "event_id", line.alias("value"))
+    e.repartition("day").sortWithinPartitions("day", "ts", "event_id").select("day", "value").write.partitionBy("day").text(path)
+    lines = numbered_lines(spark, path)
+    return lines.withColumn("log", F.regexp_extract("file", "(day=[^/]*)/", 1))
+
+
+@query("log_health", _LOG + """b as (select log, arg_max(trim(line), n) as last_line, count(*) as lines, max(n) filter (contains(line, 'Scan completed')) as last_scan from l group by log)
+select log, lines, last_line, not (contains(last_line, 'ERROR')) as heartbeat, last_scan, last_scan is not null as scanned from b""")
+def log_health(spark, sf):
+    """Heartbeat and last scan of each log, by the order of its lines."""
+    from ..sources.log_files import heartbeats
+
+    return heartbeats(_written_logs(spark, sf), "Scan completed", ("ERROR",), log="log")
+
+
+@query("log_error_text", _LOG + r"""t as (select log, count(*) as errors, string_agg(k || '. `' || left(trim(line), 100) || '...`', chr(10) order by k) filter (k <= 5) as first_ from e group by log)
+select log, errors, 'Errors in ' || log || ': ' || errors || chr(10) || first_ || case when errors > 5 then chr(10) || '... and ' || (errors - 5) || ' more' else '' end as message from t""")
+def log_error_text(spark, sf):
+    """The alert text of each log with errors: the first five lines, cut at 100 characters, and how many more there are."""
+    from ..sources.log_files import error_messages
+
+    return error_messages(_written_logs(spark, sf), ("ERROR",), log="log")
