@@ -99,7 +99,8 @@ def _halves(spark, sf):
 def corr_breakdown(spark, sf):
     """Broken correlations among all markets."""
     one, two = _halves(spark, sf)
-    found = ops.breakdowns(ops.correlations(one, 50), ops.correlations(two, 50), ops.tail_aligned(two, 50), tau=0.5)
+    base = cut(ops.correlations(one, 50, least=0.5), "base-pairs")  # only these pairs are looked at again
+    found = ops.breakdowns(base, ops.pair_correlations(two, base, 50), ops.tail_aligned(two, 50), tau=0.5)
     return found.select("a", "b", "base", "now", "divergence", "direction", "confidence").orderBy(F.desc("divergence"), "a", "b")
 
 
@@ -118,7 +119,7 @@ select cluster, market from t union all select distinct cluster, cluster from t"
 
 @query("corr_clusters", CLUSTERS)
 def corr_clusters(spark, sf):
-    return ops.greedy_clusters(ops.correlations(_halves(spark, sf)[0], 50), 0.5)
+    return ops.greedy_clusters(ops.correlations(_halves(spark, sf)[0], 50, least=0.5), 0.5)
 
 
 HIST = """with h as (select wallet, week, sum(value) filter (rn <= 2) / sum(value) as t0 from (select *, row_number() over (partition by wallet, week order by value desc, market) as rn from holding) group by all),

@@ -62,28 +62,153 @@ def cache_misses(requests: DataFrame, keys: list[str], ttl_s: int = 86_400, late
     return cooled_down(requests, keys, ttl_s, late)
 
 
+def _us(times) -> list[int]:
+    return times.astype("datetime64[us]").astype("int64").tolist()
+
+
+def _due(waiting: list[tuple], state: GroupState) -> tuple[list[tuple], list[tuple]]:
+    """Rows (time first) that the watermark has passed, in order, and those that still wait."""
+    mark = state.getCurrentWatermarkMs() * 1000
+    key = lambda x: tuple((v is not None, v) for v in x)
+    return sorted((x for x in waiting if x[0] <= mark), key=key), [x for x in waiting if x[0] > mark]
+
+
+def _wake(state: GroupState, times: list[int]) -> None:
+    """Calls the group again when the watermark reaches the earliest of some times."""
+    if times:
+        state.setTimeoutTimestamp(max(min(times) // 1000, state.getCurrentWatermarkMs() + 1))
+
+
 def position_changes(positions: DataFrame, tolerance: float = LIMITS.size_tolerance, late: str = "10 minutes") -> DataFrame:
     """Changes of positions (wallet, market, size, ts) against what a wallet held in a market before, kept as state between runs.
 
-    size 0 closes a position. Rows of one micro-batch are taken in time order.
+    size 0 closes a position. Rows wait until the watermark has passed them and are taken in time order; what comes later than that
+    is dropped by the watermark.
     """
 
     def fold(key, batches, state: GroupState):
         import pandas as pd
 
-        rows = pd.concat(list(batches)).sort_values(["ts", "size"]) if not state.hasTimedOut else pd.DataFrame()
-        held = state.get[0] if state.exists else 0.0
+        held, waiting = state.get if state.exists else (0.0, [])
+        waiting = [tuple(x) for x in waiting]
+        for pdf in batches:
+            waiting += list(zip(_us(pdf["ts"]), pdf["size"].tolist(), strict=True))
+        due, waiting = _due(waiting, state)
         out = []
-        for ts, size in zip(rows["ts"], rows["size"], strict=True) if len(rows) else ():
+        for ts, size in due:
             change = round(size - held, 6)
             kind = "new" if held == 0 and size > 0 else "closed" if held > 0 and size == 0 else "increased" if change > tolerance else "decreased" if change < -tolerance else None
             if kind:
-                out.append((*key, kind, float(held), float(size), int(ts.value // 1000) if hasattr(ts, "value") else int(ts)))
+                out.append((*key, kind, float(held), float(size), ts))
             held = float(size)
-        state.update((held,))
+        state.update((held, waiting))
+        _wake(state, [t for t, _ in waiting])
+        yield pd.DataFrame(out, columns=["wallet", "market", "type", "old_size", "new_size", "ts_us"])
+
+    shape = "wallet string, market string, type string, old_size double, new_size double, ts_us long"
+    return positions.withWatermark("ts", late).groupBy("wallet", "market").applyInPandasWithState(fold, shape, "held double, waiting array<struct<ts:long,size:double>>", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def snapshot_changes(positions: DataFrame, tolerance: float = LIMITS.size_tolerance, late: str = "10 minutes") -> DataFrame:
+    """Changes between a wallet's snapshots, rows (wallet, market, size, ts) of equal ts: new, increased, decreased and closed.
+
+    A market that the next snapshot lacks is closed; a row without market stands for a snapshot without positions. The state of a wallet
+    is its last settled snapshot, a map from market to size, and rows of snapshots that the watermark hasn't passed. Snapshots are
+    settled whole and in time order; one as old as the last is left out. Of rows of a market in one snapshot the largest counts.
+    """
+
+    def fold(key, batches, state: GroupState):
+        import pandas as pd
+
+        settled, markets, sizes, waiting = state.get if state.exists else (-1, [], [], [])
+        held, waiting = dict(zip(markets, sizes, strict=True)), [tuple(x) for x in waiting]
+        for pdf in batches:
+            waiting += [(t, None if pd.isna(m) else m, float(x)) for t, m, x in zip(_us(pdf["ts"]), pdf["market"], pdf["size"].fillna(0.0), strict=True)]
+        due, waiting = _due(waiting, state)
+        out = []
+        for ts in sorted({t for t, *_ in due}):
+            if ts <= settled:
+                continue
+            now = {m: x for t, m, x in due if t == ts and m is not None}
+            for m, x in now.items():
+                change = round(x - held.get(m, 0.0), 6)
+                kind = "new" if m not in held else "increased" if change > tolerance else "decreased" if change < -tolerance else None
+                if kind:
+                    out.append((*key, m, kind, held.get(m), x, ts))
+            out += [(*key, m, "closed", x, None, ts) for m, x in held.items() if m not in now]
+            settled, held = ts, now
+        state.update((settled, list(held), list(held.values()), waiting))
+        _wake(state, [t for t, *_ in waiting])
         yield pd.DataFrame(out, columns=["wallet", "market", "type", "old_size", "new_size", "ts_us"])
 
-    return positions.withWatermark("ts", late).groupBy("wallet", "market").applyInPandasWithState(fold, "wallet string, market string, type string, old_size double, new_size double, ts_us long", "held double", "append", GroupStateTimeout.NoTimeout)
+    shape = "wallet string, market string, type string, old_size double, new_size double, ts_us long"
+    kept = "settled long, markets array<string>, sizes array<double>, waiting array<struct<ts:long,market:string,size:double>>"
+    return positions.withWatermark("ts", late).groupBy("wallet").applyInPandasWithState(fold, shape, kept, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def cached_results(requests: DataFrame, compute, ttl_s: int = 86_400, late: str = "10 minutes") -> DataFrame:
+    """Requests (wallet, data_hash, id, ts) answered from cache: (wallet, id, ts_us, result, hit).
+
+    A wallet's state is (hash, result, expiry). A request with that hash before the expiry gets the kept result; any other calls
+    compute(wallet, data_hash), whose text is kept for ttl_s. Requests are taken in event-time order behind the watermark; state goes once the
+    watermark has passed its expiry.
+    """
+
+    def fold(key, batches, state: GroupState):
+        import pandas as pd
+
+        known, result, expiry, waiting = state.get if state.exists else (None, None, -1, [])
+        waiting = [tuple(x) for x in waiting]
+        for pdf in batches:
+            waiting += list(zip(_us(pdf["ts"]), pdf["id"].tolist(), pdf["data_hash"].tolist(), strict=True))
+        due, waiting = _due(waiting, state)
+        out = []
+        for ts, i, asked in due:
+            hit = result is not None and asked == known and ts < expiry
+            if not hit:
+                known, result, expiry = asked, compute(key[0], asked), ts + ttl_s * 1_000_000
+            out.append((*key, i, ts, result, hit))
+        if not waiting and expiry <= state.getCurrentWatermarkMs() * 1000:
+            state.remove()
+        else:
+            state.update((known, result, expiry, waiting))
+            _wake(state, [t for t, *_ in waiting] or [expiry])
+        yield pd.DataFrame(out, columns=["wallet", "id", "ts_us", "result", "hit"])
+
+    kept = "known string, result string, expiry long, waiting array<struct<ts:long,id:long,hash:string>>"
+    return requests.withWatermark("ts", late).groupBy("wallet").applyInPandasWithState(fold, "wallet string, id long, ts_us long, result string, hit boolean", kept, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def watch_alerts(snapshots: DataFrame, cooldown_s: int = LIMITS.cooldown_s, duplicate_s: int = LIMITS.duplicate_s, late: str = "10 minutes") -> DataFrame:
+    """The watch list with its gated alerts over snapshots (wallet, ts, eligible, changed): as operators.alerts.watch_alerts, as a stream."""
+
+    def fold(key, batches, state: GroupState):
+        import pandas as pd
+
+        watched, checks, count, last_any, last_new, waiting = state.get if state.exists else (False, 0, 0, None, None, [])
+        waiting = [tuple(x) for x in waiting]
+        for pdf in batches:
+            flags = [[bool(x) and not pd.isna(x) for x in pdf[c]] for c in ("eligible", "changed")]
+            waiting += list(zip(_us(pdf["ts"]), *flags, strict=True))
+        due, waiting = _due(waiting, state)
+        out, old = [], lambda last, ts, gap: last is None or ts - last >= gap * 1_000_000
+        for ts, eligible, changed in due:
+            event = ("update" if watched else "insert") if eligible else "delete" if watched else None
+            checks = checks + 1 if eligible else 0
+            kind = "new_watched" if event == "insert" else "activity" if event == "update" and changed and old(last_any, ts, cooldown_s) else None
+            recorded = kind == "activity" or kind == "new_watched" and old(last_new, ts, duplicate_s)
+            count = (count if event == "update" else 0) + recorded
+            last_any, last_new = ts if recorded else last_any, ts if recorded and event == "insert" else last_new
+            watched = eligible
+            if event:
+                out.append((*key, ts, event, checks, kind is not None, kind, recorded, count))
+        state.update((watched, checks, count, last_any, last_new, waiting))
+        _wake(state, [t for t, *_ in waiting])
+        yield pd.DataFrame(out, columns=["wallet", "at_us", "event", "check_count", "should_alert", "type", "recorded", "alert_count"])
+
+    shape = "wallet string, at_us long, event string, check_count long, should_alert boolean, type string, recorded boolean, alert_count long"
+    kept = "watched boolean, checks long, count long, last_any long, last_new long, waiting array<struct<ts:long,eligible:boolean,changed:boolean>>"
+    return snapshots.withWatermark("ts", late).groupBy("wallet").applyInPandasWithState(fold, shape, kept, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def price_buffers(prices: DataFrame, cap: int = 100, late: str = "10 minutes") -> DataFrame:

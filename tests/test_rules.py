@@ -272,6 +272,47 @@ def test_cluster_rounds_equal_the_sequential_fold(spark, folded):
     assert series.greedy_clusters(p.where("corr > 1"), folded=folded).count() == 0
 
 
+@pytest.mark.parametrize("least", [0.3, 0.9])
+def test_only_pairs_in_reach_leave_the_blocks(spark, monkeypatch, least):
+    import numpy as np
+
+    rng, rows = np.random.default_rng(5), []
+    kinds = rng.normal(size=(6, 40)).cumsum(1)
+    for m in range(150):
+        n = [40, 40, 40, 33, 12, 5][m % 6]
+        x = (kinds[m % 5] + rng.normal(size=40) * [0.1, 1.0, 8.0][m % 3])[-n:]
+        x = np.full(n, 3.0) if m % 31 == 0 else x
+        rows += [(m, i, None if m % 17 == 0 and i == 7 else float("nan") if m % 29 == 0 and i == 9 else float(v)) for i, v in enumerate(x, start=1)]
+    s = spark.createDataFrame(rows, "market long, seq long, price double")
+    monkeypatch.setattr(series, "BLOCK", 40)
+    every = {(r["a"], r["b"]): (r["points"], r["corr"]) for r in series.correlations(s, 40).collect()}
+    want = {k: v for k, v in every.items() if v[1] >= least}
+    got = series.correlations(s, 40, least=least)
+    assert {(r["a"], r["b"]): (r["points"], r["corr"]) for r in got.collect()} == want and want
+    some = spark.createDataFrame([k for k in every if sum(k) % 5 == 0], "a long, b long")
+    assert {(r["a"], r["b"]): (r["points"], r["corr"]) for r in series.pair_correlations(s, some, 40).collect()} == {k: every[k] for k in every if sum(k) % 5 == 0}
+    # the block function puts out no more than these, and most pairs are out of reach before any product
+    import pyarrow as pa
+
+    block = [{"market": m, "tail": [p for _, _, p in reversed([r for r in rows if r[0] == m])]} for m in range(150) if m % 6 < 3 and m % 17 and m % 29]
+    batch = pa.RecordBatch.from_pydict({"i": [0], "j": [0], "left": [block], "right": [block]})
+    put_out = sum(b.num_rows for b in series._block_pairs(10, least)(iter([batch])))
+    ids = {r["market"] for r in block}
+    assert put_out == sum(a in ids and b in ids for a, b in want)
+    tails = series._tails(pa.array([block])[0].values)
+    share = series._in_reach(tails, tails, least).mean()
+    assert share < {0.3: 0.75, 0.9: 0.3}[least]
+
+
+def test_a_path_of_edges_takes_few_rounds(spark, monkeypatch):
+    n, rounds, chained = 1500, [], series._chained
+    monkeypatch.setattr(series, "_chained", lambda left: rounds.append(1) or chained(left))
+    edges = {(i, i + 1) for i in range(n)} | {(n + 2 + 3 * i, n + 4 + 3 * i) for i in range(20)}
+    p = spark.createDataFrame([(a, b, 0.9) for a, b in edges], "a long, b long, corr double")
+    got = {(r["cluster"], r["market"]) for r in series.greedy_clusters(p, folded=0).collect()}
+    assert got == greedy(edges) and len(rounds) <= 2
+
+
 def test_clusters_and_breakdowns_of_all_markets(spark, sf_dir):
     from oddsmill.plans import series_queries
     from oddsmill.plans.catalog import QUERIES

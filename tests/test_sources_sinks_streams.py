@@ -244,10 +244,93 @@ def test_streaming_cache_misses(spark, tmp_path):
 
 
 def test_streaming_position_changes_keep_state_between_batches(spark, tmp_path):
-    rows = [[("w", "m", 5.0, at(0)), ("w", "n", 1.0, at(0))], [("w", "m", 7.0, at(5)), ("w", "n", 1.005, at(5))], [("w", "m", 0.0, at(10)), ("w", "n", 0.5, at(10))]]
+    rows = [[("w", "m", 5.0, at(0)), ("w", "n", 1.0, at(0))], [("w", "m", 7.0, at(15)), ("w", "n", 1.005, at(15))], [("w", "m", 6.0, at(10)), ("w", "m", 0.0, at(20)), ("w", "n", 0.5, at(20))], [("x", "x", 0.0, at(900))]]
     s = stream(spark, tmp_path, None, ["wallet", "market", "size", "ts"], rows)
     got = [(r["market"], r["type"], r["old_size"], r["new_size"]) for r in ran(alert_streams.position_changes(s), tmp_path, "changes")]
-    assert sorted(got) == [("m", "closed", 7.0, 0.0), ("m", "increased", 5.0, 7.0), ("m", "new", 0.0, 5.0), ("n", "decreased", 1.005, 0.5), ("n", "new", 0.0, 1.0)]
+    # the row of minute 10 comes after that of minute 15, but within the allowed lateness
+    assert sorted(got) == [("m", "closed", 7.0, 0.0), ("m", "increased", 5.0, 6.0), ("m", "increased", 6.0, 7.0), ("m", "new", 0.0, 5.0), ("n", "decreased", 1.005, 0.5), ("n", "new", 0.0, 1.0)]
+
+
+def test_streaming_snapshots_equal_the_batch(spark, tmp_path):
+    from oddsmill.operators import traders
+
+    snaps = [{("w", "a"): 5.0, ("w", "b"): 1.0, ("v", "a"): 2.0}, {("w", "a"): 5.005, ("w", "c"): 3.0, ("v", "a"): 4.0}, {("w", "c"): 1.0}, {("w", "c"): 1.0, ("w", "a"): 1.0, ("v", "b"): 9.0}]
+    rows = []
+    for i, snap in enumerate(snaps):
+        some = [(w, m, size, at(30 * i)) for (w, m), size in snap.items()]
+        rows += some + [(w, None, None, at(30 * i)) for w in {"w", "v"} - {w for w, _ in snap}]
+    # snapshots come in parts and out of order; a late copy of the first is left out
+    batches = [[rows[0], rows[2], rows[3]], [rows[1], rows[4], rows[6], rows[5]], rows[7:], [rows[0], ("x", "x", 1.0, at(900))], [("w", "zz", 1.0, at(1)), ("x", "x", 1.0, at(901))]]
+    got = {(r["ts_us"], r["wallet"], r["market"], r["type"], r["old_size"], r["new_size"]) for r in ran(alert_streams.snapshot_changes(stream(spark, tmp_path, None, ["wallet", "market", "size", "ts"], batches)), tmp_path, "snaps") if r["wallet"] != "x"}
+    shape, want = "wallet string, market string, size double", set()
+    for i, snap in enumerate(snaps):
+        two = [spark.createDataFrame([(*k, x) for k, x in s.items()], shape) for s in ({} if i == 0 else snaps[i - 1], snap)]
+        want |= {(int(at(30 * i).value // 1000), r["wallet"], r["market"], r["type"], r["old_size"], r["new_size"]) for r in traders.position_changes(*two, ["wallet", "market"]).collect()}
+    assert got == want and {t for _, _, _, t, _, _ in want} == {"new", "increased", "decreased", "closed"}
+
+
+def test_streaming_cached_results_expire(spark, tmp_path):
+    day = 24 * 60
+    rows = [
+        [("w", "h1", 0, at(0)), ("w", "h1", 1, at(day - 1)), ("v", "h9", 10, at(5))],
+        [("w", "h2", 2, at(day - 0.5)), ("w", "h1", 3, at(day - 0.25)), ("w", "h1", 4, at(day + 5))],
+        [("w", "h1", 5, at(3 * day)), ("x", "h", 99, at(3 * day))],
+        [("x", "h", 99, at(3 * day + 20))], [("x", "h", 99, at(6 * day))], [("x", "h", 99, at(6 * day + 1))],
+    ]
+    s = stream(spark, tmp_path, None, ["wallet", "data_hash", "id", "ts"], rows)
+    df = alert_streams.cached_results(s, lambda wallet, h: f"{wallet} by {h}")
+    q = df.writeStream.format("memory").queryName("cached").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    assert q.awaitTermination(120)
+    got = {r["id"]: (r["result"], r["hit"]) for r in spark.table("cached").collect() if r["wallet"] != "x"}
+    assert got == {0: ("w by h1", False), 1: ("w by h1", True), 10: ("v by h9", False), 2: ("w by h2", False), 3: ("w by h1", False), 4: ("w by h1", True), 5: ("w by h1", False)}
+    held = [p.stateOperators[0].numRowsTotal for p in q.recentProgress if p.stateOperators]
+    assert max(held) >= 2 and held[-1] == 1  # only the last wallet's is left
+
+
+def test_streaming_watch_alerts_equal_the_batch(spark, tmp_path):
+    import random
+
+    from oddsmill.operators import alerts
+
+    rng, rows = random.Random(4), []
+    for w in ("a", "b", "c"):
+        t = 0.0
+        for _ in range(60):
+            t += rng.choice([0.2, 0.2, 0.3, 5, 5, 14, 15, 16])
+            rows.append((w, rng.random() < 0.6, rng.random() < 0.7, at(t)))
+    batch = spark.createDataFrame([(w, int(t.value // 1000), e, ch) for w, e, ch, t in rows], "wallet string, at_us long, eligible boolean, changed boolean")
+    want = sorted(map(tuple, alerts.watch_alerts(batch).collect()))
+    rows.sort(key=lambda r: r[3])
+    parts = [rows[i : i + 40] for i in range(0, len(rows), 40)]
+    for p in parts:
+        rng.shuffle(p)
+    s = stream(spark, tmp_path, None, ["wallet", "eligible", "changed", "ts"], [*parts, [("x", False, False, at(9000))]])
+    got = sorted(map(tuple, ran(alert_streams.watch_alerts(s, late="3 hours"), tmp_path, "watch")))
+    assert got == want and len({r[5] for r in want}) == 3 and any(r[4] and not r[6] for r in want)
+    newest = alerts.last_alerts(alerts.watch_alerts(batch), 5).collect()
+    assert [r["at_us"] for r in newest] == sorted((r[1] for r in want if r[6]), reverse=True)[:5]
+
+
+def test_lines_are_numbered_over_splits(spark, tmp_path):
+    from oddsmill.sources import log_files
+
+    for name, n in (("a", 3000), ("b", 7), ("c", 0)):
+        (tmp_path / f"{name}.log").write_text("".join(f"{name} line {i}\n" for i in range(1, n + 1)))
+    (tmp_path / "d.log").write_text("start\nTraceback x\nfine\n" + "".join(f"  KeyError {i} {'y' * 200}\n" for i in range(6)) + "扫描完成\nlast Error\n   \n\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        lines = log_files.numbered_lines(spark, str(tmp_path)).cache()
+        got = lines.where("file like '%a.log' or file like '%b.log'").collect()
+        assert len(got) == 3007 and all(r["line"].endswith(f"line {r['n']}") for r in got)
+        assert lines.where("file like '%a.log'").rdd.getNumPartitions() > 1
+        beats = {r["file"][-5:]: (r["lines"], r["last_line"], r["heartbeat"], r["last_scan"], r["scanned"]) for r in log_files.heartbeats(lines).collect()}
+        assert beats == {"a.log": (3000, "a line 3000", True, None, False), "b.log": (7, "b line 7", True, None, False), "d.log": (13, "last Error", False, 10, True)}
+        (bad,) = log_files.error_messages(lines).collect()
+        listed = bad["message"].split("\n")
+        assert bad["errors"] == 8 and listed[1] == "1. `Traceback x...`" and listed[2] == f"2. `KeyError 0 {'y' * 89}...`" and listed[-1] == "... and 3 more" and len(listed) == 7
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
 
 def test_streaming_price_buffers_are_capped(spark, tmp_path):
