@@ -399,6 +399,33 @@ def wilder(prices, period=14):
     return out
 
 
+def test_macd_over_chunks_equals_the_recursion(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(9)
+    x = {m: 5 + rng.normal(size=n).cumsum() for m, n in ((1, 4000), (2, 1), (3, 700), (4, 30))}
+    s = spark.createDataFrame([(m, 3 * i, float(v)) for m, vs in x.items() for i, v in enumerate(vs)] + [(1, 10, None), (3, 61, float("nan"))], "market long, seq long, price double")
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {(r["market"], r["seq"]): (r["macd"], r["signal"]) for r in series.with_macd(s, 12, 26, 9).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+
+    def ema(vs, span):
+        keep, total, weight, out = 1 - 2 / (span + 1), 0.0, 0.0, []
+        for v in vs:
+            total, weight = total * keep + v, weight * keep + 1
+            out.append(total / weight)
+        return np.array(out)
+
+    assert len(got) == sum(map(len, x.values()))
+    for m, vs in x.items():
+        macd = ema(vs, 12) - ema(vs, 26)
+        want = list(zip(macd.tolist(), ema(macd, 9).tolist(), strict=True))
+        assert [got[m, 3 * i] for i in range(len(vs))] == [pytest.approx(w, abs=1e-9) for w in want]
+
+
 def test_wilder_rsi_over_chunks_equals_one_fold(spark, monkeypatch):
     import numpy as np
 
