@@ -31,6 +31,7 @@ class Limits:
     watch_value: float = 100_000.0
     watch_changes: int = 5
     watch_value_with_changes: float = 50_000.0
+    trades_looked_at: int = 20
     cooldown_s: int = 900
     duplicate_s: int = 60
     alerts_kept: int = 100

@@ -51,3 +51,30 @@ def watchable(value: Column, changes: Column, positions: Column) -> Column:
 def top_per(rows: DataFrame, key: str, by: list[Column], n: int) -> DataFrame:
     """The first n rows of each key, with their rank."""
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*by))).where(F.col("rank") <= n)
+
+
+def activity(changes: DataFrame, trades: DataFrame, looked_at: int = LIMITS.trades_looked_at) -> DataFrame:
+    """(wallet, changes, recent_trades, has_activity) of wallets that appear in either: active by a change or a trade, the older rule.
+
+    Of a wallet's trades up to looked_at count, as many as are asked for.
+    """
+    n = lambda rows, name: rows.groupBy("wallet").agg(F.count("*").alias(name))
+    both = n(changes, "changes").join(n(trades, "recent_trades"), "wallet", "full_outer")
+    count = lambda name: F.coalesce(name, F.lit(0).cast("long"))
+    out = both.select("wallet", count("changes").alias("changes"), F.least(count("recent_trades"), F.lit(looked_at).cast("long")).alias("recent_trades"))
+    return out.withColumn("has_activity", (F.col("changes") > 0) | (F.col("recent_trades") > 0))
+
+
+def records_of(wallets: DataFrame, positions: DataFrame, trades: DataFrame, pnl: DataFrame, latest: int = LIMITS.trades_looked_at) -> DataFrame:
+    """What a look-up of each of some wallets gives: its positions, its latest trades, newest first, and its profit, empty or null if there is none.
+
+    positions (wallet, market, value), trades (wallet, id, ts), pnl (wallet, pnl). Only the asked wallets' rows are gathered; of trades the
+    latest few are kept before they are.
+    """
+    asked = wallets.select("wallet").distinct()
+    held = positions.join(asked, "wallet", "left_semi").groupBy("wallet").agg(F.sort_array(F.collect_list(F.struct((-F.col("value")).alias("o"), "market", "value"))).alias("p"))
+    last = top_per(trades.join(asked, "wallet", "left_semi"), "wallet", [F.desc("ts"), F.desc("id")], latest).groupBy("wallet").agg(F.sort_array(F.collect_list(F.struct("rank", "id"))).alias("t"))
+    out = asked.join(held, "wallet", "left").join(last, "wallet", "left").join(pnl.select("wallet", "pnl"), "wallet", "left")
+    none = lambda kind: F.array().cast(f"array<{kind}>")
+    listed = F.transform("p", lambda x: F.struct(x["market"].alias("market"), x["value"].alias("value")))
+    return out.select("wallet", F.coalesce(listed, none("struct<market:string,value:double>")).alias("positions"), F.coalesce(F.transform("t", lambda x: x["id"]), none("bigint")).alias("trades"), "pnl")

@@ -132,6 +132,27 @@ def interpretation(spark, sf):
     return w.select("wallet", F.concat_ws("; ", bands(c("changes"), [(5, "very active"), (3, "active"), (1, "a few changes")], "no changes"), bands(c("top5"), [(0.7, "highly concentrated"), (0.5, "concentrating")], "spread out"), profit, advice).alias("text"))
 
 
+_MONEY = "format('{:,}', abs(cast(round_even(pnl, 0) as bigint)))"
+
+
+@query("interpretation_text", f"""select wallet, concat_ws(', ',
+ case when changes >= 5 then 'very active of late, ' || changes || ' changes in 24 hours' when changes >= 3 then 'fairly active of late, ' || changes || ' changes in 24 hours' when changes >= 1 then 'a few changes of late, ' || changes || ' in 24 hours' else 'no changes of late' end,
+ case when top5 >= 0.7 then 'holdings highly concentrated, strategy very clear' when top5 >= 0.5 then 'holdings concentrating, strategy getting clear' else 'holdings spread out, strategy unclear' end,
+ case when pnl > 10000 then 'total profit +$' || {_MONEY} || ', in profit' when pnl > 0 then 'total profit +$' || {_MONEY} || ', a small one' when pnl < -10000 then 'total loss -$' || {_MONEY} || ', a large one' when pnl < 0 then 'total loss -$' || {_MONEY} || ', a small one' else 'break-even' end) || '. ' ||
+ case when top5 >= 0.6 and changes >= 3 then 'Follow what it does next: it may show where the market leans' when top5 >= 0.5 then 'Watch whether it converges further' else 'Wait until its strategy is clear' end as text from whale""", "whale")
+def interpretation_text(spark, sf):
+    """The four clauses with their figures: changes of 24 hours, concentration, profit as an amount, advice."""
+    w = whales(spark, sf)
+    n, top5, pnl = c("changes"), c("top5"), c("pnl")
+    money = F.format_number(F.abs(F.bround(pnl, 0)), 0)
+    active = F.when(n >= 5, F.concat(F.lit("very active of late, "), n, F.lit(" changes in 24 hours"))).when(n >= 3, F.concat(F.lit("fairly active of late, "), n, F.lit(" changes in 24 hours"))).when(n >= 1, F.concat(F.lit("a few changes of late, "), n, F.lit(" in 24 hours"))).otherwise("no changes of late")
+    held = bands(top5, [(0.7, "holdings highly concentrated, strategy very clear"), (0.5, "holdings concentrating, strategy getting clear")], "holdings spread out, strategy unclear")
+    sized = lambda start, end: F.concat(F.lit(start), money, F.lit(end))
+    profit = F.when(pnl > 10000, sized("total profit +$", ", in profit")).when(pnl > 0, sized("total profit +$", ", a small one")).when(pnl < -10000, sized("total loss -$", ", a large one")).when(pnl < 0, sized("total loss -$", ", a small one")).otherwise("break-even")
+    advice = F.when((top5 >= 0.6) & (n >= 3), "Follow what it does next: it may show where the market leans").when(top5 >= 0.5, "Watch whether it converges further").otherwise("Wait until its strategy is clear")
+    return w.select("wallet", F.concat(F.concat_ws(", ", active, held, profit), F.lit(". "), advice).alias("text"))
+
+
 #: Labels of kinds of alerts and of changes; others name themselves.
 LABELS = {"whale": "Whale", "arbitrage": "Arbitrage", "system": "System", "new_watched": "Newly watched", "activity": "New activity", "new": "New position", "increased": "Increased", "decreased": "Decreased", "closed": "Closed"}
 _KIND = "case market when 'purchase' then 'new' when 'error' then 'closed' when 'click' then 'activity' else market end"

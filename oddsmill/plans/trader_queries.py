@@ -71,6 +71,25 @@ def position_changes_v1(spark, sf):
     return ops.position_changes(*snapshots(spark, sf), keys=["wallet", "market"]).select("wallet", "market", ops.coarse(F.col("type")).alias("type"))
 
 
+@query("trader_activity", CHANGES + """, n as (select wallet, count(*) as changes from c where type is not null group by wallet), t as (select wallet, least(count(*), 20) as recent_trades from trade where ts >= '2024-01-08' and ts < '2024-01-15' group by wallet)
+select coalesce(n.wallet, t.wallet) as wallet, coalesce(changes, 0) as changes, coalesce(recent_trades, 0) as recent_trades, coalesce(changes, 0) > 0 or coalesce(recent_trades, 0) > 0 as has_activity from n full join t on t.wallet = n.wallet""", "snap")
+def trader_activity(spark, sf):
+    """The older analysis: a trader is active by changes between two snapshots or by trades in the later one's week."""
+    week = trades(spark, sf).where((F.col("ts") >= F.lit("2024-01-08").cast("timestamp")) & (F.col("ts") < F.lit("2024-01-15").cast("timestamp")))
+    return ops.activity(ops.position_changes(*snapshots(spark, sf), keys=["wallet", "market"]), week)
+
+
+@query("wallet_records", """select w.wallet, (select string_agg(market || '=' || v, ',' order by v desc, market) from (select market, cast(round_even(sum(volume) * 100, 0) as bigint) as v from trade t where t.wallet = w.wallet group by market)) as positions,
+ (select string_agg(event_id, ',' order by ts desc, event_id desc) from (select event_id, ts from trade t where t.wallet = w.wallet order by ts desc, event_id desc limit 20)) as trades, pnl from whale w where user_id % 10 < 3""", "whale")
+def wallet_records(spark, sf):
+    """Look-ups of wallets: positions by value in cents, the latest 20 trades, profit."""
+    w, t = whales(spark, sf), trades(spark, sf)
+    held = t.groupBy("wallet", "market").agg(r(F.sum("volume") * 100, 0).alias("value"))
+    found = ops.records_of(w.where("user_id % 10 < 3"), held, t.select("wallet", F.col("event_id").alias("id"), "ts"), w)
+    word = F.array_join(F.transform("positions", lambda p: F.concat_ws("=", p["market"], p["value"].cast("long").cast("string"))), ",")
+    return found.select("wallet", word.alias("positions"), F.array_join(F.transform("trades", lambda i: i.cast("string")), ",").alias("trades"), "pnl")
+
+
 @query("suspicious", "select wallet, positions, value, positions > 50 and value < 1000 * 5 as is_suspicious, changes > 0 and not (positions > 50 and value < 5000) as has_activity from whale", "whale")
 def suspicious(spark, sf):
     w = whales(spark, sf)
