@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches, spread
+from .common import batches_of, cut, spread
 
 BOOKS, WORDS, BEAM, SAMPLE = 48, 16, 4, 8192
 #: Candidates per query that are reranked, codes in a pack, queries in a block, tasks that a block's packs are dealt to.
@@ -267,8 +267,13 @@ def search(table: DataFrame, is_query: Column, k: int = 20, kept: int = KEPT, id
 
     metric "ip" ranks by inner product; "l2" by the squared distance's negative, by the stored norms of codes.
     """
+    # packs are large rows; all that is in Python is run and written inside
+    with batches_of(table.sparkSession, 32):
+        return _search(table, is_query, k, kept, id_col, vector_col, metric)
+
+
+def _search(table: DataFrame, is_query: Column, k: int, kept: int, id_col: str, vector_col: str, metric: str) -> DataFrame:
     spark = table.sparkSession
-    small_batches(spark, 32)
     rows, d = valid_vectors(table, id_col, vector_col)
     empty = "query_id long, rank int, vec_id long, score double"
     if not d:
@@ -306,7 +311,8 @@ def search(table: DataFrame, is_query: Column, k: int = 20, kept: int = KEPT, id
     met = questions.unionByName(shipped).repartition("block", "stripe").sortWithinPartitions("block", "stripe", "kind")
     found = met.mapInArrow(scorer(books, kept + 1, metric), "query_id long, found array<struct<s:float,id:long>>")
     best = lambda: F.slice(F.sort_array(F.flatten(F.collect_list("found"))), 1, kept + 1).alias("found")  # noqa: E731  of a list from each stripe
-    pairs = found.groupBy("query_id").agg(best()).select("query_id", F.explode("found.id").alias("vec_id"))
+    found = cut(found.groupBy("query_id").agg(best()), "found")
+    pairs = found.select("query_id", F.explode("found.id").alias("vec_id"))
     scored = pairs.join(one, "vec_id").join(rows.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
     measure = inner("q", "v") if metric == "ip" else 2 * inner("q", "v") - inner("v", "v") - inner("q", "q")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("int")

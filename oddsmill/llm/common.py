@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scratch import cut, delete, drop_cut, scratch_path, scratch_root, shuffles_freed, small_batches  # noqa: F401  the operators take them from here
+from ..functions.scratch import batches_of, cut, delete, drop_cut, scratch_path, scratch_root, shuffles_freed, small_batches  # noqa: F401  the operators take them from here
 
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"

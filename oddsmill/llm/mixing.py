@@ -7,7 +7,8 @@ A source's demand up to t is its target times the integral so far; its documents
 a queue that is read again from its front when it ends, and the copy whose first word stands at demand d gets the t at
 which demand reaches d. Sorting by t gives the training order.
 
-Running sums over a source go through two levels of hash buckets, so that no task holds a source, however large.
+Running sums over a source go through two levels of hash buckets, so that no task holds a source, however large. Ranks and targets of sources go through windows over all of them in one task, a row of some
+hundred bytes for each distinct source: meant for up to some million sources.
 Sizes are words. Null or wordless texts have size 0 and are never taken; a null source is a source of its own, last in
 order; repeated rows count each; null ids are spread by their text; an empty table gives an empty result. The last copy
 that a target reaches is cut to the words that are left of it, so each source's words taken equal its target, rounded down.
