@@ -14,14 +14,17 @@ from ..functions.scratch import cut
 
 #: Sizes of token sets form classes, each so much larger than the one before.
 CLASS = 1.5
+#: Bytes for each core up to which a table is dealt out anew.
+SMALL = 32 << 20
 #: Similarities tried one after the other for the best match: rows with a valid match above one look no further.
 STEPS = (0.5,)
 
 
 def over_all_cores(df: DataFrame) -> DataFrame:
-    """df, dealt out anew if it is read by fewer tasks than there are cores: a small table may be one row group."""
-    tasks, cores = df._jdf.queryExecution().toRdd().getNumPartitions(), df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if tasks <= cores else df
+    """df, dealt out anew if fewer tasks read it than there are cores and it is small: a small table may be one row group."""
+    plan, cores = df._jdf.queryExecution(), df.sparkSession.sparkContext.defaultParallelism
+    few = plan.toRdd().getNumPartitions() <= cores
+    return df.repartition(cores) if few and int(plan.optimizedPlan().stats().sizeInBytes().toString()) <= SMALL * cores else df
 
 
 def token_sets(rows: DataFrame) -> DataFrame:
@@ -151,8 +154,7 @@ def assembled(left: DataFrame, venues: dict[str, DataFrame], home: str, floor: f
     every = reduce(DataFrame.unionByName, matches)
     # one match a venue, so a group has as many rows as there are venues at most
     by_venue = every.groupBy("id").agg(F.max("similarity").alias("similarity"), F.map_from_entries(F.collect_list(F.struct("venue", F.struct("r_id", "price")))).alias("m"))
-    names = [v for v in venues]
-    listed = F.filter(F.array(*[F.lit(v) for v in names]), lambda v: F.map_contains_key("m", v))
+    listed = F.filter(F.array(*[F.lit(v) for v in venues]), lambda v: F.map_contains_key("m", v))
     rows = by_venue.join(left.select("id", F.col("price").alias("own")), "id")
     prices = F.map_from_arrays(F.concat(F.array(F.lit(home)), listed), F.concat(F.array("own"), F.transform(listed, lambda v: F.element_at("m", v)["price"])))
     return rows.select("id", "similarity", F.map_from_arrays(listed, F.transform(listed, lambda v: F.element_at("m", v)["r_id"])).alias("matches"), prices.alias("prices"))

@@ -297,7 +297,7 @@ def test_streaming_watch_alerts_equal_the_batch(spark, tmp_path):
         t = 0.0
         for _ in range(60):
             t += rng.choice([0.2, 0.2, 0.3, 5, 5, 14, 15, 16])
-            rows.append((w, rng.random() < 0.6, rng.random() < 0.7, at(t)))
+            rows.append((w, rng.random() < 0.6, rng.random() < 0.7, at(0) + pd.Timedelta(seconds=round(t * 60))))
     batch = spark.createDataFrame([(w, int(t.value // 1000), e, ch) for w, e, ch, t in rows], "wallet string, at_us long, eligible boolean, changed boolean")
     want = sorted(map(tuple, alerts.watch_alerts(batch).collect()))
     rows.sort(key=lambda r: r[3])
