@@ -284,3 +284,25 @@ def test_wavelet_tree_reports_rectangles():
         which, found = tree.report(left, right, low, high)
         got = sorted(zip(which.tolist(), found.tolist(), strict=True))
         assert got == sorted((q, int(v)) for q in range(50) for v in values[left[q] : right[q]] if low[q] <= v <= high[q])
+
+
+# what the operators share
+
+
+def test_keys_are_held_in_maps_only_up_to_a_bound(spark):
+    from oddsmill.llm import common
+
+    keys, tasks = spark.range(5), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    hinted = lambda n: "shuffle_hash" in common.hashed(keys, n)._jdf.queryExecution().logical().toString()
+    assert hinted(common.MAP_ROWS * tasks) and not hinted(common.MAP_ROWS * tasks + 1)
+
+
+def test_bounded_batches_end_with_their_block(spark):
+    from oddsmill.llm.common import batches_of
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    with pytest.raises(ZeroDivisionError), batches_of(spark, 3):
+        assert spark.conf.get(key) == "3"
+        1 / 0
+    assert spark.conf.get(key) == before
