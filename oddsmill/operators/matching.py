@@ -24,7 +24,7 @@ def over_all_cores(df: DataFrame) -> DataFrame:
     """df, dealt out anew if fewer tasks read it than there are cores and it is small: a small table may be one row group."""
     plan, cores = df._jdf.queryExecution(), df.sparkSession.sparkContext.defaultParallelism
     few = plan.toRdd().getNumPartitions() <= cores
-    return df.repartition(cores) if few and int(plan.optimizedPlan().stats().sizeInBytes().toString()) <= SMALL * cores else df
+    return df.repartition(cores) if few and int(str(plan.optimizedPlan().stats().sizeInBytes())) <= SMALL * cores else df
 
 
 def token_sets(rows: DataFrame) -> DataFrame:
