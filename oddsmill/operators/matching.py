@@ -30,7 +30,7 @@ def over_all_cores(df: DataFrame) -> DataFrame:
 def token_sets(rows: DataFrame) -> DataFrame:
     """(id, words): the distinct tokens of (id, text) rows; texts without tokens are left out. Texts are read and cut once."""
     sets = over_all_cores(rows.select("id", "text")).select("id", text.token_set(F.col("text")).alias("words"))
-    return cut(sets.where(F.size("words") > 0), "token-sets")
+    return cut(sets, "token-sets").where(F.size("words") > 0)  # before the cut, the condition would cut each text once more
 
 
 def _least_shared(n: Column, m: Column, floor: float) -> Column:

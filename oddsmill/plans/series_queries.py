@@ -98,7 +98,7 @@ def _halves(spark, sf):
 @query("corr_breakdown", DAILY)
 def corr_breakdown(spark, sf):
     """Broken correlations among all markets."""
-    one, two = _halves(spark, sf)
+    one, two = (cut(half, "daily") for half in _halves(spark, sf))  # far fewer rows than trades, and read several times
     base = cut(ops.correlations(one, 50, least=0.5), "base-pairs")  # only these pairs are looked at again
     found = ops.breakdowns(base, ops.pair_correlations(two, base, 50), ops.tail_aligned(two, 50), tau=0.5)
     return found.select("a", "b", "base", "now", "divergence", "direction", "confidence").orderBy(F.desc("divergence"), "a", "b")
