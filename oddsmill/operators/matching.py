@@ -52,10 +52,10 @@ def ordered_sets(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFram
     counts = lambda rows, name: rows.groupBy("token").agg(F.count("*").alias(name))
     # what is written has a known size, so that it is broadcast only if it is small
     l = cut(counts(exploded(left), "l"), "left-tokens")  # noqa: E741
-    rows = cut(exploded(right).join(l.select("token"), "token", "left_semi"), "right-tokens")
-    both = cut(counts(rows, "r").join(l, "token").select("token", (F.col("l") * F.col("r")).alias("weight")), "shared-tokens")
+    shared = exploded(right).join(l.select("token"), "token", "left_semi")
+    both = cut(counts(shared, "r").join(l, "token").select("token", (F.col("l") * F.col("r")).alias("weight")), "shared-tokens")
     place = lambda rows: cut(rows.join(both, "token").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("weight", "token"))).alias("w")).select("id", "n", F.col("w.token").alias("words")), "ordered-sets")
-    return place(exploded(left)), place(rows)
+    return place(exploded(left)), place(exploded(right))
 
 
 def candidates(left: DataFrame, right: DataFrame, floor: float) -> DataFrame:
