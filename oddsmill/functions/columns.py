@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def rounded(c: Column, places: int = 6) -> Column:
-    """Half to even, as doubles are rounded elsewhere too."""
-    return F.bround(c, places)
+    """Doubles, half to even of the scaled double, as SQL's round_even does; bround would decide halves by the shortest decimal text."""
+    return F.rint(c * float(10**places)) / float(10**places)
+
+
+def summed(rows: DataFrame, keys: list[str], value: str, order: list[str], name: str = "value") -> DataFrame:
+    """(keys, name, n): sums and counts of groups, added up one row after the other in a fixed order.
+
+    A sum of doubles depends on its order, so sums that are compared or ranked mustn't follow how rows lie in files and tasks.
+    """
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    running = rows.withColumn("running_", F.sum(value).over(w))
+    return running.groupBy(*keys).agg(F.max_by("running_", F.struct(*order)).alias(name), F.count("*").alias("n"))
 
 
 def ratio(a: Column, b: Column) -> Column:
