@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..config import AS_OF
-from ..functions.columns import epoch_us
+from ..functions.columns import epoch_us, summed
 from ..operators import alerts as ops
 from ..sources.market_tables import reports, trades
 from .registry import query
@@ -151,8 +151,9 @@ from f where event is not null"""
 @query("watch_alerts", _WATCHED)
 def watch_alerts(spark, sf):
     """The watch list over daily snapshots with its gated alerts: four days between alerts, so that the gate is met."""
-    day = F.date_trunc("day", "ts")
-    s = trades(spark, sf).groupBy("wallet", epoch_us(day).alias("at_us")).agg((F.sum("volume") >= 150).alias("eligible"), (F.count("*") > 1).alias("changed"))
+    t = trades(spark, sf).withColumn("at_us", epoch_us(F.date_trunc("day", "ts")))
+    days = summed(t, ["wallet", "at_us"], "volume", ["ts", "event_id"])
+    s = days.select("wallet", "at_us", (c("value") >= 150).alias("eligible"), (c("n") > 1).alias("changed"))
     return ops.watch_alerts(s, cooldown_s=4 * 86_400)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import AS_OF
-from ..functions.columns import ratio, rounded, table
+from ..functions.columns import ratio, rounded, summed, table
 
 
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,8 +41,9 @@ def price_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def holdings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Position values: wallet by market and week."""
-    return trades(spark, sf_dir).groupBy("wallet", "user_id", "market", F.date_trunc("week", "ts").alias("week")).agg(F.sum("volume").alias("value"))
+    """Position values: wallet by market and week, trades added up in their order."""
+    t = trades(spark, sf_dir).withColumn("week", F.date_trunc("week", "ts"))
+    return summed(t, ["wallet", "user_id", "market", "week"], "volume", ["ts", "event_id"]).drop("n")
 
 
 def snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -439,3 +439,25 @@ def test_wilder_rsi_over_chunks_equals_one_fold(spark, monkeypatch):
         assert len(got) == sum(map(len, x.values()))  # rows without a price are left out
         for m, vs in x.items():
             assert [got[m, 3 * i] for i in range(len(vs))] == pytest.approx(wilder(list(map(float, vs))), abs=1e-7)
+
+
+def test_rates_at_a_half_round_as_the_sql_does(spark, duck):
+    """5710 of 20000 is 28.55 %, whose double's shortest text lies below the half; 5530 is 27.65, whose text lies above it."""
+    rows = spark.createDataFrame([(1, "ask", 0, 0.5, 5710.0), (2, "ask", 0, 0.5, 5530.0), (3, "ask", 0, 0.5, 5490.0)], "market int, side string, level long, price double, size double")
+    got = {r["market"]: r["fill_rate"] for r in orderbook.impact(rows, 20000).collect()}
+    want = dict(duck.execute("select m, round_even(f / 20000.0 * 100, 1) from (values (1, 5710::double), (2, 5530::double), (3, 5490::double)) t(m, f)").fetchall())
+    assert got == want == {1: 28.6, 2: 27.6, 3: want[3]}
+
+
+def test_sums_of_groups_follow_the_given_order_not_the_files(spark):
+    """Prices in cents add up to different doubles in different orders; a comparison of two sums must not depend on tasks."""
+    from oddsmill.functions.columns import summed
+
+    rng = random.Random(5)
+    rows = [(i, i % 40, round(rng.random() * 500, 2)) for i in range(4000)]
+    want = {g: 0.0 for g in range(40)}
+    for _, g, v in rows:
+        want[g] += v
+    for parts in (1, 7):
+        df = spark.createDataFrame(rng.sample(rows, len(rows)), "i int, g int, v double").repartition(parts)
+        assert {r["g"]: (r["value"], r["n"]) for r in summed(df, ["g"], "v", ["i"]).collect()} == {g: (want[g], 100) for g in want}
