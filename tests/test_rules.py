@@ -461,3 +461,27 @@ def test_sums_of_groups_follow_the_given_order_not_the_files(spark):
     for parts in (1, 7):
         df = spark.createDataFrame(rng.sample(rows, len(rows)), "i int, g int, v double").repartition(parts)
         assert {r["g"]: (r["value"], r["n"]) for r in summed(df, ["g"], "v", ["i"]).collect()} == {g: (want[g], 100) for g in want}
+
+
+def test_pairs_meet_in_cells_without_copies_of_all_blocks(spark, monkeypatch):
+    """A row is sent to at most `most` cells, each pair meets in one of them, and results are those of the plain definitions."""
+    import numpy as np
+
+    rng, most = np.random.default_rng(3), 16
+    monkeypatch.setattr(series, "BLOCK", 5)
+    monkeypatch.setattr(series, "WIDTH", 7)
+    lengths = [12, 15, 11, 9, 14]
+    one = spark.createDataFrame([(m, i, float(v)) for m in range(300) for i, v in enumerate(rng.normal(size=lengths[m % 5]))], "market long, seq long, price double")
+    two = spark.createDataFrame([(m, i, float(v)) for m in range(290) for i, v in enumerate(rng.normal(size=lengths[m % 4]))], "market long, seq long, price double")
+    assert series._cells(series.tails_of(one, 50)).count() == 300 * most
+    every = {(r["a"], r["b"]): r["corr"] for r in series.correlations(one, 50).collect()}
+    assert len(every) == 300 * 299 // 2
+    base = series.correlations(one, 50, least=0.5)
+    want = series.breakdowns(base, series.pair_correlations(two, base, 50), series.tail_aligned(two, 50), tau=0.5)
+    names = ["a", "b", "base", "now", "divergence", "direction", "confidence"]
+    got = [tuple(r) for r in series.broken_pairs(one, two, 50, tau=0.5).select(*names).collect()]
+    assert sorted(got) == sorted(tuple(r) for r in want.select(*names).collect()) and got
+    for batch in (3, 1000):
+        found = {(r["cluster"], r["market"]) for r in series.seed_clusters(one, 50, 0.5, batch=batch).select("cluster", "market").collect()}
+        assert found == greedy({p for p, c in every.items() if c >= 0.5})
+    assert series.seed_clusters(one.where("1 = 0"), 50, 0.5).count() == 0
