@@ -14,8 +14,11 @@ and null ids are answered row by row; other columns are ignored; an empty table
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -116,6 +119,14 @@ def _features(batches):
         yield pa.RecordBatch.from_pydict({"lang": batch.column(0), "x": pa.array([v.tobytes() for v in x], pa.binary())})
 
 
+def _fitted(batches):
+    """mapInArrow function: all rows (lang, x) of the sample to one row, the pickled model."""
+    rows = sorted(row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+    if rows:
+        model = fit(np.stack([np.frombuffer(x, np.float32) for _, x in rows]), [lang for lang, _ in rows])
+        yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(model)], pa.binary())})
+
+
 def learn(docs: DataFrame, learning: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict | None:
     """A model from rows for which learning holds and lang and text are given; texts stay on the executors."""
     small_batches(docs.sparkSession)
@@ -133,11 +144,9 @@ def learn(docs: DataFrame, learning: Column, id_col: str = "doc_id", text_col: s
     near = near.groupBy("lang", "spot").agg(F.first("text").alias("text"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy("spot"))
     picked = near.withColumn("place", place).where(F.col("place") <= quota).select("lang", "text")
-    sample = picked.mapInArrow(_features, "lang string, x binary").toPandas()
-    if not len(sample):
-        return None
-    sample = sample.sort_values(["lang", "x"])
-    return fit(np.stack([np.frombuffer(b, np.float32) for b in sample["x"]]), list(sample["lang"]))
+    # fitted in a task, whose rows MOST_ROWS bounds: the driver takes only the model
+    model = picked.mapInArrow(_features, "lang string, x binary").repartition(1).mapInArrow(_fitted, "model binary").first()
+    return pickle.loads(model["model"]) if model else None
 
 
 def identify(docs: DataFrame, model: dict | None, text_col: str = "text", carry: dict[str, Column] | None = None) -> DataFrame:
@@ -151,13 +160,14 @@ def identify(docs: DataFrame, model: dict | None, text_col: str = "text", carry:
 
 
 def known_only(docs: DataFrame, model: dict | None, text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, to which identify gives a language, clear or ambiguous: all but `und`."""
+    """The rows of docs, all columns, to which the model gives a language, clear or ambiguous: each text is decoded, `und` goes."""
     small_batches(docs.sparkSession)
-    at = docs.columns.index(text_col)
+    at, predict = docs.columns.index(text_col), predictor(model)
 
     def keep(batches):
         for batch in batches:
-            known = [bool(model) and has_letter(t) for t in batch.column(at).to_pylist()]
-            yield batch.filter(pa.array(known, pa.bool_()))
+            texts = pa.RecordBatch.from_arrays([batch.column(at), batch.column(at)], names=["row", "text"])
+            (found,) = predict([texts])
+            yield batch.filter(pc.not_equal(found.column("lang_pred"), "und"))
 
     return docs.mapInArrow(keep, docs.schema)

@@ -44,3 +44,14 @@ def test_stages_take_odd_rows(spark, sf_dir):
         assert kept[name] is None or {r["doc_id"] for r in rows} == kept[name], name
         assert name == "packing" or out.schema == df.schema and all(r["uid"] == "x" for r in rows), name
         assert stage(spark, none(spark), sf_dir).count() == 0, name
+
+
+def test_language_stage_asks_the_model(spark, sf_dir, monkeypatch):
+    """Which rows stay follows from the decoded languages, not from letters alone."""
+    from oddsmill.llm import language_id
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(50)
+    model = {"names": ["a", "und"], "code": language_id.codewords(2), "w": language_id.np.full((language_id.BUCKETS, 1), -1.0, "f4"), "weights": language_id.np.ones(1, "f4")}
+    answers = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(docs, model).collect()}
+    assert set(answers.values()) >= {"und"}
+    assert {r["doc_id"] for r in language_id.known_only(docs, model).collect()} == {i for i, lang in answers.items() if lang != "und"}
