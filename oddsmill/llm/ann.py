@@ -2,16 +2,19 @@
 
 A vector is coded as the sum of one word from each of several full-dimensional codebooks. Codebooks begin as residual
 k-means on a bounded sample (SAMPLE rows with the least id hashes), then alternate beam-search encoding with joint least
-squares. All vectors are encoded by beam search and kept with the squared norm of their code.
+squares. All vectors are encoded by beam search and kept with the length of what the code leaves over (miss). Lengths are measured
+in the sample's median; vectors longer than FAR of them teach nothing, are shortened to be coded, and lie in a cell that all queries probe.
 
 Codes are dealt to cells by their first three words, 4,096 at most whatever the table's size. A query probes cells in the
 order of its inner products with these words until they hold a share of all codes, SCAN of them at least. The share is measured:
 it is the least one in which NEAR of the true neighbours of PROBED rows of the sample are found. Clustered tables need few
 cells; where vectors spread evenly over all directions, nearly all must be looked at, and then work grows as rows times queries.
 Cells next to each other form packs of about PACK codes, a larger cell several; queries with like best cells form blocks of
-about BLOCK. A block meets the packs that its queries probe, one after the other, dealt over STRIPES tasks at most; each keeps
-only the best KEPT of a query, scored by look-ups of its inner products with the words (two words of 16 to a byte). The best
-over all stripes are reranked with exact inner products in double precision on the original vectors.
+about BLOCK. A block meets the packs that its queries probe, one after the other, dealt over STRIPES tasks at most; codes
+are scored by look-ups of a query's inner products with the words (two words of 16 to a byte). A true product differs from a code's by
+the product of the query's length and the miss at most. So the KEPT best codes of a pack are measured first, on the original vectors in
+double precision, and after them every code that may still be among the best so far: of what is probed nothing is lost, however
+coarse the codes are. A stripe returns a query's k + 1 best with their exact scores.
 
 Only one row of each distinct vector, that with the least id, is coded and scored, so that copies take no places from
 others; the best are expanded to the ids of their copies at the end. Ties go to the smaller id. Vectors null, zero, holding null or
@@ -30,11 +33,13 @@ from pyspark.sql import functions as F
 from .common import batches_of, cut, spread
 
 BOOKS, WORDS, BEAM, SAMPLE = 48, 16, 4, 8192
-#: Candidates per query that are reranked, codes in a pack, queries in a block, tasks that a block's packs are dealt to.
+#: Codes of a pack that a query measures first, codes in a pack, queries in a block, tasks that a block's packs are dealt to.
 KEPT, PACK, BLOCK, STRIPES = 200, 16_384, 1024, 16
+#: Bytes of vectors in a pack at most; the length, in medians, of vectors that are always probed.
+PACK_BYTES, FAR = 4 << 20, 4.0
 #: Words that name a cell; codes that a query looks at, at least; sample rows whose neighbours must lie in what is probed, and
 #: the part of them that must.
-NAMED, SCAN, PROBED, NEAR = 3, 16_384, 256, 0.97
+NAMED, SCAN, PROBED, NEAR = 3, 16_384, 256, 0.99
 #: Parts that a group of equal vectors is dealt to before its least ids are known.
 PARTS = 32
 
@@ -99,24 +104,44 @@ def valid_vectors(table: DataFrame, id_col: str, vector_col: str) -> tuple[DataF
     return (rows.where(F.size("v") == common["d"]), common["d"]) if common else (rows, 0)
 
 
-def _floats(column, rows: int, scale: float) -> np.ndarray:
-    """Vectors for coding: divided by the table's largest component, so that doubles of any size fit."""
-    return (np.asarray(column.flatten(), np.float64).reshape(rows, -1) / scale).astype(np.float32)
+def lengths(x: np.ndarray) -> np.ndarray:
+    """Euclidean norms, of doubles of any size."""
+    most = np.abs(x).max(1, initial=0.0)
+    unit = np.where(most > 0, most, 1.0)
+    return most * np.sqrt(((x / unit[:, None]) ** 2).sum(1))
+
+
+def _doubles(column, rows: int, scale: float) -> np.ndarray:
+    return np.asarray(column.flatten(), np.float64).reshape(rows, -1) / scale
+
+
+def shortened(x: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Vectors for coding: none is longer than FAR, so that squares fit."""
+    return (x * np.minimum(1.0, FAR / np.maximum(size, FAR))[:, None]).astype(np.float32)
 
 
 def cells_of(codes: np.ndarray) -> np.ndarray:
     return codes[:, :NAMED].astype(np.int64) @ (WORDS ** np.arange(NAMED))[::-1]
 
 
+def encoded(x: np.ndarray, books: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Cells (the last is that of far vectors), codes, misses and lengths. A miss allows for the rounding of sums of words."""
+    size = lengths(x)
+    codes = beam_encode(shortened(x, size), books, beam)
+    words = [books[b][codes[:, b]].astype(np.float64) for b in range(len(books))]
+    miss = lengths(x - sum(words)) + 6e-8 * (x.shape[1] + len(books)) * sum(lengths(w) for w in words)
+    return np.where(size > FAR, WORDS**NAMED, cells_of(codes)), codes, np.nan_to_num(miss, nan=np.inf), size
+
+
 def encoder(books: np.ndarray, beam: int, scale: float):
-    """mapInArrow function: (vec_id, v) to (vec_id, cell, code, norm2); a code has two words in a byte."""
+    """mapInArrow function: (vec_id, v) to (vec_id, cell, code, miss, size, v as bytes); a code has two words in a byte."""
 
     def encode(batches):
         for batch in batches:
-            codes = beam_encode(_floats(batch.column(1), batch.num_rows, scale), books, beam)
-            norms = (sum(books[b][codes[:, b]] for b in range(len(books))) ** 2).sum(1)
+            raw = np.asarray(batch.column(1).flatten()).reshape(batch.num_rows, -1)
+            cells, codes, miss, size = encoded(_doubles(batch.column(1), batch.num_rows, scale), books, beam)
             packed = codes[:, ::2] * np.uint8(WORDS) + codes[:, 1::2]
-            yield pa.RecordBatch.from_pydict({"vec_id": batch.column(0), "cell": pa.array(cells_of(codes).astype(np.int32)), "code": pa.array([c.tobytes() for c in packed], pa.binary()), "norm2": pa.array(norms.astype(np.float32))})
+            yield pa.RecordBatch.from_pydict({"vec_id": batch.column(0), "cell": pa.array(cells.astype(np.int32)), "code": pa.array([c.tobytes() for c in packed], pa.binary()), "miss": pa.array(miss), "size": pa.array(size), "v": pa.array([r.tobytes() for r in raw], pa.binary())})
 
     return encode
 
@@ -138,6 +163,7 @@ class Cells:
 
     def __init__(self, counts: np.ndarray, books: np.ndarray, metric: str):
         self.counts, self.books, self.metric, self.share, self.scan = counts, books[:NAMED], metric, 1.0, SCAN
+        self.near = counts[:-1]  # all but the far vectors' cell
         self.norms = (self._sums(list(self.books)) ** 2).sum(1) if metric == "l2" else None
 
     @staticmethod
@@ -149,41 +175,42 @@ class Cells:
         return out
 
     def order(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Cells by liking, and the share of all codes in them so far."""
+        """Cells by liking, and the share of all codes but far vectors' in them so far."""
         s = self._sums([b @ q.T for b in self.books]).T
         if self.norms is not None:
             s = 2 * s - self.norms
         order = np.argsort(-s, axis=1, kind="stable")
-        return order, np.cumsum(self.counts[order], axis=1) / max(self.counts.sum(), 1)
+        return order, np.cumsum(self.near[order], axis=1) / max(self.near.sum(), 1)
 
-    def measure(self, x: np.ndarray, codes: np.ndarray, k: int) -> None:
-        """Sets the share by which NEAR of the k true neighbours of some rows of a sample are reached."""
+    def measure(self, x: np.ndarray, cells: np.ndarray, k: int) -> None:
+        """Sets the share by which NEAR of the k true neighbours of some rows of a sample are reached; far ones always are."""
         q = x[:PROBED]
         s = q @ x.T if self.metric == "ip" else 2 * q @ x.T - (x**2).sum(1)
         s[np.arange(len(q)), np.arange(len(q))] = -np.inf
-        best = np.argsort(-s, axis=1)[:, : min(k, len(x) - 1)]
-        order, seen = self.order(q)
-        place = np.argsort(order, axis=1)
-        depth = np.take_along_axis(seen, np.take_along_axis(place, cells_of(codes)[best], 1), 1)
+        best = cells[np.argsort(-s, axis=1)[:, : min(k, len(x) - 1)]]
+        order, seen = self.order(shortened(q, lengths(q)))
+        place, far = np.argsort(order, axis=1), best == len(self.near)
+        depth = np.where(far, 0.0, np.take_along_axis(seen, np.take_along_axis(place, np.where(far, 0, best), 1), 1))
         self.share = float(np.quantile(depth, NEAR)) if depth.size else 1.0
 
     def probed(self, q: np.ndarray) -> list[np.ndarray]:
         order, seen = self.order(q)
-        share = max(self.share, min(1.0, self.scan / max(self.counts.sum(), 1)))
+        share = max(self.share, min(1.0, self.scan / max(self.near.sum(), 1)))
         return [o[: int(np.searchsorted(n, share - 1e-12)) + 1] for o, n in zip(order, seen, strict=True)]
 
 
 def prober(cells: Cells, first: np.ndarray, groups: np.ndarray, scale: float):
-    """mapInArrow function: queries (vec_id, v) to (query_id, home, v, cells as bits, packs); home is the best cell."""
+    """mapInArrow function: queries (vec_id, v) to (query_id, home, v as bytes, cells as bits, packs); home is the best cell."""
 
     def probe(batches):
         for batch in batches:
-            q = _floats(batch.column(1), batch.num_rows, scale)
+            raw, q = np.asarray(batch.column(1).flatten()).reshape(batch.num_rows, -1), _doubles(batch.column(1), batch.num_rows, scale)
             out = []
-            for query, x, chosen in zip(batch.column(0).to_pylist(), q, cells.probed(q), strict=True):
+            for query, x, chosen in zip(batch.column(0).to_pylist(), raw, cells.probed(shortened(q, lengths(q))), strict=True):
                 bits = np.zeros(len(cells.counts), bool)
-                bits[chosen] = True
-                held = chosen[cells.counts[chosen] > 0]
+                bits[chosen] = bits[-1] = True
+                held = np.append(chosen, len(cells.near))
+                held = held[cells.counts[held] > 0]
                 packs = sorted({int(p) for c in held for p in range(first[c], first[c] + groups[c])})
                 out.append((query, int(chosen[0]), x.tobytes(), np.packbits(bits).tobytes(), packs))
             kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int32()))
@@ -197,63 +224,107 @@ def _pack(group):
     import pandas as pd
 
     group = group.sort_values(["cell", "vec_id"])
-    return pd.DataFrame({"pack": group["pack"].iloc[:1].to_numpy(), "ids": [group["vec_id"].to_numpy().astype("<i8").tobytes()], "in_cell": [group["cell"].to_numpy().astype("<i4").tobytes()], "codes": [b"".join(group["code"])], "norms": [group["norm2"].to_numpy().astype("<f4").tobytes()]})
-
-
-def scorer(books: np.ndarray, kept: int, metric: str):
+    return pd.DataFrame({"pack": group["pack"].iloc[:1].to_numpy(), "ids": [group["vec_id"].to_numpy().astype("<i8").tobytes()], "in_cell": [group["cell"].to_numpy().astype("<i4").tobytes()], "codes": [b"".join(group["code"])], "bounds": [group[["miss", "size"]].to_numpy().astype("<f8").tobytes()], "vectors": [b"".join(group["v"])]})
+
+
+def measures(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
+    """Scores of rows, by sums from the first component to the last, so that they don't depend on how rows were gathered."""
+    inner = lambda a: np.cumsum(a, axis=1)[:, -1] + 0.0
+    return inner(x * q) if metric == "ip" else 2 * inner(x * q) - inner(x * x) - inner((q * q)[None])
+
+
+class Question:
+    """A query of a block: its look-up table, and the best rows so far with their scores, ties to the smaller id."""
+
+    def __init__(self, v: np.ndarray, cells: np.ndarray, books: np.ndarray, metric: str, most: int, scale: float):
+        self.q, self.cells, self.metric, self.most, self.scale = v.astype(np.float64), cells, metric, most, scale
+        self.size = float(lengths(self.q[None] / scale)[0])
+        p = books @ (self.q / scale / self.size).astype(np.float32)
+        self.table = (p[::2, :, None] + p[1::2, None, :]).reshape(len(books) // 2, -1)
+        self.s, self.ids = np.zeros(0), np.zeros(0, np.int64)
+
+    def low(self) -> float:
+        """The least score that still counts."""
+        return self.s[-1] if len(self.s) == self.most else -np.inf
+
+    def reach(self, words: np.ndarray, miss: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The best that rows can score by their codes, and so much more as rounding may take, as scores."""
+        s = self.table[0].take(words[0])
+        for b in range(1, len(words)):
+            s += self.table[b].take(words[b])
+        top = (s + miss) * self.size
+        if self.metric == "l2":
+            top = 2 * top - size**2 - self.size**2 + 1e-9 * (size + self.size) ** 2
+        return np.nan_to_num((top + 1e-9 * size * self.size) * self.scale * self.scale, nan=np.inf, posinf=np.inf, neginf=-np.inf)
+
+    def meet(self, rows: np.ndarray, x: np.ndarray, ids: np.ndarray, size: np.ndarray) -> None:
+        """Measures rows: by a product first, then to the last bit those that it leaves in question."""
+        if len(rows) > self.most:
+            s = (x @ self.q)[rows] if 2 * len(rows) > len(x) else x[rows] @ self.q
+            doubt = 1e-9 * size[rows] * self.size * self.scale * self.scale
+            if self.metric == "l2":
+                s = 2 * s - (size[rows] * self.scale) ** 2 - (self.size * self.scale) ** 2
+                doubt = 1e-9 * ((size[rows] + self.size) * self.scale) ** 2
+            low = max(self.low(), np.partition(s - doubt, len(s) - self.most)[len(s) - self.most])
+            rows = rows[~(s + doubt < low)]
+        s, found = np.concatenate([self.s, measures(x[rows], self.q, self.metric)]), np.concatenate([self.ids, ids[rows]])
+        best = np.lexsort((found, -s))[: self.most]
+        self.s, self.ids = s[best], found[best]
+
+    def ask(self, words: np.ndarray, in_cell: np.ndarray, miss: np.ndarray, size: np.ndarray, x: np.ndarray, ids: np.ndarray, first: int) -> None:
+        """Meets the rows of a pack that can be among the best: the `first` most promising, then what may still be."""
+        rows = np.flatnonzero(self.cells[in_cell])
+        if not len(rows):
+            return
+        reach = self.reach(words if len(rows) == len(ids) else words[:, rows], miss[rows], size[rows])
+        live = np.flatnonzero(reach >= self.low())
+        if len(live) > 2 * first:
+            lead = np.argpartition(miss[rows[live]] * self.size * self.scale * self.scale * (2 if self.metric == "l2" else 1) - reach[live], first)[:first]
+            self.meet(rows[live[lead]], x, ids, size)
+            live = np.delete(live, lead)
+            live = live[reach[live] >= self.low()]
+        if len(live):
+            self.meet(rows[live], x, ids, size)
+
+
+def scorer(books: np.ndarray, most: int, kept: int, metric: str, scale: float, kind: str):
     """mapInArrow function: rows by block and stripe, queries (kind 0: id, v, cells) before packs (kind 1), to each query's best.
 
     A task holds one block's queries with their best so far, and one pack.
     """
-    m, n_cells = len(books) // 2, WORDS**NAMED
+    m, n_cells = len(books) // 2, WORDS**NAMED + 1
 
     def closed(held: dict):
-        held = {i: h for i, h in held.items() if len(h["s"])}
-        offsets = np.cumsum([0, *[len(h["s"]) for h in held.values()]]).astype(np.int32)
-        flat = pa.StructArray.from_arrays([pa.array(-np.concatenate([np.zeros(0, np.float32), *[h["s"] for h in held.values()]])), pa.array(np.concatenate([np.zeros(0, np.int64), *[h["ids"] for h in held.values()]]))], names=["s", "id"])
+        held = {i: h for i, h in held.items() if len(h.s)}
+        offsets = np.cumsum([0, *[len(h.s) for h in held.values()]]).astype(np.int32)
+        flat = pa.StructArray.from_arrays([pa.array(-np.concatenate([np.zeros(0), *[h.s for h in held.values()]])), pa.array(np.concatenate([np.zeros(0, np.int64), *[h.ids for h in held.values()]]))], names=["s", "id"])
         return pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), flat)], names=["query_id", "found"])
 
     def score(batches):
         at, held = None, {}
         for batch in batches:
-            for block, stripe, kind, query, v, cells, ids, in_cell, codes, norms in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for row in range(batch.num_rows):
+                block, stripe, is_pack, query = (batch.column(c)[row].as_py() for c in range(4))
+                v, cells, ids, in_cell, codes, bounds, vectors = (batch.column(c)[row].as_buffer() for c in range(4, 11))
                 if at != (block, stripe):
                     if held:
                         yield closed(held)
                     at, held = (block, stripe), {}
-                if kind == 0:
-                    q = books @ np.frombuffer(v, "<f4")
-                    table = (q[::2, :, None] + q[1::2, None, :]).reshape(m, -1)
-                    held[query] = {"table": table, "cells": np.unpackbits(np.frombuffer(cells, np.uint8), count=n_cells).astype(bool), "s": np.zeros(0, np.float32), "ids": np.zeros(0, np.int64)}
+                if not is_pack:
+                    held[query] = Question(np.frombuffer(v, kind), np.unpackbits(np.frombuffer(cells, np.uint8), count=n_cells).astype(bool), books, metric, most, scale)
                     continue
-                ids, in_cell, norms = np.frombuffer(ids, "<i8"), np.frombuffer(in_cell, "<i4"), np.frombuffer(norms, "<f4")
+                ids, in_cell = np.frombuffer(ids, "<i8"), np.frombuffer(in_cell, "<i4")
                 words = np.frombuffer(codes, np.uint8).reshape(-1, m).T.astype(np.intp)
+                miss, size = np.frombuffer(bounds, "<f8").reshape(-1, 2).T
+                x = np.frombuffer(vectors, kind).reshape(len(ids), -1).astype(np.float64)
                 for h in held.values():
-                    rows = np.flatnonzero(h["cells"][in_cell])
-                    if not len(rows):
-                        continue
-                    mine = words if len(rows) == len(ids) else words[:, rows]
-                    s = h["table"][0].take(mine[0])
-                    for b in range(1, m):
-                        s += h["table"][b].take(mine[b])
-                    if metric == "l2":
-                        s = 2 * s - norms[rows]
-                    s, found = np.concatenate([h["s"], s]), np.concatenate([h["ids"], ids[rows]])
-                    if len(s) > kept:
-                        low = np.partition(s, len(s) - kept)[len(s) - kept]
-                        best = np.concatenate([np.flatnonzero(s > low), np.flatnonzero(s == low)])[:kept]
-                        s, found = s[best], found[best]
-                    h["s"], h["ids"] = s, found
+                    h.ask(words, in_cell, miss, size, x, ids, kept)
         if held:
             yield closed(held)
 
     return score
 
 
-def inner(a: str, b: str) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-
 def copies(rows: DataFrame, kept: int) -> DataFrame:
     """ids: of each distinct vector the `kept` least ids, in order. Parts of a group are cut to as many before they meet."""
     hashed = rows.select(F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(1), "v").alias("h2"), "vec_id").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(PARTS)))
@@ -265,7 +336,7 @@ def copies(rows: DataFrame, kept: int) -> DataFrame:
 def search(table: DataFrame, is_query: Column, k: int = 20, kept: int = KEPT, id_col: str = "vec_id", vector_col: str = "embedding", metric: str = "ip") -> DataFrame:
     """query_id, rank, vec_id, score: the k best candidates of each row for which is_query (over vec_id) holds.
 
-    metric "ip" ranks by inner product; "l2" by the squared distance's negative, by the stored norms of codes.
+    metric "ip" ranks by inner product; "l2" by the squared distance's negative.
     """
     # packs are large rows; all that is in Python is run and written inside
     with batches_of(table.sparkSession, 32):
@@ -283,21 +354,24 @@ def _search(table: DataFrame, is_query: Column, k: int, kept: int, id_col: str,
         rows = cut(rows.groupBy("vec_id").agg(F.min("v").alias("v")), "vectors")
     groups = cut(copies(rows, k + 1), "copies")
     one = cut(rows.join(groups.select(F.col("ids")[0].alias("vec_id")), "vec_id", "left_semi").select("vec_id", "v"), "distinct-vectors")
-    scale = float(one.select(F.max(F.array_max(F.transform("v", F.abs)))).first()[0])
+    kind = "<f4" if rows.schema["v"].dataType.elementType.simpleString() == "float" else "<f8"
     sample = one.orderBy(spread("vec_id"), "vec_id").limit(SAMPLE).toPandas()
-    x = (np.stack(sample["v"]).astype(float) / scale).astype(np.float32)
-    books = fit_books(x)
-    codes = cut(one.select("vec_id", "v").mapInArrow(encoder(books, BEAM, scale), "vec_id long, cell int, code binary, norm2 float"), "codes")
-    counts = np.zeros(WORDS**NAMED, np.int64)
+    x = np.stack(sample["v"]).astype(float)
+    size = lengths(x)
+    scale = float(np.sort(size)[(len(size) - 1) // 2])
+    x, size = x / scale, size / scale
+    books = fit_books(x[size <= FAR])
+    codes = cut(one.select("vec_id", "v").mapInArrow(encoder(books, BEAM, scale), "vec_id long, cell int, code binary, miss double, size double, v binary"), "codes")
+    counts = np.zeros(WORDS**NAMED + 1, np.int64)
     for r in codes.groupBy("cell").count().collect():  # a row for each cell
         counts[r["cell"]] = r["count"]
     cells = Cells(counts, books, metric)
-    cells.measure(x, beam_encode(x, books, BEAM), k)
+    cells.measure(x, encoded(x, books, BEAM)[0], k)
     deal = lambda first, groups: spark.createDataFrame([(c, int(f), int(g)) for c, (f, g) in enumerate(zip(first, groups, strict=True))], "cell int, first int, groups int")  # noqa: E731  a row for each cell
     part = lambda first, key: (F.col("first") + F.pmod(F.xxhash64(key), "groups")).cast("int")
-    first, n_packs = dealt(counts, PACK)
-    packs = codes.join(F.broadcast(deal(first, n_packs)), "cell").withColumn("pack", part("first", "vec_id")).select("pack", "cell", "vec_id", "code", "norm2")
-    packs = packs.groupBy("pack").applyInPandas(_pack, "pack int, ids binary, in_cell binary, codes binary, norms binary")
+    first, n_packs = dealt(counts, max(1, min(PACK, PACK_BYTES // (d * np.dtype(kind).itemsize))))
+    packs = codes.join(F.broadcast(deal(first, n_packs)), "cell").withColumn("pack", part("first", "vec_id")).select("pack", "cell", "vec_id", "code", "miss", "size", "v")
+    packs = packs.groupBy("pack").applyInPandas(_pack, "pack int, ids binary, in_cell binary, codes binary, bounds binary, vectors binary")
     asked = cut(rows.where(is_query).select("vec_id", "v").mapInArrow(prober(cells, first, n_packs, scale), "query_id long, home int, v binary, cells binary, packs array<int>"), "probes")
     homes = np.zeros_like(counts)
     for r in asked.groupBy("home").count().collect():  # a row for each cell
@@ -306,18 +380,18 @@ def _search(table: DataFrame, is_query: Column, k: int, kept: int, id_col: str,
     # a row for each pack that a block looks into
     needed = cut(asked.select("block", F.explode("packs").alias("pack")).distinct().withColumn("stripe", F.col("pack") % STRIPES), "needed")
     none = lambda kind, *names: [F.lit(None).cast(kind).alias(n) for n in names]
-    questions = asked.join(needed.select("block", "stripe").distinct(), "block").select("block", "stripe", F.lit(0).alias("kind"), "query_id", "v", F.col("cells"), *none("binary", "ids", "in_cell", "codes", "norms"))
-    shipped = packs.join(needed, "pack").select("block", "stripe", F.lit(1).alias("kind"), *none("long", "query_id"), *none("binary", "v", "cells"), "ids", "in_cell", "codes", "norms")
+    questions = asked.join(needed.select("block", "stripe").distinct(), "block").select("block", "stripe", F.lit(0).alias("kind"), "query_id", "v", F.col("cells"), *none("binary", "ids", "in_cell", "codes", "bounds", "vectors"))
+    shipped = packs.join(needed, "pack").select("block", "stripe", F.lit(1).alias("kind"), *none("long", "query_id"), *none("binary", "v", "cells"), "ids", "in_cell", "codes", "bounds", "vectors")
     met = questions.unionByName(shipped).repartition("block", "stripe").sortWithinPartitions("block", "stripe", "kind")
-    found = met.mapInArrow(scorer(books, kept + 1, metric), "query_id long, found array<struct<s:float,id:long>>")
-    best = lambda: F.slice(F.sort_array(F.flatten(F.collect_list("found"))), 1, kept + 1).alias("found")  # noqa: E731  of a list from each stripe
-    found = cut(found.groupBy("query_id").agg(best()), "found")
-    pairs = found.select("query_id", F.explode("found.id").alias("vec_id"))
-    scored = pairs.join(one, "vec_id").join(rows.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
-    measure = inner("q", "v") if metric == "ip" else 2 * inner("q", "v") - inner("v", "v") - inner("q", "q")
+    found = met.mapInArrow(scorer(books, k + 1, kept, metric, scale, kind), "query_id long, found array<struct<s:double,id:long>>")
+    with batches_of(spark, 8):  # a pack's vectors have up to PACK_BYTES
+        found = cut(found, "found")
+    # of a list from each stripe
+    best = F.slice(F.sort_array(F.flatten(F.collect_list("found"))), 1, k + 1)
+    pairs = found.groupBy("query_id").agg(best.alias("found")).select("query_id", F.explode("found").alias("f"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("int")
     # each distinct vector gives an id at least, and one of them may be the query's own
-    first = scored.select("query_id", "vec_id", measure.alias("score")).withColumn("rank", rank).where(F.col("rank") <= k + 1).drop("rank")
+    first = pairs.select("query_id", F.col("f.id").alias("vec_id"), (-F.col("f.s")).alias("score"))
     more = groups.where(F.size("ids") > 1).select(F.col("ids")[0].alias("vec_id"), "ids")
     every = first.join(more, "vec_id", "left").select("query_id", "score", F.explode(F.coalesce("ids", F.array("vec_id"))).alias("vec_id")).where("query_id <> vec_id")
     return every.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

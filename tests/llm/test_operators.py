@@ -575,6 +575,32 @@ def test_cells_are_probed_as_far_as_recall_needs(spark, monkeypatch, spread_):
     assert hits / (60 * 20) >= 0.9
 
 
+def vectors_of(kind, rng):
+    x = rng.normal(size=(3000, 192 if kind == "wide" else 24))
+    if kind == "lengths":
+        x *= np.exp(2 * rng.normal(size=(3000, 1)))
+    if kind == "one far":
+        x[7] *= 1e15
+    if kind == "tight":
+        x = rng.normal(size=(3, 24))[rng.integers(0, 3, 3000)] + 1e-4 * x
+    return x.astype(np.float32).astype(float)
+
+
+@pytest.mark.parametrize(("kind", "metric"), [("wide", "ip"), ("lengths", "ip"), ("one far", "ip"), ("tight", "l2")])
+def test_nearest_are_found_where_codes_are_coarse(spark, kind, metric):
+    """All rows are looked at, so none of the true neighbours may be missing, and scores are those of a fold in double precision."""
+    x = vectors_of(kind, np.random.default_rng(6))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = defaultdict(list)
+    for r in ann.search(df, F.col("vec_id") % 100 == 0, metric=metric).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    inner = lambda a: np.cumsum(a, axis=1)[:, -1]
+    for q in range(0, 3000, 100):
+        s = inner(x * x[q]) if metric == "ip" else 2 * inner(x * x[q]) - inner(x * x) - inner(x[q : q + 1] ** 2)
+        best = [int(i) for i in np.lexsort((np.arange(3000), -s)) if i != q][:20]
+        assert got[q] == [(i, s[i]) for i in best]
+
+
 @pytest.mark.parametrize("d", ["/root/testdata/sf0.01", "/root/testdata/sf0.1"])
 def test_nearest_recall_on_the_table(spark, d):
     e = spark.read.parquet(f"{d}/embeddings.parquet").toPandas()
