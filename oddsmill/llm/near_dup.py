@@ -7,7 +7,9 @@
    with the same members (by count, least number and an xor of member hashes) are looked at once.
 3. First the pairs that a bucket of up to FEW members has, and in a larger one those of every member with two centres (the
    least number and the least hash): distinct over all bands, dealt by centre in parts, and confirmed one after the other
-   on full sets, a task holding no more than the centre's. A tight group of any size becomes one component at this cost.
+   on full sets, a task holding no more than the centre's. The hash is of the member alone, so that the many buckets of one group
+   share a few centres and pairs grow with members, not with their places in buckets. A tight group of any size becomes one
+   component at this cost.
 4. Then what is left of larger buckets whose members are still in several components: members outside the bucket's most
    frequent component, in blocks of BLOCK, meet all blocks of the bucket; pairs already joined are skipped, what lies six
    standard deviations below the threshold is rejected by signature, and the rest is confirmed on full sets. This is
@@ -246,7 +248,7 @@ def first_pairs(members: DataFrame) -> DataFrame:
     few = members.where(F.col("n") <= FEW).groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("all"))
     few = few.select(F.explode("all").alias("centre"), "all").select("centre", F.explode(F.filter("all", lambda x: x > F.col("centre"))).alias("node"))
     large = members.where(F.col("n") > FEW)
-    centres = large.groupBy("key").agg(F.min("node").alias("c1"), F.min(F.struct(F.xxhash64("key", "node"), "node"))["node"].alias("c2"))
+    centres = large.groupBy("key").agg(F.min("node").alias("c1"), F.min(F.struct(F.xxhash64("node"), "node"))["node"].alias("c2"))
     centres = cut(centres.select("key", F.explode(F.array_distinct(F.array("c1", "c2"))).alias("centre")), "centres")
     starred = large.select("key", "node").join(centres, "key").where("centre <> node").select("centre", "node")
     return few.unionByName(starred).distinct()

@@ -352,6 +352,18 @@ def test_components_of_a_long_path(spark):
     assert got == {**{i: 0 for i in range(1, 61)}, 101: 100}
 
 
+def test_buckets_of_one_group_share_centres(spark):
+    """200 buckets, each of a random half of 400 members: pairs are a few for each member, and each bucket hangs together by its own."""
+    rng = np.random.default_rng(8)
+    buckets = [np.flatnonzero(rng.random(400) < 0.5).tolist() for _ in range(200)]
+    members = spark.createDataFrame([(k, len(b), i) for k, b in enumerate(buckets) for i in b], "key long, n long, node long")
+    pairs = {(r["centre"], r["node"]) for r in near_dup.first_pairs(members).collect()}
+    assert len(pairs) <= 30 * 400
+    for b in buckets:
+        assert all((b[0], i) in pairs for i in b[1:])
+        assert any(all((c, i) in pairs for i in b if i != c) for c in b[1:])
+
+
 # 4 and 5: classifiers
 
 
