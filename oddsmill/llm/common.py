@@ -96,7 +96,7 @@ class Memory:
 class ChunkedTokenizer:
     """The tokenizers library with a bounded memory of pieces; ids come as little-endian 32-bit bytes.
 
-    Each distinct piece of a batch is looked up once, and ids are laid out by index. Ids are the library's for the file as it is: a
+    Each distinct piece of a batch is looked up once, and each text's ids are joined by index. Ids are the library's for the file as it is: a
     text that holds the name of one of the file's added tokens is encoded whole, so that the library finds the token; none are added.
     """
 
@@ -122,12 +122,10 @@ class ChunkedTokenizer:
             some = new[start : start + 20_000]
             for i, x in zip(some, self._encode([keys[i] for i in some]), strict=True):
                 self.memory.young[keys[i]] = ids[i] = x
-        pool, sizes = np.frombuffer(b"".join(ids), "<u4"), np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        lengths = sizes[at]
-        to = np.cumsum(lengths)
-        flat = pool[np.repeat((np.cumsum(sizes) - sizes)[at] - to + lengths, lengths) + np.arange(to[-1] if len(to) else 0)]
-        cuts = np.concatenate([[0], to])[ends]
-        return [flat[a:b].tobytes() for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
+        held = np.empty(len(ids), object)
+        held[:] = ids
+        parts, ends = held[at].tolist(), ends.tolist()
+        return [b"".join(parts[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
     def _some(self, texts: list[str]) -> list[bytes]:
         out, even, uneven, whole = [b""] * len(texts), [], [], []

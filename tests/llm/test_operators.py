@@ -218,6 +218,19 @@ def check_packing(rows, want, window=4096):
     return [sum(r["length"] for r in s) for s in by_seq.values()]
 
 
+def test_ids_are_joined_without_an_index_of_each():
+    """Beside the ids themselves little memory is taken, also of pieces with many ids."""
+    import tracemalloc
+
+    encode, texts = ChunkedTokenizer(BYTE), [" ".join(["Donaudampfschifffahrtsgesellschaft"] * 20_000)]
+    want = encode(texts)
+    tracemalloc.start()
+    got = encode(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == want and peak <= 4 * len(got[0])
+
+
 def test_packing_odd_rows(spark):
     rows = [r for i, r in enumerate(ODD) if i != 2]
     fills = check_packing(packing.pack_documents(odd(spark, rows).coalesce(1), WORDS).collect(), {r[0]: encoded(WORDS, r[1]) for r in rows})
