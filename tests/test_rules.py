@@ -485,3 +485,19 @@ def test_pairs_meet_in_cells_without_copies_of_all_blocks(spark, monkeypatch):
         found = {(r["cluster"], r["market"]) for r in series.seed_clusters(one, 50, 0.5, batch=batch).select("cluster", "market").collect()}
         assert found == greedy({p for p, c in every.items() if c >= 0.5})
     assert series.seed_clusters(one.where("1 = 0"), 50, 0.5).count() == 0
+
+
+def test_all_pairs_of_large_blocks_leave_in_order_of_correlation(spark, monkeypatch):
+    """A table of all pairs is the result itself; with equal values side by side it takes less room than block by block."""
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    monkeypatch.setattr(series, "BLOCK", 2000)
+    monkeypatch.setattr(series, "WIDTH", 500)
+    s = spark.createDataFrame([(m, i, float(v)) for m in range(2000) for i, v in enumerate(rng.integers(0, 3, size=12))], "market long, seq long, price double")
+    rows = series.correlations(s, 12).toPandas()
+    assert len(rows) == len(rows.drop_duplicates(["a", "b"])) == 2000 * 1999 // 2 and (rows["a"] < rows["b"]).all()
+    assert (np.diff(rows["corr"]) < 0).sum() == 0
+    some = rows.sample(3000, random_state=1)
+    given = series.pair_correlations(s, spark.createDataFrame(some[["a", "b"]]), 12).toPandas()
+    assert some.merge(given, on=["a", "b", "points", "corr"]).shape[0] == 3000
