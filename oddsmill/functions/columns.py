@@ -12,13 +12,13 @@ def rounded(c: Column, places: int = 6) -> Column:
 
 
 def summed(rows: DataFrame, keys: list[str], value: str, order: list[str], name: str = "value") -> DataFrame:
-    """(keys, name, n): sums and counts of groups, added up one row after the other in a fixed order.
+    """(keys, name, n, first): sums and counts of groups, added up one row after the other in a fixed order, and where each group begins in it.
 
     A sum of doubles depends on its order, so sums that are compared or ranked mustn't follow how rows lie in files and tasks.
     """
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     running = rows.withColumn("running_", F.sum(value).over(w))
-    return running.groupBy(*keys).agg(F.max_by("running_", F.struct(*order)).alias(name), F.count("*").alias("n"))
+    return running.groupBy(*keys).agg(F.max_by("running_", F.struct(*order)).alias(name), F.count("*").alias("n"), F.min(F.struct(*order)).alias("first"))
 
 
 def ratio(a: Column, b: Column) -> Column:

@@ -126,7 +126,9 @@ select wallet, epoch_us(d) as at, case when eligible and not before_ then 'inser
 def watch_transition(spark, sf):
     from ..sources.market_tables import holdings
 
-    s = holdings(spark, sf).groupBy("wallet", c("week").alias("at")).agg((F.sum("value") >= 1000).alias("eligible"))
+    # a week's positions are added up in the order in which they were opened
+    weeks = summed(holdings(spark, sf).withColumnRenamed("first", "opened"), ["wallet", "week"], "value", ["opened"])
+    s = weeks.select("wallet", c("week").alias("at"), (c("value") >= 1000).alias("eligible"))
     return ops.watch_transitions(s).withColumn("at", epoch_us(c("at")))
 
 

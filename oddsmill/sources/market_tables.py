@@ -41,7 +41,7 @@ def price_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def holdings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Position values: wallet by market and week, trades added up in their order."""
+    """Position values: wallet by market and week, trades added up in their order; first is the time and id of the first of them."""
     t = trades(spark, sf_dir).withColumn("week", F.date_trunc("week", "ts"))
     return summed(t, ["wallet", "user_id", "market", "week"], "volume", ["ts", "event_id"]).drop("n")
 

@@ -501,3 +501,33 @@ def test_all_pairs_of_large_blocks_leave_in_order_of_correlation(spark, monkeypa
     some = rows.sample(3000, random_state=1)
     given = series.pair_correlations(s, spark.createDataFrame(some[["a", "b"]]), 12).toPandas()
     assert some.merge(given, on=["a", "b", "points", "corr"]).shape[0] == 3000
+
+
+def test_weeks_of_the_watch_list_add_positions_up_as_they_were_opened(spark, duck, tmp_path):
+    """Three positions make 1000 in one order and 999.9999999999999 in another: the one in which they were opened decides, in any order of the file."""
+    import datetime
+    import itertools
+    from functools import reduce
+
+    from oddsmill.plans.catalog import ORACLES, QUERIES
+
+    plain = lambda values: reduce(lambda a, v: a + v, values)  # Python's own sum corrects itself
+    rng, start, made = random.Random(2), datetime.datetime(2024, 1, 1), []
+    while len(made) < 60:
+        a, b = round(rng.random() * 600, 2), round(rng.random() * 400, 2)
+        three = [a, b, round(1000 - a - b, 2)]
+        if len({plain(p) >= 1000 for p in itertools.permutations(three)}) == 2:
+            made.append(three)
+    kinds = [rng.sample(["click", "view", "purchase"], 3) for _ in made]
+    rows = [(3 * u + k, start + datetime.timedelta(minutes=7 * k + u), u, kinds[u][k], v, "{}") for u, three in enumerate(made) for k, v in enumerate(three)]
+    rows.sort(key=lambda r: r[1])
+    shape = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    want = {f"w{u}" for u, three in enumerate(made) if three[0] + three[1] + three[2] >= 1000}
+    assert 10 < len(want) < len(made)
+    for n, some in enumerate((rows, rng.sample(rows, len(rows)))):
+        spark.createDataFrame(some, shape).coalesce(1).write.parquet(f"{tmp_path}/{n}/events.parquet")
+        assert {r["wallet"] for r in QUERIES["watch_transition"](spark, f"{tmp_path}/{n}").collect()} == want
+    one = duck.cursor()
+    one.execute("set threads = 1")
+    sql = ORACLES["watch_transition"].replace("from events", f"from '{tmp_path}/0/events.parquet/*.parquet'")
+    assert {r[0] for r in one.execute(f"select wallet from ({sql})").fetchall()} == want
